@@ -20,14 +20,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), n_shards=8)
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.cut_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
+    return packing.pack(packing.cut_documents(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json")))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +35,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_count.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    counted = token_count.count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.store(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return token_store.store(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.predict(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return language.predict(_table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_packing, op4_token_counts, op5_quality_rules, op6_token_store, op7_decontamination, op8_toxicity, op9_html_text, op10_language_id)}
