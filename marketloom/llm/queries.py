@@ -70,3 +70,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_packing, op4_token_counts, op5_quality_rules, op6_token_store, op7_decontamination, op8_toxicity, op9_html_text, op10_language_id)}
+
+#: SQL of the queries that SQL can express.
+ORACLE_SQL: dict[str, str] = {}
