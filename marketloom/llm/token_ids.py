@@ -10,10 +10,14 @@ import re
 
 import numpy as np
 
-#: Words that a worker remembers, about 100 MB.
-REMEMBERED = 400_000
+#: Words that a worker remembers, about 200 MB.
+REMEMBERED = 1_000_000
 #: Longer words aren't remembered.
 LONGEST = 64
+#: Words that are encoded in one text.
+TOGETHER = 64
+#: Letters up to U+024F, and signs after them that no pattern joins with letters.
+_LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?%$*&#)]*)\Z")
 _ADJACENT = re.compile(r"\s\s")
 _coders: dict[str, WordCoder] = {}
 
@@ -27,6 +31,9 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         # an own text for each key: "x" stands for " x", "\nx" for itself, "\0x" for "x" at the begin of a text
         self.known: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
+        line_end = self.tokenizer.encode("a\n b", add_special_tokens=False).ids
+        self.line_end = line_end[1] if len(line_end) == 3 else None
 
     @staticmethod
     def of(path: str) -> WordCoder:
@@ -38,28 +45,69 @@ class WordCoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """The ids of runs of letters, each after a space: many in one text, told apart by the line ends between them."""
+        out: list[bytes] = []
+        texts = [" " + "\n ".join(runs[i : i + TOGETHER]) for i in range(0, len(runs), TOGETHER)]
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ids == self.line_end)
+            own = runs[k * TOGETHER : (k + 1) * TOGETHER]
+            if len(ends) != len(own) - 1:
+                raise ValueError("the vocabulary does not keep a line end apart")
+            ids, at = ids.tobytes(), 0
+            for end in (*(4 * ends).tolist(), len(ids)):
+                out.append(ids[at:end])
+                at = end + 4
+        return out
+
+    def _encoded(self, missing: list[str]) -> dict[str, bytes]:
+        """The ids of words that aren't known yet."""
+        known, new = self.known, {"\0": b""}
+        # letters and the signs after them are encoded apart by the vocabulary too
+        split = [(k, m[1], m[2]) for k in missing if (m := _LETTERS_SIGNS.match(k))]
+        runs = list(dict.fromkeys(r for _, r, _ in split if r not in known))
+        if self.line_end is not None:
+            new.update(zip(runs, self._runs(runs), strict=True))
+        else:
+            new.update(zip(runs, self._library([" " + r for r in runs]), strict=True))
+        signs = list(dict.fromkeys(x for _, _, x in split if x and x not in self.signs))
+        self.signs.update(zip(signs, self._library(signs), strict=True))
+        for k, r, x in split:
+            if x:
+                new[k] = (known.get(r) or new[r]) + self.signs[x]
+        rest = [k for k in missing if k not in new]
+        plain = [k if k[:1] == "\n" else k[1:] if k[:1] == "\0" else " " + k for k in rest]
+        new.update(zip(rest, self._library(plain), strict=True))
+        return new
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        keys: list[list[str] | None] = []
+        get, found = self.known.get, []
+        missing: set[str] = set()
         for t in texts:
             if _ADJACENT.search(t) or "\0" in t:
-                keys.append(None)
+                found.append((None, None))
                 continue
-            own = t.replace("\n", " \n").split(" ")
+            keys = t.replace("\n", " \n").split(" ")
             # a text that begins with white space begins with an empty word
-            own[0] = "\0" + own[0]
-            keys.append(own)
-        known = self.known
-        missing = list({k for own in keys if own is not None for k in own if k not in known and k != "\0"})
-        plain = [k if k[:1] == "\n" else k[1:] if k[:1] == "\0" else " " + k for k in missing]
-        new = dict(zip(missing, self._library(plain), strict=True)) | {"\0": b""}
-        if len(known) < REMEMBERED:
-            known.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
-        whole = iter(self._library([t for t, own in zip(texts, keys, strict=True) if own is None]))
+            keys[0] = "\0" + keys[0]
+            ids = list(map(get, keys))
+            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            missing.update([keys[i] for i in gaps])
+            found.append((ids, [(i, keys[i]) for i in gaps]))
+        new = self._encoded(list(missing))
+        if len(self.known) < REMEMBERED:
+            self.known.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
+        if len(self.signs) > REMEMBERED:
+            self.signs.clear()
+        whole = iter(self._library([t for t, (ids, _) in zip(texts, found, strict=True) if ids is None]))
         out = []
-        for own in keys:
-            if own is None:
+        for ids, gaps in found:
+            if ids is None:
                 out.append(next(whole))
-            else:
-                out.append(b"".join([known[k] if k in known else new[k] for k in own]))
+                continue
+            for i, k in gaps:
+                ids[i] = new[k]
+            out.append(b"".join(ids))
         return out
