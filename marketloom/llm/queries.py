@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, jaccard, language, packing, quality, sharding, token_count, token_store, toxicity
+from . import decontamination, html_text, jaccard, language, oracles, packing, quality, sharding, token_count, token_store, toxicity
 from .shipping import ship
 
 
@@ -72,4 +72,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_packing, op4_token_counts, op5_quality_rules, op6_token_store, op7_decontamination, op8_toxicity, op9_html_text, op10_language_id)}
 
 #: SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracles.SQL
