@@ -29,7 +29,7 @@ from .scratch import written
 from .text_arrays import NOT_SPACE, distinct_pairs, mix, pieces, shingles, words
 
 SHINGLE, PERCENT = 5, 80
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 #: A shingle is common if a batch has it in so many documents; at most so many are told to the tasks.
 OFTEN, COMMON = 16, 1 << 17
 #: Rounds in which lists are compared with one more member before all that is left is compared; the latter starts early when it is no more work than so many times the lists' length.
@@ -252,7 +252,8 @@ def _prefixes(percent: int):
 
 def prefixes(docs: DataFrame, measured: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The matchable prefix of each distinct set, from doc_id and text."""
-    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # a bucket is put in order in memory, so there are more of them than partitions
+    buckets = 2 * max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = _blocks(docs, _common(measured), k, percent, buckets)
     shared = blocks.groupBy("key").applyInArrow(_shared(buckets), _PACKED)
     return shared.groupBy("key").applyInArrow(_prefixes(percent), "set binary, n long, alone long, tokens array<long>, places array<long>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,6 +13,12 @@ import pyarrow.compute as pc
 
 #: Texts are handled in pieces of about so many bytes; a longer text is a piece of its own.
 PIECE_BYTES = 4 << 20
+#: Words are hashed in stretches of so many bytes; a longer word is a stretch of its own.
+STRETCH_BYTES = 1 << 19
+
+# Freed arrays of a MB or more go back to the system at once; else each idle Python worker keeps the most it has ever used.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -54,6 +62,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE_BYT
             end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
             yield batch.slice(at, end - at)
             at = end
+        pa.default_memory_pool().release_unused()
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,10 +107,18 @@ def words(texts: pa.Array, kind: np.ndarray = NOT_SPACE, lower: bool = True) ->
     stops[cut] = True
     marks = np.flatnonzero(stops)
     end = marks[np.searchsorted(marks, start, "right")] if len(start) else start
-    power, inverse = _power_tables(max(n, PIECE_BYTES) + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-    hash_ = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _ODD[63])
+    hash_ = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):  # by stretches, so that the 64-bit numbers take little memory beside the bytes
+        low = start[at]
+        to = max(at + 1, int(np.searchsorted(end, low + STRETCH_BYTES, "right")))
+        n = int(end[to - 1] - low)
+        power, inverse = _power_tables(max(n, STRETCH_BYTES) + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data[low : low + n].astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+        s, e = start[at:to] - low, end[at:to] - low
+        hash_[at:to] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64) * _ODD[63])
+        at = to
     doc = np.searchsorted(offsets, start, "right") - 1
     return Words(data, doc, start, end, hash_, np.bincount(doc, minlength=len(texts))[: len(texts)])
 
