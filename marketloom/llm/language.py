@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded_sample
 from .text_arrays import mix, pieces
 
 #: Labelled rows that the probabilities are fitted on, those with the smallest hash of their id.
@@ -169,7 +170,7 @@ def fit(texts: list[tuple[str, str]], vocabulary: Pieces) -> Model:
 def train(docs: DataFrame, vocabulary: str, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on up to ``rows`` documents that have a text and a language."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("text", "lang")
+    sample = bounded_sample(known, rows, "doc_id").select("text", "lang")
 
     def fitted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [x for batch in it for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import new_path
+from .scratch import bounded_sample, new_path
 from .text_arrays import pieces
 from .token_ids import WordCoder
 
@@ -53,7 +53,7 @@ def _trained(docs: DataFrame, vocabulary: str) -> bytes:
             got = [serialized(x)[:SAMPLE_BYTES] for x in coder.encode([t or "" for t in batch.column(0).to_pylist()])]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], ["payload"])
 
-    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).select("text")
+    some = bounded_sample(docs, SAMPLE_DOCUMENTS, "doc_id").select("text")
     samples = [bytes(r["payload"]) for r in some.mapInArrow(sample, "payload binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()

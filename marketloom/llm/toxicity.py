@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded_sample
 from .text_arrays import ALNUM, Words, mix, pieces, words
 
 BITS = 20
@@ -82,7 +83,7 @@ def fit(examples: list[tuple[np.ndarray, int]]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on up to ``rows`` of the labelled documents. Rows without a label or text are not used."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    some = bounded_sample(known, rows, "doc_id")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     # the second limit is for repeated ids
     sample = texts.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(rows).select("text", "label")
