@@ -33,7 +33,7 @@ BATCH_BYTES = 6 << 20
 #: A shingle is common if a batch has it in so many documents; at most so many are told to the tasks.
 OFTEN, COMMON = 16, 1 << 17
 #: Rounds in which lists are compared with one more member before all that is left is compared; the latter starts early when it is no more work than so many times the lists' length.
-ROUNDS, LEFT = 8, 4
+ROUNDS, LEFT = 2, 256
 #: Documents whose ids may be sent to all tasks: 16 MB at most.
 SENT_IDS = 500_000
 _A, _B = np.uint64(0x8E9D5AAB2C1F3377), np.uint64(0x1B873593CC9E2D51)
@@ -260,12 +260,30 @@ def prefixes(docs: DataFrame, measured: DataFrame, k: int = SHINGLE, percent: in
 
 
 def _may_reach(a: str, b: str, percent: int) -> Column:
-    """Length and positional bounds for the sides ``a`` and ``b`` of a pair that shares a prefix shingle."""
+    """Length and positional bounds for the sides ``a`` and ``b`` of a pair that shares a prefix shingle.
+
+    What is in common is the shared shingle, what can stand behind it on both sides, and what can stand before it; the shingles
+    that a set has alone come first and are none of it.
+    """
     n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.place"), F.col(f"{b}.place")
-    overlap = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
+    overlap = F.least(i - F.col(f"{a}.alone"), j - F.col(f"{b}.alone")) + F.least(n - i, m - j)
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * overlap >= percent * (n + m))
 
 
+def _in_own_prefix(a: str, b: str, percent: int) -> Column:
+    """Whether the shared shingle is within what these two sizes need as a prefix, which is shorter for sizes close to each other."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    need = F.ceil(percent * (n + m) / (100 + percent) - F.lit(1e-9))
+    return (F.col(f"{a}.place") <= n - need) & (F.col(f"{b}.place") <= m - need)
+
+
+def _enough_shared(percent: int) -> Column:
+    """Bound by the prefix shingles x and y that both sets have: of the set whose prefix ends first, only what is behind it can be in common
+    besides."""
+    behind = F.greatest(*(F.floor((percent * F.col(c) + 99) / 100) - 1 for c in ("n", "m")))
+    return (100 + percent) * (F.size(F.array_intersect("x", "y")) + behind) >= percent * (F.col("n") + F.col("m"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, measured: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of sets that reach the similarity."""
     wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
@@ -298,7 +316,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, measured: DataFrame, k: int, pe
 
 
 def linked_sets(docs: DataFrame, measured: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between sets whose components are those of all links."""
+    """The components of the links between sets: (node, root), without the roots themselves."""
     spark = docs.sparkSession
     found = written(prefixes(docs, measured, k, percent), "prefixes")
     # identical prefixes and sizes: one group, which is also a list of its own
@@ -310,12 +328,12 @@ def linked_sets(docs: DataFrame, measured: DataFrame, k: int = SHINGLE, percent:
     people = written(members.select("set", "group", "n", "alone"), "members")
     listed = lists.join(people, "group").select("list", "set", "n", "alone", "place")
 
-    links = spark.createDataFrame([], "a binary, b binary")
-    tried = links
+    links = tried = None
+    roots = spark.createDataFrame([], "node binary, root binary")
     for r in range(ROUNDS + 1):
-        roots = components(links) if r else None
-        state = listed.withColumn("root", F.col("set"))
-        if roots is not None:
+        if r == 0:
+            state = listed.withColumn("root", F.col("set"))
+        else:
             state = listed.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
         state = written(state, "state")
         per_root = state.groupBy("list", "root").agg(F.count("*").alias("m"))
@@ -328,20 +346,25 @@ def linked_sets(docs: DataFrame, measured: DataFrame, k: int = SHINGLE, percent:
         last = r == ROUNDS or (r > 0 and size["pairs"] <= LEFT * size["m"])
         if last:
             a, b = todo.alias("a"), todo.alias("b")
-            pairs = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.root") < F.col("b.root")) & _may_reach("a", "b", percent))
+            met = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.root") < F.col("b.root")) & _may_reach("a", "b", percent) & _in_own_prefix("a", "b", percent))
+            pairs = met.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct()
+            sides = [found.select(F.col("set").alias(k), F.col("n").alias(n), F.col("tokens").alias(v)) for k, n, v in (("a", "n", "x"), ("b", "m", "y"))]
+            pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(_enough_shared(percent)).select("a", "b")
         else:
             # the most central member first: the one with the smallest share of shingles of its own; later any
             order = F.struct(F.col("alone") / F.col("n"), F.col("set")) if r == 0 else F.struct(F.xxhash64("set", F.lit(r)), F.col("set"))
-            pivot = todo.groupBy("list").agg(F.min_by(F.struct("set", "n", "place", "root"), order).alias("p")).select("list", "p.*")
+            pivot = todo.groupBy("list").agg(F.min_by(F.struct("set", "n", "alone", "place", "root"), order).alias("p")).select("list", "p.*")
             a, b = pivot.alias("a"), todo.alias("b")
-            pairs = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.root") != F.col("b.root")) & _may_reach("a", "b", percent))
-        pairs = pairs.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct()
+            met = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.root") != F.col("b.root")) & _may_reach("a", "b", percent))
+            pairs = met.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if r else pairs, "pairs")
-        links = written(links.unionByName(_verified(pairs, docs, measured, k, percent)), "links")
+        good = _verified(pairs, docs, measured, k, percent)
+        links = written(links.unionByName(good) if r else good, "links")
         tried = tried.unionByName(pairs) if r else pairs
+        roots = components(links)
         if last:
             break
-    return links
+    return roots
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,7 +378,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     measured = written(_measured(source, k, kind), "shingle-sets")
-    roots = components(linked_sets(source, measured, k, percent))
+    roots = linked_sets(source, measured, k, percent)
     rows = measured.where("document").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set")).alias("set"))
     sets = rows.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"))
     named = sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
