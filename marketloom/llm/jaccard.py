@@ -252,8 +252,8 @@ def _prefixes(percent: int):
 
 def prefixes(docs: DataFrame, measured: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The matchable prefix of each distinct set, from doc_id and text."""
-    # a bucket is put in order in memory, so there are more of them than partitions
-    buckets = 2 * max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # each set is named in every bucket that its shingles fall in, so there are no more of them than partitions
+    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = _blocks(docs, _common(measured), k, percent, buckets)
     shared = blocks.groupBy("key").applyInArrow(_shared(buckets), _PACKED)
     return shared.groupBy("key").applyInArrow(_prefixes(percent), "set binary, n long, alone long, tokens array<long>, places array<long>")
