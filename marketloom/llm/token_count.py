@@ -31,8 +31,9 @@ BATCH_BYTES = 12 << 20
 _PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+")
 #: Words that the library takes whole: other scripts, control characters, the dotted capital I, special tokens.
 _WHOLE = re.compile(r"[\x00-\x1f\x7f-\xa0İɐ-\U0010ffff]|<\|")
-#: Characters at which Python splits words and the vocabulary does not.
+#: Characters at which Python splits words and the vocabulary does not, and words by the vocabulary's own white space.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
+_UNSPLIT = re.compile(r"(?:\S|[\x1c-\x1f])+")
 _tokenizers: dict = {}
 
 
@@ -64,7 +65,7 @@ def _numbers(b: bytes, kind: str) -> np.ndarray:
 
 def _frequencies(texts: list[str], buckets: int) -> tuple[dict[int, list[str]], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pre-tokens by bucket; per document the number of its distinct ones, their codes (as steps), how often each occurs."""
-    split = [[t] if _SEPARATORS.search(t) else t.split() for t in texts]
+    split = [_UNSPLIT.findall(t) if _SEPARATORS.search(t) else t.split() for t in texts]
     lengths = np.fromiter(map(len, split), np.int64, len(split))
     code, distinct = pd.factorize(np.array(list(chain.from_iterable(split)), object))
     parts = [pre_tokens(w) for w in distinct]

@@ -146,6 +146,18 @@ def test_pre_tokens_are_the_library(spark):
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(ODD_TEXTS)}
 
 
+def test_separators_beside_other_documents(spark):
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    texts = ["plain words here", "a\x1fb\nc", "the house, and water", "x\x1c\x1d \x85y\u2028z\r\n\x1e", "supercalifragilistic antidisestablishment", "\x1f", "'s\x1f's <|endoftext|>\x1f", "İ漢字\x1f\x0b\x0cé\xa0\u3000w", "\x1c\n\u0338\x1d x"]
+    assert _counts(spark, texts) == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def _counts(spark, texts):
+    """Counts where all texts come in one batch."""
+    got = token_count.count_tokens(make(spark, list(enumerate(texts))).coalesce(1), WORD_BPE).collect()
+    return {r["doc_id"]: r["n_tokens"] for r in got}
+
+
 def test_quality(odd, odd_rows, empty, monkeypatch):
     def measures(t):
         t = t or ""
