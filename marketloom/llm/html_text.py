@@ -1,12 +1,12 @@
 """Main text of web pages by removing site templates.
 
-Every element subtree is hashed (tag, text and the hashes of its children). Spark counts, per host, on how many pages each subtree occurs; subtrees
-that recur on many pages of their host are its template and are deleted. What the counts can't tell, as on hosts of a few
-pages, is left to what the markup says: elements named or classed as menus, adverts and the like go, and where a page marks
+Every element subtree is hashed (tag, text and the hashes of its children). Spark counts, per host, on how many distinct pages each subtree
+occurs; subtrees that recur on many pages and on a share of their host are its template and are deleted. What the counts can't tell, as on
+hosts of a few pages, is left to what the markup says: elements named or classed as menus, adverts and the like go, and where a page marks
 its article, only that stays.
 
-How it scales: counting sees one row per page and distinct subtree, added up before the shuffle, so a host with a third of all pages is no
-hot group. The recurring subtrees go to the tasks as one sorted array of 64-bit numbers while there are at most
+How it scales: a row per distinct page and subtree is dealt by both, and what is added up per subtree is added up before the shuffle, so a
+host with a third of all pages is no hot group; its size meets its subtrees in ``SALTS`` parts. The recurring subtrees go to the tasks as one sorted array of 64-bit numbers while there are at most
 ``BROADCAST_ENTRIES`` of them (8 bytes each); beyond that each page gets its own by a join.
 """
 
@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from .text_arrays import pieces
 
-#: A subtree is template if it is on so many pages of its host.
-RECURS = 5
+#: A subtree is template if it is on so many distinct pages of its host, and on one of so many of them.
+RECURS, ONE_OF = 5, 10
+#: The same for elements that prose stands in.
+PROSE_RECURS, PROSE_ONE_OF = 10, 2
+SALTS = 32
 BROADCAST_ENTRIES = 1_000_000
 
 #: Content that is never text.
@@ -38,8 +41,12 @@ ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button",
 NAMED = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 #: Elements that begin and end a block of text.
 BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *ASIDE} - RAW - {"button"}
-#: Elements that prose stands in; a recurring one may be a quotation, so it is no template by itself.
-PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "article", "main", "body", "html", "b", "i", "em", "strong", "span", "a", "code", "br", "td", "th", "tr", "tbody", "li", "dd", "dt"}
+#: Elements that recurrence never deletes.
+FRAME = {"article", "main", "body", "html", "br"}
+#: Elements that stand within a line of prose; recurrence deletes them only where they stand alone.
+INLINE = {"b", "i", "em", "strong", "span", "a", "code"}
+#: Elements that prose stands in; a recurring one may be a quotation, so it is template only on a large share of its host.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "td", "th", "tr", "tbody", "li", "dd", "dt", *FRAME, *INLINE}
 #: What a start tag closes: an open element of the first set, up to one of the second.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -56,10 +63,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("tag", "aside", "article", "parts", "size", "hash", "children")
+    __slots__ = ("tag", "aside", "article", "parent", "parts", "size", "hash", "children")
 
-    def __init__(self, tag: str, aside: bool, article: bool) -> None:
-        self.tag, self.aside, self.article = tag, aside, article
+    def __init__(self, tag: str, aside: bool, article: bool, parent: _Element | None = None) -> None:
+        self.tag, self.aside, self.article, self.parent = tag, aside, article, parent
         self.parts: list = []  # hashes of text and children, in order
         self.children: list = []  # elements and texts, in order
         self.size, self.hash = 0, 0
@@ -117,7 +124,7 @@ def _parsed(page: str) -> _Element:
             stack[-1].children.append(_Element(tag, False, False))
             continue
         names = {w for n in _NAME.findall(rest) for w in _WORDS.findall("".join(n).lower())} if rest else ()
-        e = _Element(tag, tag in ASIDE or bool(NAMED.intersection(names)), tag in ("article", "main"))
+        e = _Element(tag, tag in ASIDE or bool(NAMED.intersection(names)), tag in ("article", "main"), stack[-1])
         stack[-1].children.append(e)
         stack.append(e)
         if tag in RAW:
@@ -139,8 +146,14 @@ def _walk(root: _Element) -> Iterator[_Element]:
 
 
 def _deletable(e: _Element, total: int) -> bool:
-    """Whether recurrence may delete it: no prose, no article, not the most of the page."""
-    return bool(e.hash) and e.tag not in PROSE and 2 * e.size <= total
+    """Whether recurrence may delete it: no article, no part of a line, not the most of the page."""
+    return bool(e.hash) and e.tag not in FRAME and 2 * e.size <= total and not (e.tag in INLINE and _in_line(e))
+
+
+def _in_line(e: _Element) -> bool:
+    """Whether the element that holds this one is of prose or has text of its own."""
+    held = e.parent
+    return held.tag in PROSE - FRAME or any(isinstance(c, str) and not c.isspace() for c in held.children)
 
 
 def _key(host: str, subtree: int) -> int:
@@ -154,10 +167,10 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def subtrees(url: str | None, page: str) -> set[int]:
-    """Keys of the distinct subtrees of a page that recurrence may delete."""
+def subtrees(url: str | None, page: str) -> dict[int, bool]:
+    """Keys of the distinct subtrees of a page that recurrence may delete, and whether they are of prose."""
     root, host = _parsed(page), host_of(url)
-    return {_key(host, e.hash) for e in _walk(root) if _deletable(e, root.size)}
+    return {_key(host, e.hash): e.tag in PROSE for e in _walk(root) if _deletable(e, root.size)}
 
 
 def text_of(url: str | None, page: str, template) -> str:
@@ -186,16 +199,37 @@ def text_of(url: str | None, page: str, template) -> str:
 
 
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each distinct page of a batch its subtrees, and a row without one for the page itself."""
     for batch in pieces(it, 1):
-        keys = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(subtrees(u, h or ""), np.int64) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))])
-        key, n = np.unique(keys, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["subtree", "n"])
+        columns: dict[str, list] = {"host": [], "page": [], "subtree": [], "prose": []}
+        seen = set()
+        for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            h = h or ""
+            own = (_key(host_of(u), 0), xxhash.xxh3_64_intdigest(h.encode("utf-8", "surrogatepass")) - (1 << 63))
+            if own in seen:
+                continue
+            seen.add(own)
+            keys = {None: None, **subtrees(u, h)}
+            for name, values in zip(columns, ([own[0]] * len(keys), [own[1]] * len(keys), keys.keys(), keys.values()), strict=True):
+                columns[name] += values
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns.values(), kinds, strict=True)], [*columns])
 
 
 def templates(pages: DataFrame, recurs: int = RECURS, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Keys of the subtrees that recur on their host, as column ``subtree``."""
-    seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_count, "subtree long, n long")
-    return seen.groupBy("subtree").agg(F.sum("n").alias("n")).where(F.col("n") >= recurs).select("subtree")
+    from .scratch import written
+
+    seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_count, "host long, page long, subtree long, prose boolean")
+    # pages with equal html are one page of their host
+    counted = seen.distinct().groupBy("host", "subtree", "prose").agg(F.count("*").alias("n")).where(F.col("n") >= recurs)
+    counted = written(counted, "recurring")
+    # a hot host has many such subtrees
+    hosts = counted.where("subtree IS NULL").select("host", F.col("n").alias("pages"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = counted.where("subtree IS NOT NULL").withColumn("salt", F.pmod("subtree", F.lit(SALTS)).cast("int")).join(hosts, ["host", "salt"])
+    plain = ~F.col("prose") & (ONE_OF * F.col("n") >= F.col("pages"))
+    prose = F.col("prose") & (F.col("n") >= PROSE_RECURS) & (PROSE_ONE_OF * F.col("n") >= F.col("pages"))
+    return found.where(plain | prose).select("subtree")
 
 
 def _texts(batch: pa.RecordBatch, template) -> pa.RecordBatch:
@@ -206,8 +240,8 @@ def _texts(batch: pa.RecordBatch, template) -> pa.RecordBatch:
 def extract(pages: DataFrame, recurs: int = RECURS, entries: int = BROADCAST_ENTRIES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars.
 
-    Null and empty pages have an empty text. Pages without a URL share one nameless host. Repeated rows are kept and count as pages of
-    their own; null ids are kept. A page that is cut off ends where it is cut. An empty table gives no rows. Other columns are
+    Null and empty pages have an empty text. Pages without a URL share one nameless host. Repeated rows are kept, but
+    count as one page of their host; null ids are kept. A page that is cut off ends where it is cut. An empty table gives no rows. Other columns are
     ignored.
     """
     from .scratch import written

@@ -267,6 +267,22 @@ def test_html_templates(spark, entries):
     assert html_text.extract(pages.limit(0), entries=entries).count() == 0
 
 
+@pytest.mark.parametrize("entries", [1000, 0])
+def test_html_recurrence_is_by_distinct_pages(spark, entries):
+    def html(body):
+        return f"<html><body>{body}</body></html>"
+
+    table = "<table><tr><td>one</td><td>two</td></tr></table>"
+    rows = [(i, "https://copies.example/a", html(f"<div><p>The article that has been crawled often.</p>{table}</div>")) for i in range(8)]
+    rows += [(100 + i, f"https://large.example/{i}", html(f"<p>page {i} of a large host</p>{table if i < 6 else ''}")) for i in range(100)]
+    frame, quoted = "<p>Follow us for more</p><span>All rights reserved</span>", "<p>a quotation</p>"
+    rows += [(300 + i, f"https://prose.example/{i}", html(f"{frame}<p>text {i} is <b>own</b></p>{quoted if i < 12 else ''}")) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), entries=entries).collect()}
+    assert {got[i] for i in range(8)} == {"The article that has been crawled often.\none\ntwo"}
+    assert {got[100 + i] for i in range(6)} == {f"page {i} of a large host\none\ntwo" for i in range(6)}
+    assert [got[300 + i] for i in range(30)] == [f"text {i} is own" + ("\na quotation" if i < 12 else "") for i in range(30)]
+
+
 def test_language(spark, odd, odd_rows, empty):
     words = {"en": "the house and water of light with morning under trees".split(), "de": "das haus und wasser der schönen nacht unter bäumen".split()}
     rng = np.random.default_rng(4)
