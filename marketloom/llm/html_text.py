@@ -37,8 +37,11 @@ RAW = {"script", "style", "template", "noscript", "iframe", "object", "svg", "ca
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that hold parts of a page other than its article.
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head", *RAW}
-#: The same by a word of class, id or role.
+#: The same by a whole token of class, id or role, alone or with words that say where it is.
 NAMED = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+PLACES = {"site", "page", "main", "top", "bottom", "left", "right", "primary", "secondary", "global"}
+#: Elements that names never mark.
+UNNAMED = {"html", "body", "main", "article"}
 #: Elements that begin and end a block of text.
 BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", *ASIDE} - RAW - {"button"}
 #: Elements that recurrence never deletes.
@@ -58,23 +61,46 @@ CLOSES = {
 }
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_JOINTS = re.compile(r"[-_]+")
 _SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("tag", "aside", "article", "parent", "parts", "size", "hash", "children")
+    __slots__ = ("tag", "aside", "named", "article", "parent", "parts", "size", "shown", "hash", "children")
 
-    def __init__(self, tag: str, aside: bool, article: bool, parent: _Element | None = None) -> None:
-        self.tag, self.aside, self.article, self.parent = tag, aside, article, parent
+    def __init__(self, tag: str, named: bool, parent: _Element | None = None) -> None:
+        self.tag, self.named, self.parent = tag, named, parent
+        self.aside, self.article = tag in ASIDE, tag in ("article", "main")
         self.parts: list = []  # hashes of text and children, in order
         self.children: list = []  # elements and texts, in order
         self.size, self.hash = 0, 0
+        self.shown = 0  # the size without what is aside by its tag
+
+
+def _is_named(attributes: str) -> bool:
+    """Whether a token of class, id or role names a part of a page other than its article."""
+    for token in (t for n in _NAME.findall(attributes) for t in "".join(n).lower().split()):
+        words = [w for w in _JOINTS.split(token) if w]
+        if token in NAMED or (words and words[-1] in NAMED and NAMED.union(PLACES).issuperset(words)):
+            return True
+    return False
+
+
+def _set_aside(root: _Element) -> None:
+    """Names mark what they stand on as aside, unless it holds the page's largest article or most of its text."""
+    kept = {id(root)}
+    best = max((e for e in _reached(root) if e.article), key=lambda e: e.shown, default=None)
+    while best is not None:
+        kept.add(id(best))
+        best = best.parent
+    for e in _walk(root):
+        if e.named and e.tag not in UNNAMED and id(e) not in kept and 2 * e.shown <= root.shown:
+            e.aside = True
 
 
 def _parsed(page: str) -> _Element:
     """The element tree; tags that don't match are repaired as browsers do in the common cases."""
-    root = _Element("", False, False)
+    root = _Element("", False)
     stack, at = [root], 0
 
     def text(s: str) -> None:
@@ -82,7 +108,9 @@ def _parsed(page: str) -> _Element:
             top = stack[-1]
             top.children.append(s)
             top.parts.append(xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")))
-            top.size += len(s) - s.count(" ")
+            size = len(s) - s.count(" ")
+            top.size += size
+            top.shown += size
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -90,6 +118,7 @@ def _parsed(page: str) -> _Element:
             e.hash = xxhash.xxh3_64_intdigest(e.tag.encode() + np.array(e.parts, np.uint64).tobytes())
             stack[-1].parts.append(e.hash)
             stack[-1].size += e.size
+            stack[-1].shown += 0 if e.aside else e.shown
 
     while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
@@ -121,10 +150,9 @@ def _parsed(page: str) -> _Element:
                 if stack[depth].tag in own:
                     close(depth)
         if tag in VOID:
-            stack[-1].children.append(_Element(tag, False, False))
+            stack[-1].children.append(_Element(tag, False))
             continue
-        names = {w for n in _NAME.findall(rest) for w in _WORDS.findall("".join(n).lower())} if rest else ()
-        e = _Element(tag, tag in ASIDE or bool(NAMED.intersection(names)), tag in ("article", "main"), stack[-1])
+        e = _Element(tag, bool(rest) and _is_named(rest), stack[-1])
         stack[-1].children.append(e)
         stack.append(e)
         if tag in RAW:
@@ -134,6 +162,7 @@ def _parsed(page: str) -> _Element:
             close(len(stack) - 1)
     text(page[at:])
     close(1)
+    _set_aside(root)
     return root
 
 
@@ -145,6 +174,15 @@ def _walk(root: _Element) -> Iterator[_Element]:
         todo += [c for c in e.children if isinstance(c, _Element)]
 
 
+def _reached(root: _Element) -> Iterator[_Element]:
+    """The elements that are not within what is aside."""
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        yield e
+        todo += [c for c in e.children if isinstance(c, _Element) and not c.aside]
+
+
 def _deletable(e: _Element, total: int) -> bool:
     """Whether recurrence may delete it: no article, no part of a line, not the most of the page."""
     return bool(e.hash) and e.tag not in FRAME and 2 * e.size <= total and not (e.tag in INLINE and _in_line(e))
@@ -176,7 +214,7 @@ def subtrees(url: str | None, page: str) -> dict[int, bool]:
 def text_of(url: str | None, page: str, template) -> str:
     """The main text of a page; ``template(key)`` says whether a subtree recurs on its host."""
     root, host = _parsed(page), host_of(url)
-    marked = [e for e in _walk(root) if e.article and not e.aside]
+    marked = any(e.article for e in _reached(root))
     blocks: list[list[str]] = [[]]
     # (node, inside the article); None ends a block
     todo: list = [(root, not marked)]

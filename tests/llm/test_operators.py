@@ -267,6 +267,23 @@ def test_html_templates(spark, entries):
     assert html_text.extract(pages.limit(0), entries=entries).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body class="home has-sidebar header-fixed"><p>long body text</p></body>', "long body text"),
+        ('<body><article class="post comment-open"><p>the article</p></article><p>other</p></body>', "the article"),
+        ('<body><article class="sidebar related"><p>the article</p></article><p>other</p></body>', "the article"),
+        ('<html class="menu"><body id="header"><main class="share"><p>the main part</p></main></body></html>', "the main part"),
+        ('<div id="page" class="sidebar"><div>x</div><article>the article</article></div><div class="related"><article>teaser</article></div>', "the article"),
+        ('<div id="page" class="sidebar"><p>most of the text of this page</p></div><p>some more</p>', "most of the text of this page\nsome more"),
+        ('<div class="no-ad load-menu">one</div><div class="Cookie-Banner">two</div><div class="x main-nav">three</div><p>four five six seven eight</p>', "one\nfour five six seven eight"),
+        ('<aside><article>short card</article></aside><div>all of the text</div>', "all of the text"),
+    ],
+)
+def test_html_names(page, text):
+    assert html_text.text_of("http://a.b/c", page, lambda _: False) == text
+
+
 @pytest.mark.parametrize("entries", [1000, 0])
 def test_html_recurrence_is_by_distinct_pages(spark, entries):
     def html(body):
