@@ -2,7 +2,7 @@
 
 Every stage is called with (spark, docs, sf_dir); what it returns is written as Parquet and read again as the docs of the next.
 All but the last return the columns of ``documents``. Rows are filtered where they are, with their columns carried along, so that
-texts are not moved to be joined with a verdict; the near-duplicate stage joins the ids that go.
+texts are not moved to be joined with a verdict; the near-duplicate stage joins the keys that go.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from marketloom.llm.queries import vocabulary_path
 from marketloom.llm.scratch import written
 from marketloom.llm.shipping import ship
 
-#: Up to so many ids of documents that go are sent to all tasks (16 MB at most); beyond, they are joined by a shuffle.
+#: Up to so many ids of documents that go are sent to all tasks (40 MB at most); beyond, they are joined by a shuffle.
 SENT_IDS = 500_000
 
 #: The rows of run() can't be had from SQL: learned weights and a tokenizer decide them.
@@ -42,19 +42,25 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays.
+    """Of each component of near duplicates one row stays, that with the smallest id; one without an id only where none has one.
 
-    Of several rows with that id one stays. Rows without an id, which nothing can name, stay.
+    A row is named by its id and its text, so rows that share an id but not their text are documents of their own, with or without an id.
+    Rows without words are near duplicates of nothing and all stay.
     """
     ship(spark)
-    found = written(jaccard.near_duplicates(docs.select("doc_id", "text")), "components")
-    gone = found.where("doc_id IS NOT NULL AND doc_id != component_id").select("doc_id").distinct()
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    stays = docs.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+    # sorted by id, null ids last; rows of one key are copies of each other
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("x"), F.hash("text").alias("y"))
+    found = written(jaccard.near_duplicates(docs.select(key.alias("doc_id"), "text")), "components")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("key")).distinct()
+    repeated = found.where("doc_id = component_id AND n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
+    gone, repeated = (written(keys, "keys") for keys in (gone, repeated))
+    sent = lambda keys: F.broadcast(keys) if keys.count() <= SENT_IDS else keys
+    stays = docs.withColumn("key", key).join(sent(gone), "key", "left_anti")
     if not repeated.take(1):
-        return stays
-    once = stays.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stays.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+        return stays.select(docs.columns)
+    repeated = sent(repeated)
+    once = stays.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    return stays.join(repeated, "key", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

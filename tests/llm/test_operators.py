@@ -1,5 +1,6 @@
 """Operators against brute force, on rows that are odd in every way."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marketloom_llm_rows import make
+from marketloom_llm_rows import make, prose
 from marketloom.llm import decontamination, html_text, jaccard, language, packing, quality, sharding, token_count, token_store, toxicity
 from marketloom.llm.token_ids import WordCoder
 
@@ -355,3 +356,18 @@ def test_pipeline(spark, odd_rows, tmp_path):
     assert Counter(r["doc_id"] for r in docs.collect()) == Counter([10, *range(50, 62), 85])
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == {10, *range(50, 62), 85}
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    near = f"{d} more"
+    rows = [(7, a), (7, b), (7, c), (3, c), (7, a), (None, d), (None, near), (None, e), (9, e), (5, None), (5, None), (None, ""), (None, "")]
+    docs = make(spark, rows)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    one = next(t for t in (d, near) if got[None, t])
+    assert got == Counter([(7, a), (7, b), (3, c), (None, one), (9, e), (5, None), (5, None), (None, ""), (None, "")])
