@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.parameters import budget
-from marketloom.functions.scalars import canonical, hash_uniform, items_text, laplace_mechanism, subsets
+from marketloom.functions.scalars import canonical, hash_uniform, items_text, laplace_mechanism, quality_d, subsets
 from marketloom.operators import experiments, items, itemsets, rules, sampling
 from marketloom.plans.stored import stored
 
@@ -51,7 +51,35 @@ class Run:
             raise ValueError("c0 must be at least 0 and below 1")
 
 
-def private_leaves(weighted: DataFrame, counts: DataFrame, runs: list[Run], quality: str = "sigma", first_item: str = "noisy", forced_last: bool = False) -> DataFrame:
+def candidate_quality(candidates: DataFrame, weighted: DataFrame, counts: DataFrame, width: int, quality: str = "sigma", d_where: Column | bool = False, reduce: str | None = None, asymmetric: bool = False) -> DataFrame:
+    """Column ``q`` of candidates (run_id, path, prefix of ``width`` items in the order drawn, item, support, sup_prefix, cnt, cnts of the
+    prefix, c0). ``d_where``: candidates that are scored by d whatever the quality.
+
+    ``reduce`` (max or min): d over the counts of all items, not the last one's; delta also over the first 1 to ``width`` - 1 items of the
+    set with each of its items in turn swapped to the end.
+    """
+    if reduce not in (None, "max", "min"):
+        raise ValueError(f"unknown reduction {reduce}")
+    if quality == "delta" and reduce and width > 1:
+        begins = [F.slice("prefix", 1, j) for j in range(1, width)]
+        begins += [F.concat(F.slice("prefix", 1, a), F.array("item"), F.slice("prefix", a + 2, j - a - 1)) for j in range(1, width) for a in range(j)]
+        parts = candidates.select("run_id", "path", "item", F.explode(F.array(*map(canonical, begins))).alias("itemset"))
+        sups = itemsets.itemset_support(weighted, parts.select("itemset"), counts).withColumnRenamed("support", "sup")
+        least = (F.min if reduce == "max" else F.max)("sup")  # the greatest score has the least support
+        best = parts.join(sups, "itemset").groupBy("run_id", "path", "item").agg(least.alias("sup"))
+        either = F.least if reduce == "max" else F.greatest
+        candidates = candidates.join(best, ["run_id", "path", "item"]).withColumn("sup_prefix", either("sup_prefix", "sup")).drop("sup")
+    scored = sampling.extension_quality(candidates, quality)
+    if reduce:
+        d = F.transform(F.concat("cnts", F.array("cnt")), lambda x: quality_d("support", x, F.col("c0"), asymmetric))
+        d = (F.array_max if reduce == "max" else F.array_min)(d)
+    else:
+        d = quality_d("support", "cnt", F.col("c0"), asymmetric)  # c0 is the run's own
+    where = F.lit(True) if quality == "d" else d_where if isinstance(d_where, Column) else F.lit(d_where)
+    return scored.withColumn("q", F.when(where, d).otherwise(F.col("q")))
+
+
+def private_leaves(weighted: DataFrame, counts: DataFrame, runs: list[Run], quality: str = "sigma", first_item: str = "noisy", forced_last: bool = False, reduce: str | None = None, asymmetric: bool = False) -> DataFrame:
     """The sets that each run draws: (run_id, path, itemset). ``path`` are the draws that led there, by which branches are ordered.
 
     ``counts`` must be zero-filled. All runs and branches of a level are one query; supports are shared by all runs.
@@ -68,7 +96,7 @@ def private_leaves(weighted: DataFrame, counts: DataFrame, runs: list[Run], qual
 
     first = F.col("noisy_count") if first_item == "noisy" else share(0) * F.col("cnt") / 2
     drawn = sampling.weighted_sample(top.withColumn("logw", first), ["run_id"], F.col("bf"), "logw", hash_uniform(F.col("seed"), F.lit(0), F.lit(""), F.col("item")), ["item"], log_weight=True)
-    level = stored(drawn.select("run_id", F.array("draw").alias("path"), F.array("item").alias("prefix"), F.col("cnt").alias("sup_prefix")), "level-0")
+    level = stored(drawn.select("run_id", F.array("draw").alias("path"), F.array("item").alias("prefix"), F.col("cnt").alias("sup_prefix"), F.array("cnt").alias("cnts")), "level-0")
     leaves = None
     for i in range(1, max(r.lmax for r in runs)):
         open_ = level.join(F.broadcast(table.where(F.col("lmax") > i).select("run_id")), "run_id", "left_semi")
@@ -76,15 +104,13 @@ def private_leaves(weighted: DataFrame, counts: DataFrame, runs: list[Run], qual
         known = itemsets.extension_supports(weighted, open_, counts).withColumnRenamed("prefix", "set")
         candidates = grid.withColumn("set", canonical("prefix")).join(known, ["set", "item"], "left").withColumn("support", F.coalesce("support", F.lit(0)).cast("bigint"))
         last = F.col("lmax") == i + 1
-        scored = sampling.extension_quality(candidates, quality)
-        if forced_last or quality == "d":  # c0 is the run's own
-            scored = scored.withColumn("q", F.when(last if forced_last else F.lit(True), -F.abs(F.col("support") / F.col("c0") - F.col("cnt"))).otherwise(F.col("q")))
+        scored = candidate_quality(candidates, weighted, counts, i, quality, last if forced_last else False, reduce, asymmetric)
         scored = scored.withColumn("logw", share(i) * F.col("q") / 2).withColumn("last", last)
         u = hash_uniform(F.col("seed"), F.lit(i), items_text("prefix"), F.col("item"))
-        keyed = stored(scored.withColumn("v", F.log(F.log(1 / u)) - F.col("logw")).select("run_id", "path", "prefix", "item", "support", "bf", "last", "v"), "candidates")
+        keyed = stored(scored.withColumn("v", F.log(F.log(1 / u)) - F.col("logw")).select("run_id", "path", "prefix", "item", "support", "cnt", "cnts", "bf", "last", "v"), "candidates")
         rank = F.row_number().over(Window.partitionBy("run_id", "path").orderBy("v", "item"))
         inner = keyed.where("NOT last").withColumn("draw", rank).where("draw <= bf")
-        level = stored(inner.select("run_id", F.concat("path", F.array("draw")).alias("path"), F.concat("prefix", F.array("item")).alias("prefix"), F.col("support").alias("sup_prefix")), "level")
+        level = stored(inner.select("run_id", F.concat("path", F.array("draw")).alias("path"), F.concat("prefix", F.array("item")).alias("prefix"), F.col("support").alias("sup_prefix"), F.concat("cnts", F.array("cnt")).alias("cnts")), "level")
         ends = _last_draws(keyed.where("last").withColumn("itemset", canonical(F.concat("prefix", F.array("item")))))
         leaves = ends if leaves is None else leaves.unionByName(ends)
     return leaves
@@ -108,15 +134,17 @@ def _last_draws(candidates: DataFrame) -> DataFrame:
         struck = stored(lost if struck is None else struck.unionByName(lost), "struck")
 
 
-def private_rules_job(baskets: DataFrame, runs: list[Run], quality: str = "sigma", first_item: str = "noisy", forced_last: bool = False) -> dict[str, DataFrame]:
+def private_rules_job(baskets: DataFrame, runs: list[Run], quality: str = "sigma", first_item: str = "noisy", forced_last: bool = False, reduce: str | None = None, asymmetric: bool = False) -> dict[str, DataFrame]:
     """Sets drawn under each run's budget, and what they are worth: leaves, itemsets, rules, stats, histogram, each with run_id.
 
+    ``reduce`` and ``asymmetric`` are those of ``candidate_quality``.
+
     Only the leaves and the sets in them are private; supports, confidences, histograms and recall are exact and serve evaluation. The
     uniform numbers come from a public hash: for a release take secret seeds.
     """
     counts = stored(items.zero_filled_counts(items.item_counts(baskets)), "counts")
     weighted = stored(items.weighted_baskets(baskets), "weighted")
-    leaves = stored(private_leaves(weighted, counts, runs, quality, first_item, forced_last), "leaves")
+    leaves = stored(private_leaves(weighted, counts, runs, quality, first_item, forced_last, reduce, asymmetric), "leaves")
     found = stored(itemsets.expand_leaves(leaves, "run_id"), "itemsets")
     every = leaves.select(F.explode(subsets("itemset", proper=False)).alias("itemset")).distinct()
     supports = stored(itemsets.itemset_support(weighted, every, counts), "supports")
@@ -150,6 +178,8 @@ def rule_quality_job(supports: DataFrame, method: str, m: float, theta: float, e
 
 def best_extension(supports: DataFrame, seed: list[int], size: int, mode: str, c0: float = 0.5) -> DataFrame:
     """(itemset, score): of the sets of that size that contain ``seed`` the one with the best score; ties by itemset."""
+    if mode not in ("sigma", "delta", "d"):
+        raise ValueError(f"unknown mode {mode}")
     wanted = itemsets.supersets_of(supports, seed, size)
     if mode == "sigma":
         scored = wanted.select("itemset", F.col("support").cast("double").alias("score"))
@@ -162,18 +192,21 @@ def best_extension(supports: DataFrame, seed: list[int], size: int, mode: str, c
 
 def chain_job(supports: DataFrame, n: int, rmax: int, mode: str = "sigma", c0: float = 0.5) -> DataFrame:
     """Greedy growth from the most frequent item to a set of ``rmax``, by sigma, delta or d: (step, itemset, score). Items outside the top
-    ``n`` take no part."""
+    ``n`` take no part. Mode sigma-d or delta-d: what the first chain ends with is grown on by d, up to the same ``rmax``."""
+    if mode not in ("sigma", "delta", "d", "sigma-d", "delta-d"):
+        raise ValueError(f"unknown mode {mode}")
     spark = supports.sparkSession
     singles = supports.where(F.size("itemset") == 1).select(F.element_at("itemset", 1).alias("item"), F.col("support").alias("cnt"))
     top = items.item_list(items.top_items(singles, n))
     known = stored(itemsets.itemsets_within(supports, top), "known")
     rows, seed = [], top[:1]
-    for size in range(2, rmax + 1):
-        best = best_extension(known, seed, size, mode, c0).first()
-        if best is None:
-            break
-        seed = best["itemset"]
-        rows.append((size, seed, float(best["score"])))
+    for part in mode.split("-"):
+        for size in range(len(seed) + 1, rmax + 1):
+            best = best_extension(known, seed, size, part, c0).first()
+            if best is None:
+                break
+            seed = best["itemset"]
+            rows.append((size, seed, float(best["score"])))
     return spark.createDataFrame(rows, "step int, itemset array<int>, score double")
 
 

@@ -237,3 +237,45 @@ def test_grids_and_series(spark):
     assert {(r["shelves"], r["bins"]) for r in grid.collect()} == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (4, 1)}
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "k string, x int")
     assert {r["k"] for r in experiments.complete_series(df, ["k"], 2).collect()} == {"a"}
+
+
+@pytest.mark.parametrize("mode", ["sigma", "delta"])
+def test_chained_modes(k5, mode):
+    assert [(list(r["itemset"]), r["score"]) for r in jobs.chain_job(k5, 5, 5, f"{mode}-d").orderBy("step").collect()] == CHAINS[mode]
+    with pytest.raises(ValueError):
+        jobs.chain_job(k5, 5, 5, "d-sigma")
+    with pytest.raises(ValueError):
+        jobs.best_extension(k5, [6], 2, "other")
+
+
+def test_reductions_are_the_reference(spark):
+    baskets = [{1, 2, 3}, {1, 2}, {2, 3, 4}, {1, 2, 3, 4}, {3}, {1, 3}, {2, 4}, {1, 2, 3, 6}, {6, 2}, {1, 4, 6}, {4, 6}, {4}]
+
+    def sup(*x):
+        return sum(set(x) <= b for b in baskets)
+
+    def brute(xs, quality, fun, asymmetric):
+        xs, ep, ab = list(xs), len(xs) - 1, sup(*xs)
+        if quality == "d":
+            gaps = [ab / 0.4 - sup(x) for x in xs]
+            return fun(-abs(min(g, 0) if asymmetric else g) for g in gaps)
+        found = [ab - sup(*xs[:ep])]
+        for i in range(len(xs)):
+            xs[ep], xs[i] = xs[i], xs[ep]
+            found += [ab - sup(*xs[:j]) for j in range(1, ep)]
+            xs[ep], xs[i] = xs[i], xs[ep]
+        return fun(found)
+
+    weighted = spark.createDataFrame([(sorted(b), 1) for b in baskets], "items array<int>, w long")
+    counts = spark.createDataFrame([(x, sup(x)) for x in (1, 2, 3, 4, 6)], "item int, cnt long")
+    sets = [(4, 1, 2), (1, 2, 4), (6, 3, 1), (2, 3, 1), (3, 6, 2), (4, 1, 3, 2), (2, 6, 1, 3), (6, 4, 2, 1), (2, 1), (4, 6)]
+    for quality, fun, asymmetric in [("delta", max, False), ("delta", min, False), ("d", max, False), ("d", min, True)]:
+        for width in (1, 2, 3):
+            own = [x for x in sets if len(x) == width + 1]
+            rows = [(0, [k], list(x[:-1]), x[-1], sup(*x), sup(*x[:-1]), sup(x[-1]), [sup(y) for y in x[:-1]], 0.4) for k, x in enumerate(own)]
+            c = spark.createDataFrame(rows, "run_id int, path array<int>, prefix array<int>, item int, support long, sup_prefix long, cnt long, cnts array<long>, c0 double")
+            got = {r["path"][0]: r["q"] for r in jobs.candidate_quality(c, weighted, counts, width, quality, reduce=fun.__name__, asymmetric=asymmetric).collect()}
+            assert got == pytest.approx({k: brute(x, quality, fun, asymmetric) for k, x in enumerate(own)})
+    table = spark.createDataFrame([(k, sorted(b)) for k, b in enumerate(baskets)], "tid long, items array<int>")
+    leaves = jobs.private_rules_job(table, [jobs.Run(0, 2.0, 0.1, 0.4, 4, 5, 1)], "delta", reduce="min", asymmetric=True, forced_last=True)["leaves"].collect()
+    assert len(leaves) == 1 and len(leaves[0]["itemset"]) == 4
