@@ -58,9 +58,11 @@ def complete_series(df: DataFrame, keys: list[str], n_points: int) -> DataFrame:
     return df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_n") == n_points).drop("_n")
 
 
-def with_baseline(method: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Rows of both in one table, told apart by ``method``; only for the series that both have."""
-    return method.withColumn("method", F.lit("method")).unionByName(baseline.withColumn("method", F.lit("baseline")), allowMissingColumns=True)
+def with_baseline(method: DataFrame, baseline: DataFrame, *keys: str) -> DataFrame:
+    """Rows of both in one table, told apart by ``method``; only of the series, named by ``keys``, that both have. Null keys match nothing."""
+    both = method.select(*keys).distinct().join(baseline.select(*keys).distinct(), list(keys)) if keys else None
+    own = lambda df, name: (df if both is None else df.join(both, list(keys), "left_semi")).withColumn("method", F.lit(name))
+    return own(method, "method").unionByName(own(baseline, "baseline"), allowMissingColumns=True)
 
 
 def average_histograms(hists: DataFrame, exp_cols: list[str], run_col: str, expected: str) -> DataFrame:

@@ -11,6 +11,7 @@ from marketloom.functions.parameters import budget
 from marketloom.functions.scalars import canonical, hash_uniform, items_text, laplace_mechanism, quality_d, subsets
 from marketloom.operators import experiments, items, itemsets, rules, sampling
 from marketloom.plans.stored import stored
+from marketloom.sources import text
 
 
 def _checked_lmax(lmax: int) -> None:
@@ -85,14 +86,16 @@ def private_leaves(weighted: DataFrame, counts: DataFrame, runs: list[Run], qual
     ``counts`` must be zero-filled. All runs and branches of a level are one query; supports are shared by all runs.
     """
     spark = weighted.sparkSession
-    free = 1 if first_item == "noisy" else 0
-    table = spark.createDataFrame([tuple(asdict(r).values()) for r in runs], "run_id int, eps double, ratio double, c0 double, lmax int, ni int, bf int, seed int")
+    spent = [budget(r.eps, r.ratio, r.lmax, r.bf, first_item) for r in runs]
+    shares = [[x["levels"].get(i, 0.0) / r.bf for i in range(r.lmax)] for r, x in zip(runs, spent, strict=True)]
+    rows = [(*asdict(r).values(), x["items"], s) for r, x, s in zip(runs, spent, shares, strict=True)]
+    table = spark.createDataFrame(rows, "run_id int, eps double, ratio double, c0 double, lmax int, ni int, bf int, seed int, item_eps double, shares array<double>")
     noise = hash_uniform(F.col("seed"), F.lit("count"), F.col("item"))
     # a row for each run and item: the number of runs is the caller's list
-    noisy = counts.crossJoin(F.broadcast(table)).withColumn("noisy_count", laplace_mechanism("cnt", noise, F.col("eps") * F.col("ratio")))
+    noisy = counts.crossJoin(F.broadcast(table)).withColumn("noisy_count", laplace_mechanism("cnt", noise, F.col("item_eps")))
     place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("noisy_count"), "item"))
     top = stored(noisy.withColumn("pos", place).where("pos <= ni"), "noisy-items")
-    share = lambda level: F.col("eps") * (1 - F.col("ratio")) / (F.col("lmax") - free) / F.pow("bf", F.lit(level)) / F.col("bf")
+    share = lambda level: F.get("shares", F.lit(level))
 
     first = F.col("noisy_count") if first_item == "noisy" else share(0) * F.col("cnt") / 2
     drawn = sampling.weighted_sample(top.withColumn("logw", first), ["run_id"], F.col("bf"), "logw", hash_uniform(F.col("seed"), F.lit(0), F.lit(""), F.col("item")), ["item"], log_weight=True)
@@ -211,8 +214,18 @@ def chain_job(supports: DataFrame, n: int, rmax: int, mode: str = "sigma", c0: f
 
 
 def experiment_report(runs: DataFrame) -> DataFrame:
-    """The averaged experiment table of a run table, in the order of its keys."""
-    return experiments.sorted_report(experiments.average_runs(runs))
+    """The averaged experiment table of a run table, in the order of its keys. Runs whose log has no complete histogram are left out."""
+    return experiments.sorted_report(experiments.average_runs(runs.where("rules IS NOT NULL AND rules50 IS NOT NULL")))
+
+
+def report_from_logs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a folder of run logs: runs, averaged, and the two series that are drawn of every configuration: rules by draws (all and
+    those over .5) and precision by budget."""
+    runs = stored(text.read_run_logs(spark, folder), "runs")
+    averaged = stored(experiment_report(runs), "averaged")
+    by_draws = averaged.select("db", "eps", "c0", "rmax", "ni", F.col("bf").alias("x"), "R", "R50")
+    by_budget = averaged.select("db", "c0", "rmax", "ni", "bf", F.col("eps").alias("x"), "precision", "recall")
+    return {"runs": runs, "averaged": averaged, "by_draws": by_draws, "by_budget": by_budget}
 
 
 def grid_runs(spark: SparkSession, **values: list) -> list[Run]:

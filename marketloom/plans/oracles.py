@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marketloom.functions.parameters import rule_space
-from marketloom.plans.queries import GRID, LMAX, NI, THETA
+from marketloom.plans.queries import DEEP, GRID, LMAX, NI, THETA
 
 _U = "((('0x' || substr(md5({0}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
 _LAPLACE = "CASE WHEN 0.5 - {u} < 0 THEN {b} * ln(1 + 2 * (0.5 - {u})) ELSE -({b}) * ln(1 - 2 * (0.5 - {u})) END"
@@ -11,10 +11,10 @@ _SUBSETS = "list_transform(range(1, (1 << len({a})) - {less}), lambda m : list_f
 _BIN = "CASE " + " ".join(f"WHEN conf > {(9 - k) / 10} THEN {k}" for k in range(10)) + " END"
 
 
-def _grid() -> str:
+def _grid(grid: dict = GRID) -> str:
     from itertools import product
 
-    return ", ".join(str((k, *c)) for k, c in enumerate(product(*GRID.values())))
+    return ", ".join(str((k, *c)) for k, c in enumerate(product(*grid.values())))
 
 
 #: Common tables in the order in which they build on each other.
@@ -26,20 +26,21 @@ _TABLES = {
     "ranked": "SELECT item, cnt, row_number() OVER (ORDER BY cnt DESC, item) AS rank FROM c",
     "top": f"SELECT item, cnt, rank FROM ranked WHERE rank <= {NI}",
     "tb": "SELECT b.tid, b.item FROM b JOIN top USING (item)",
-    "s": "SELECT [item] AS a, count(*) AS sup FROM tb GROUP BY item UNION ALL SELECT [x.item, y.item], count(*) FROM tb x JOIN tb y ON x.tid = y.tid AND x.item < y.item GROUP BY x.item, y.item "
-    "UNION ALL SELECT [x.item, y.item, z.item], count(*) FROM tb x JOIN tb y ON x.tid = y.tid AND x.item < y.item JOIN tb z ON z.tid = y.tid AND y.item < z.item GROUP BY x.item, y.item, z.item",
-    "r": f"SELECT p.a, p.sub, p.sup AS sup_ab, q.sup AS sup_a, p.sup / q.sup AS conf FROM (SELECT a, sup, unnest({_SUBSETS.format(a='a', less=1)}) AS sub FROM s WHERE len(a) >= 2) p JOIN s q ON q.a = p.sub",
+    "s": "SELECT a, array_to_string(a, ' ') AS k, sup FROM (SELECT [item] AS a, count(*) AS sup FROM tb GROUP BY item UNION ALL SELECT [x.item, y.item], count(*) FROM tb x JOIN tb y ON x.tid = y.tid AND x.item < y.item GROUP BY x.item, y.item "
+    "UNION ALL SELECT [x.item, y.item, z.item], count(*) FROM tb x JOIN tb y ON x.tid = y.tid AND x.item < y.item JOIN tb z ON z.tid = y.tid AND y.item < z.item GROUP BY x.item, y.item, z.item) q",
+    "parts": f"SELECT a, k, sup, sub, array_to_string(sub, ' ') AS part FROM (SELECT a, k, sup, unnest({_SUBSETS.format(a='a', less=1)}) AS sub FROM s) q",
+    "r": "SELECT p.a, p.k, p.sub, p.sup AS sup_ab, q.sup AS sup_a, p.sup / q.sup AS conf FROM parts p JOIN s q ON q.k = p.part",
     "stats": "SELECT a, max(sup_ab) AS support, count(*) FILTER (conf > 0.3) AS n30, count(*) FILTER (conf > 0.5) AS n50, count(*) FILTER (conf > 0.7) AS n70 FROM r GROUP BY a",
     "bins": "SELECT k AS bin, (9 - k) / 10 AS bound FROM range(10) g(k)",
     "zero": "SELECT g.i::INT AS item, coalesce(c.cnt, 0) AS cnt FROM (SELECT unnest(range(1, (SELECT max(item) FROM c) + 1)) AS i) g LEFT JOIN c ON c.item = g.i",
     "noisy": f"SELECT item, cnt AS real_count, greatest(cnt + ({_LAPLACE.format(u='u', b='(1 / 0.05)')}), 0.0) AS noisy_count FROM (SELECT item, cnt, {_U.format(chr(39) + '42|count|' + chr(39) + ' || item')} AS u FROM zero) q",
     "placed": "SELECT *, row_number() OVER (ORDER BY noisy_count DESC, item) AS pos FROM noisy",
-    "pt": "SELECT DISTINCT p.sup AS sup_ab, q.sup AS sup_a FROM (SELECT a, sup, unnest(" + _SUBSETS.format(a="a", less=1) + ") AS sub FROM s) p JOIN s q ON q.a = p.sub",
+    "pt": "SELECT DISTINCT p.sup AS sup_ab, q.sup AS sup_a FROM parts p JOIN s q ON q.k = p.part",
     # private runs of two levels, branch by branch
     "runs": f"SELECT * FROM (VALUES {_grid()}) v(run_id, {', '.join(GRID)})",
     "pn": f"SELECT run_id, item, cnt, greatest(cnt + ({_LAPLACE.format(u='u', b='(1 / (eps * ratio))')}), 0.0) AS nc FROM (SELECT *, {_U.format(chr(39) + chr(39) + ' || seed || ' + chr(39) + '|count|' + chr(39) + ' || item')} AS u FROM zero, runs) q",
-    "pk": "SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY nc DESC, item) AS pos FROM pn",
-    "ptop": "SELECT pk.*, eps, ratio, lmax, bf, seed FROM pk JOIN runs USING (run_id) WHERE pos <= ni",
+    "pk": "SELECT run_id, item, cnt, nc, row_number() OVER (PARTITION BY run_id ORDER BY nc DESC, item) AS pos FROM pn",
+    "ptop": "SELECT pk.*, eps, ratio, c0, lmax, bf, seed FROM pk JOIN runs USING (run_id) WHERE pos <= ni",
     "l0": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY v, item) AS br FROM (SELECT *, ln(ln(1 / {_U.format('seed || ' + chr(39) + '|0||' + chr(39) + ' || item')})) - nc AS v FROM ptop) q) w WHERE br <= bf",
     "s2": "SELECT x.item AS i, y.item AS j, count(*) AS sup FROM b x JOIN b y ON x.tid = y.tid AND x.item <> y.item GROUP BY ALL",
     "cand": f"SELECT l.run_id, l.br, l.bf, l.item AS p, q.item AS x, least(l.item, q.item) AS i, greatest(l.item, q.item) AS j, coalesce(s2.sup, 0) AS sup, ln(ln(1 / {_U.format('l.seed || ' + chr(39) + '|1|' + chr(39) + ' || l.item || ' + chr(39) + '|' + chr(39) + ' || q.item')})) - l.eps * (1 - l.ratio) / (l.lmax - 1) / l.bf / l.bf * coalesce(s2.sup, 0) / 2 AS v FROM l0 l JOIN ptop q ON q.run_id = l.run_id AND q.item <> l.item LEFT JOIN s2 ON s2.i = l.item AND s2.j = q.item",
@@ -58,12 +59,16 @@ _TABLES = {
     "av": "SELECT db, eps, c0, rmax, nits AS ni, bf, avg(rules) AS R, avg(rules50) AS R50, avg(realrls) AS RR FROM sw GROUP BY ALL",
 }
 _USES = {
-    "t": "b", "c": "b", "ranked": "c", "top": "ranked", "tb": "b top", "s": "tb", "r": "s", "stats": "r", "zero": "c", "noisy": "zero", "placed": "noisy", "pt": "s",
+    "t": "b", "c": "b", "ranked": "c", "top": "ranked", "tb": "b top", "s": "tb", "parts": "s", "r": "s parts", "stats": "r", "zero": "c", "noisy": "zero", "placed": "noisy", "pt": "s parts",
     "pn": "zero runs", "pk": "pn", "ptop": "pk runs", "l0": "ptop", "s2": "b", "cand": "l0 ptop s2", "b1": "cand", "b2": "cand b1", "leaf": "b1 b2", "pr": "leaf s2 zero", "ps": "pr",
     "ph0": "pr", "ph1": "leaf bins ph0", "ph": "ph1", "rec": "ps stats", "sw": "runs leaf ph rec", "av": "sw",
 }
 
 
+#: Tables that are read several times.
+_ONCE = {"b", "cb", "c", "tb", "s", "parts", "r", "s2"}
+
+
 def _with(names: str, body: str) -> str:
     wanted, todo = set(), names.split()
     while todo:
@@ -71,26 +76,26 @@ def _with(names: str, body: str) -> str:
         if x not in wanted:
             wanted.add(x)
             todo += _USES.get(x, "").split()
-    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in _TABLES.items() if k in wanted) + " " + body
+    return "WITH " + ", ".join(f"{k} AS {'MATERIALIZED ' * (k in _ONCE)}({v})" for k, v in _TABLES.items() if k in wanted) + " " + body
 
 
 def _text(a: str, sep: str = " ") -> str:
     return f"array_to_string({a}, '{sep}')"
 
 
-_RULE = f"SELECT {_text('a')} AS itemset, {_text('sub')} AS antecedent, {_text('list_filter(a, lambda x : NOT list_contains(sub, x))')} AS consequent, sup_ab, sup_a, round(conf, 6) AS conf FROM r"
+_RULE = f"SELECT k AS itemset, {_text('sub')} AS antecedent, {_text('list_filter(a, lambda x : NOT list_contains(sub, x))')} AS consequent, sup_ab, sup_a, round(conf, 6) AS conf FROM r"
 _HIST = "SELECT bin, bound, n, round(CASE WHEN tot = 0 THEN 0 ELSE n / tot END, 6) AS frac, cum_n, round(CASE WHEN tot = 0 THEN 0 ELSE cum_n / tot END, 6) AS cum_frac"
 _FULL = f"(SELECT *, sum(n) OVER (ORDER BY bin) AS cum_n, sum(n) OVER () AS tot FROM (SELECT bins.bin, bins.bound, coalesce(h.n, 0) AS n FROM bins LEFT JOIN (SELECT {_BIN} AS bin, count(*) AS n FROM r WHERE conf <> 0 GROUP BY ALL) h ON h.bin = bins.bin) q) w"
-_POINTS = "SELECT {0} AS itemset, {1} AS antecedent, q.sup AS sup_a, p.sup AS sup_ab, len(p.sub) AS len_a, len(p.a) AS len_ab FROM (SELECT a, sup, unnest({2}) AS sub FROM s WHERE {3}) p JOIN s q ON q.a = p.sub"
+_POINTS = "SELECT {0} AS itemset, {1} AS antecedent, q.sup AS sup_a, p.sup AS sup_ab, len(p.sub) AS len_a, len(p.a) AS len_ab FROM (SELECT a, k, sup, unnest({2}) AS sub FROM s WHERE {3}) p JOIN s q ON q.k = array_to_string(p.sub, ' ')"
 _LINE = f"{_text('sub')} || ' -> ' || {_text('list_filter(a, lambda x : NOT list_contains(sub, x))')} || ' | c=' || printf('%7.6f', conf)"
 _WIDE = "SELECT u.*, (SELECT cum_n / nullif(tot, 0) FROM ph WHERE ph.run_id = u.run_id AND bin = 0) AS p90, (SELECT cum_n / nullif(tot, 0) FROM ph WHERE ph.run_id = u.run_id AND bin = 2) AS p70, (SELECT cum_n / nullif(tot, 0) FROM ph WHERE ph.run_id = u.run_id AND bin = 4) AS p50 FROM runs u WHERE seed = 1"
 _M = "(SELECT count(*) FROM t)"
 
 
 def _chain(score: str) -> str:
-    least = f"SELECT p.a, p.sup, min(q.sup) AS low FROM (SELECT a, sup, unnest({_SUBSETS.format(a='a', less=1)}) AS sub FROM s WHERE len(a) >= 2) p JOIN s q ON q.a = p.sub GROUP BY p.a, p.sup"
+    least = "SELECT p.a, p.sup, min(q.sup) AS low FROM parts p JOIN s q ON q.k = p.part GROUP BY p.a, p.sup"
     return _with(
-        "s top",
+        "s parts top",
         f"SELECT * FROM (WITH m AS ({least}), k AS (SELECT a, CAST({score} AS DOUBLE) AS score FROM m), "
         "k2 AS (SELECT a, score FROM k WHERE len(a) = 2 AND list_contains(a, (SELECT item FROM top WHERE rank = 1)) ORDER BY score DESC, a LIMIT 1), "
         "k3 AS (SELECT k.a, k.score FROM k, k2 WHERE len(k.a) = 3 AND list_contains(k.a, k2.a[1]) AND list_contains(k.a, k2.a[2]) ORDER BY k.score DESC, k.a LIMIT 1) "
@@ -98,6 +103,35 @@ def _chain(score: str) -> str:
     )
 
 
+def _deep(inner: str, last: str, first_item: str = "noisy") -> str:
+    """Leaves of three levels with two draws each, branch after branch. ``inner``, ``last``: scores of the levels after the first, from the
+    support sup, that of the prefix sp, the count cx of the new item, and the counts c1, c2 of those before."""
+    free, first = (1, "nc") if first_item == "noisy" else (0, "eps * (1 - ratio) / lmax / bf * cnt / 2")
+    u = lambda level, prefix: _U.format(f"seed || '|{level}|' || {prefix} || '|' || item")
+    share = lambda level: f"eps * (1 - ratio) / (lmax - {free}) / power(bf, {level}) / bf"
+    draws = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, path ORDER BY v, item) AS n FROM ({0}) q) w WHERE n <= bf"
+    tables = {
+        "runs": f"SELECT * FROM (VALUES {_grid(DEEP)}) v(run_id, {', '.join(DEEP)})",
+        "d0": draws.format(f"SELECT *, '' AS path, ln(ln(1 / {u(0, repr(''))})) - ({first}) AS v FROM ptop"),
+        "d1": draws.format(
+            f"SELECT *, ln(ln(1 / {u(1, 'p1')})) - {share(1)} * ({inner}) / 2 AS v FROM (SELECT l.run_id, l.n::VARCHAR AS path, l.item AS p1, l.cnt AS c1, l.cnt AS sp, x.item, x.cnt AS cx, coalesce(s2.sup, 0) AS sup, "
+            "x.eps, x.ratio, x.c0, x.lmax, x.bf, x.seed FROM d0 l JOIN ptop x ON x.run_id = l.run_id AND x.item <> l.item LEFT JOIN s2 ON s2.i = l.item AND s2.j = x.item) q"
+        ),
+        "s3": "SELECT x.item AS i, y.item AS j, z.item AS k, count(*) AS sup FROM b x JOIN b y ON x.tid = y.tid AND x.item < y.item JOIN b z ON z.tid = y.tid AND y.item < z.item GROUP BY ALL",
+        "d2": f"SELECT *, ln(ln(1 / {u(2, 'pre')})) - {share(2)} * ({last}) / 2 AS v FROM (SELECT q.*, coalesce(s3.sup, 0) AS sup FROM (SELECT l.run_id, l.path || l.n AS path, l.p1 || ' ' || l.item AS pre, l.c1, l.cx AS c2, l.sup AS sp, x.item, x.cnt AS cx, "
+        "list_sort([l.p1, l.item, x.item]) AS a, x.eps, x.ratio, x.c0, x.lmax, x.bf, x.seed FROM d1 l JOIN ptop x ON x.run_id = l.run_id AND x.item <> l.item AND x.item <> l.p1) q LEFT JOIN s3 ON s3.i = a[1] AND s3.j = a[2] AND s3.k = a[3]) w",
+    }
+    before: list[str] = []
+    for path in ("11", "12", "21", "22"):
+        gone = "".join(f" AND NOT EXISTS (SELECT 1 FROM e{k} WHERE e{k}.run_id = d2.run_id AND e{k}.a = d2.a)" for k in before)
+        tables[f"e{path}"] = draws.format(f"SELECT run_id, path, item, a, bf, v FROM d2 WHERE path = '{path}'{gone}")
+        before.append(path)
+    common = _with("ptop s2", "").removeprefix("WITH ").split(", ptop AS", 1)
+    named = ", ".join(f"{k} AS MATERIALIZED ({v})" for k, v in tables.items() if k != "runs")
+    text = f"WITH {common[0]}, ptop AS{common[1]}, {named} " + " UNION ALL ".join(f"SELECT run_id, {_text('a')} AS itemset FROM e{k}" for k in before)
+    return text.replace(_TABLES["runs"], tables["runs"])
+
+
 def _mt(theta: str) -> str:
     return f"(1e6 - sqrt(power(x - {theta}, 2) + power(y - {THETA}, 2))) / sqrt(2.0)"
 
@@ -126,9 +160,9 @@ SQL: dict[str, str] = {
     "itemsets_within": _with("s top", f"SELECT {_text('a')} AS itemset, sup AS support FROM s, (SELECT list(item) AS four FROM top WHERE rank <= 4) q WHERE len(list_filter(a, lambda x : NOT list_contains(four, x))) = 0"),
     "supersets_of": _with("s top", f"SELECT {_text('a')} AS itemset, sup AS support FROM s WHERE len(a) = 3 AND list_contains(a, (SELECT item FROM top WHERE rank = 1))"),
     "expanded_leaves": _with("s", f"SELECT DISTINCT {_text('sub')} AS itemset FROM (SELECT unnest({_SUBSETS.format(a='a', less=0)}) AS sub FROM s WHERE len(a) = 3) q WHERE len(sub) >= 2"),
-    "unseen_itemsets": _with("s r", f"SELECT {_text('a')} AS itemset FROM s WHERE len(a) = 2 AND a NOT IN (SELECT a FROM r WHERE conf > 0.2)"),
+    "unseen_itemsets": _with("s r", "SELECT k AS itemset FROM s WHERE len(a) = 2 AND NOT EXISTS (SELECT 1 FROM r WHERE r.k = s.k AND conf > 0.2)"),
     "rules": _with("r", _RULE),
-    "confident_rules": _with("r", _RULE + " WHERE conf > 0.3"),
+    "confident_rules": _with("r", _RULE + " WHERE conf > 0.15"),
     "nonzero_conf": _with("r", "SELECT len(a) AS size, count(*) AS n FROM r WHERE conf <> 0 GROUP BY ALL"),
     "exact_stats": _with("stats", f"SELECT {_text('a')} AS itemset, support, n30, n50, n70 FROM stats"),
     "conf_range": _with("r", "SELECT round(coalesce(min(conf), 1), 6) AS min_conf, round(coalesce(max(conf), 0), 6) AS max_conf FROM r"),
@@ -148,7 +182,7 @@ SQL: dict[str, str] = {
     "scalar_functions": _with("c", f"SELECT item, round(u, 12) AS u, round({_LAPLACE.format(u='u', b='2.0')}, 6) AS noise, CASE WHEN item % 2 = 0 THEN CAST('inf' AS DOUBLE) ELSE round(cnt::DOUBLE, 6) END AS ratio, item || '/' || (item + 1) || '/' || item || ' ' || (item + 1) || '/' || (item + 2) || '/' || item || ' ' || (item + 2) || '/' || (item + 1) || ' ' || (item + 2) AS parts FROM (SELECT item, cnt, {_U.format(chr(39) + '7|' + chr(39) + ' || item')} AS u FROM c) q"),
     "weighted_sample": _with("s", f"SELECT a, item, draw, round(v, 9) AS v FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY v, item) AS draw FROM (SELECT a[1] AS a, a[2] AS item, -ln({_U.format(chr(39) + '5|' + chr(39) + ' || a[1] || ' + chr(39) + '|' + chr(39) + ' || a[2]')}) / sup AS v FROM s WHERE len(a) = 2) q) w WHERE draw <= 3"),
     "extension_qualities": _with("top s2", "SELECT p.item::VARCHAR AS prefix, x.item, m.method, round(CASE m.method WHEN 'sigma' THEN sup WHEN 'delta' THEN sup - p.cnt WHEN 'd' THEN -abs(sup / 0.5 - x.cnt) ELSE least(sup / 0.5 - x.cnt, 0) END, 6)::DOUBLE AS q FROM top p JOIN top x ON x.item <> p.item LEFT JOIN (SELECT i, j, sup FROM s2) y ON y.i = p.item AND y.j = x.item CROSS JOIN (VALUES ('sigma'), ('delta'), ('d'), ('d asymmetric')) m(method)"),
-    "reduced_delta": _with("s", f"SELECT {_text('p.a')} AS itemset, max(p.sup) - min(q.sup) AS q FROM (SELECT a, sup, unnest({_SUBSETS.format(a='a', less=1)}) AS sub FROM s WHERE len(a) >= 2) p JOIN s q ON q.a = p.sub GROUP BY p.a"),
+    "reduced_delta": _with("s parts", "SELECT p.k AS itemset, max(p.sup) - min(q.sup) AS q FROM parts p JOIN s q ON q.k = p.part GROUP BY p.k"),
     "rule_qualities": _with("pt t", _SCORES),
     "em_probabilities": _with("pt t", f"SELECT sup_a, sup_ab, round(q, 6) AS q, round(e / sum(e) OVER (), 6) AS p FROM (SELECT *, exp(0.01 / 2 * (q - max(q) OVER ())) AS e FROM (SELECT sup_a, sup_ab, {_mt('m')} AS q FROM (SELECT sup_a, sup_ab, sup_a::DOUBLE AS x, sup_ab::DOUBLE AS y, {_M}::DOUBLE AS m FROM pt) w) v) u"),
     "best_extension_sigma": _chain("sup"),
@@ -168,10 +202,24 @@ SQL: dict[str, str] = {
     "precision_vs_k": _with("sw", "SELECT bf AS k, round(rules50 / nullif(rules, 0), 6) AS precision FROM sw WHERE seed = 1 AND eps = 0.5"),
     "precision_vs_eps": _with("ph runs", f"SELECT eps, round(coalesce(p90, 0), 6) AS p90, round(coalesce(p70, 0), 6) AS p70, round(coalesce(p50, 0), 6) AS p50 FROM ({_WIDE}) q WHERE bf = 2"),
     "precision_by_k": _with("ph runs", f"SELECT bf AS k, round(coalesce(p90, 0), 6) AS p90, round(coalesce(p70, 0), 6) AS p70, round(coalesce(p50, 0), 6) AS p50 FROM ({_WIDE}) q WHERE eps = 0.5"),
-    "with_baseline": _with("sw", "SELECT db, seed, bf, eps, rules, CASE bf WHEN 2 THEN 'method' ELSE 'baseline' END AS method FROM sw"),
+    "with_baseline": _with("sw", "SELECT db, seed, bf, eps, rules, CASE bf WHEN 2 THEN 'method' ELSE 'baseline' END AS method FROM sw WHERE seed = 1"),
     "average_histograms": _with("ph runs", "SELECT eps, bf, bound, runs, mean_total, mean_cum, round(mean_cum / nullif(mean_total, 0), 6) AS of_total, round(mean_cum / 100, 6) AS of_expected FROM (SELECT *, max(mean_cum) OVER (PARTITION BY eps, bf) AS mean_total FROM (SELECT eps, bf, bound, count(*) AS runs, avg(cum_n) AS mean_cum FROM ph JOIN runs USING (run_id) GROUP BY ALL) q) w"),
     "layer_bin_matrix": _with("ph runs", "SELECT bound, lmax AS shelves, " + ", ".join(f"coalesce(sum(cum_n) FILTER (bf = {k}) / 2, 0.0) AS \"{k}\"" for k in range(1, 11)) + " FROM ph JOIN runs USING (run_id) WHERE eps = 0.5 GROUP BY ALL"),
     "matrix_series": _with("ph runs", "SELECT lmax AS shelves, g.k::INT AS bins, coalesce(sum(cum_n) FILTER (bf = g.k) / 2, 0.0) AS value FROM ph JOIN runs USING (run_id) CROSS JOIN range(1, 11) g(k) WHERE eps = 0.5 AND bin = 9 GROUP BY ALL"),
 }
+_D = lambda c: f"-abs(sup / c0 - {c})"
+_LACK = lambda c: f"least(sup / c0 - {c}, 0)"
+SQL |= {
+    "private_three": _deep("sup", "sup"),
+    "private_three_delta": _deep("sup - sp", "sup - least(sp, c1, cx)"),
+    "private_three_d": _deep(f"least({_LACK('c1')}, {_LACK('cx')})", f"least({_LACK('c1')}, {_LACK('c2')}, {_LACK('cx')})", "em"),
+    "private_three_last": _deep("sup", _D("cx")),
+    # the second chain finds the set complete
+    "best_extension_sigma_d": SQL["best_extension_sigma"],
+    "best_extension_delta_d": SQL["best_extension_delta"],
+    "stored_stats": SQL["exact_stats"],
+    "run_table": SQL["run_logs"].replace("'logs/run_' || run_id AS file, ", ""),
+    "experiment_report": SQL["average_runs"].replace("'orders.brand' AS db", "'orders' AS db"),
+}
 SQL |= {"restricted_to_table": SQL["restricted_baskets"], "itemset_enumeration_bitmap": SQL["itemset_enumeration"]}
 assert LMAX == 3  # the set enumeration above has as many levels

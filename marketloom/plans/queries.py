@@ -12,12 +12,15 @@ from marketloom.functions.parameters import rule_space
 from marketloom.functions.scalars import div_or_zero, hash_uniform, items_text, laplace_noise, quality_d, rule_quality, subsets
 from marketloom.operators import experiments, items, itemsets, rules, sampling
 from marketloom.plans import jobs
+from marketloom.plans.stored import new_path
 from marketloom.sources import tables, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 NI, LMAX = 8, 3
 #: Runs of the sweep that the experiment queries share.
 GRID = {"eps": [0.5, 1.0], "ratio": [0.1], "c0": [0.5], "lmax": [2], "ni": [NI], "bf": [1, 2], "seed": [1, 2]}
+#: Runs of three levels.
+DEEP = {"eps": [0.5, 2.0], "ratio": [0.1], "c0": [0.5], "lmax": [3], "ni": [6], "bf": [2], "seed": [1, 2]}
 THETA = 500.0
 
 
@@ -165,7 +168,7 @@ def all_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def confident(spark: SparkSession, d: str) -> DataFrame:
-    return _named_rules(rules.confident_rules(_exact(spark, d)["rules"], 0.3))
+    return _named_rules(rules.confident_rules(_exact(spark, d)["rules"], 0.15))
 
 
 def nonzero(spark: SparkSession, d: str) -> DataFrame:
@@ -176,6 +179,14 @@ def exact_stats(spark: SparkSession, d: str) -> DataFrame:
     return _exact(spark, d)["stats"].select(_name("itemset"), "support", "n30", "n50", "n70")
 
 
+def stored_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Rule counts per itemset stored under their parameters, beside others, and loaded again."""
+    path = new_path(spark, "itemset-stats")
+    tables.save_itemset_stats(_exact(spark, d, 2)["stats"], path, 2, NI)
+    tables.save_itemset_stats(_exact(spark, d)["stats"], path, LMAX, NI)
+    return tables.load_itemset_stats(spark, path, LMAX, NI).select(_name("itemset"), "support", "n30", "n50", "n70")
+
+
 def conf_range(spark: SparkSession, d: str) -> DataFrame:
     return rules.conf_range(_exact(spark, d)["rules"]).select(_r("min_conf").alias("min_conf"), _r("max_conf").alias("max_conf"))
 
@@ -305,6 +316,11 @@ def private_rules(spark: SparkSession, d: str) -> DataFrame:
     return found.select("run_id", _name("itemset"), _name("antecedent"), "sup_ab", "sup_a", _r("conf").alias("conf"))
 
 
+def private_three(spark: SparkSession, d: str, **options) -> DataFrame:
+    """Sets of three levels with two draws each: four branches, which meet at the last level."""
+    return jobs.private_rules_job(order_baskets(spark, d), jobs.grid_runs(spark, **DEEP), **options)["leaves"].select("run_id", _name("itemset"))
+
+
 def private_deep(spark: SparkSession, d: str) -> DataFrame:
     """Three levels with four draws each, on wide baskets; clashes at the last level included."""
     run = jobs.Run(run_id=0, eps=0.5, ratio=0.01, c0=0.5, lmax=3, ni=25, bf=4, seed=42)
@@ -346,8 +362,8 @@ def sweep(spark: SparkSession, d: str) -> DataFrame:
     return _sweep(spark, d).withColumns({"prec50": _r("prec50"), "recall": _r("recall")})
 
 
-def run_logs(spark: SparkSession, d: str) -> DataFrame:
-    """The sweep written as run logs and parsed again."""
+def _log_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The sweep as lines of run logs, one file for each run."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
     call = F.concat_ws(" ", F.lit("./dph data/orders.brand.dat real.dat"), *(F.col(c).cast("string") for c in ("eps", "epsh", "c0", "rmax", "nits", "bf", "seed")))
     lines = F.array(
@@ -355,8 +371,27 @@ def run_logs(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("\t0.50\t0\t0.00\t"), zero("rules50"), F.lit("\t0.00")), F.concat(F.lit("\t0.00\t0\t0.00\t"), zero("rules"), F.lit("\t1.00")),
         F.concat(F.lit("Real   :   1   "), zero("realrls"), F.lit("   1")), F.lit("Recall :   0.10   0.25   0.10"),
     )
-    logs = _sweep(spark, d).select(F.concat(F.lit("logs/run_"), F.col("run_id").cast("string")).alias("file"), F.explode(lines).alias("value"))
-    return text.parse_run_logs(logs).withColumns({"tpl": _r("tpl"), "prec50": _r("prec50")})
+    return _sweep(spark, d).select(F.concat(F.lit("logs/run_"), F.col("run_id").cast("string")).alias("file"), F.explode(lines).alias("value"))
+
+
+def run_logs(spark: SparkSession, d: str) -> DataFrame:
+    """The sweep written as run logs and parsed again."""
+    return text.parse_run_logs(_log_lines(spark, d)).withColumns({"tpl": _r("tpl"), "prec50": _r("prec50")})
+
+
+def run_table(spark: SparkSession, d: str) -> DataFrame:
+    """The run table written as text and read again."""
+    path = new_path(spark, "run-table")
+    text.write_runs(text.parse_run_logs(_log_lines(spark, d)).drop("file"), path)
+    return text.read_runs(spark, path, sep="\t").withColumns({"tpl": _r("tpl"), "prec50": _r("prec50")})
+
+
+def experiment_report(spark: SparkSession, d: str) -> DataFrame:
+    """The averaged table of a folder of log files."""
+    path = new_path(spark, "logs")
+    lines = _log_lines(spark, d).withColumn("run", F.col("file"))
+    lines.repartition("run").select("run", "value").write.partitionBy("run").text(path)
+    return jobs.report_from_logs(spark, path)["averaged"].withColumns({c: _r(c) for c in ("R", "R50", "RR", "precision", "recall")})
 
 
 def _averaged(spark: SparkSession, d: str) -> DataFrame:
@@ -398,9 +433,9 @@ def precision_by_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def with_baseline(spark: SparkSession, d: str) -> DataFrame:
-    """Runs with two draws against those with one, series of two eps values only."""
+    """Runs with two draws against those with one of the same seed, of which seed 2 has no baseline; series of two eps values only."""
     runs = _sweep(spark, d).select("db", "seed", "bf", "eps", "rules")
-    both = experiments.with_baseline(runs.where("bf = 2"), runs.where("bf = 1"))
+    both = experiments.with_baseline(runs.where("bf = 2"), runs.where("bf = 1 AND seed = 1"), "db", "seed")
     return experiments.complete_series(both, ["db", "seed", "method"], 2)
 
 
@@ -440,15 +475,20 @@ QUERIES: dict[str, Query] = {
     "best_extension_sigma": partial(chain, "sigma"),
     "best_extension_delta": partial(chain, "delta"),
     "best_extension_d": partial(chain, "d"),
+    "best_extension_sigma_d": partial(chain, "sigma-d"),
+    "best_extension_delta_d": partial(chain, "delta-d"),
+    "private_three_delta": partial(private_three, quality="delta", reduce="max"),
+    "private_three_d": partial(private_three, quality="d", reduce="min", asymmetric=True, first_item="em"),
+    "private_three_last": partial(private_three, quality="sigma", forced_last=True),
     **{
         f.__name__: f
         for f in (
             basket_lines, zero_filled_counts, rank_sorted_baskets, restricted_baskets, restricted_to_table, weighted_baskets, dense_itemsets, itemset_support,
-            extended_prefixes, itemsets_within, supersets_of, expanded_leaves, unseen_itemsets, exact_stats, conf_range, conf_histogram, parsed_histogram,
+            extended_prefixes, itemsets_within, supersets_of, expanded_leaves, unseen_itemsets, exact_stats, stored_stats, conf_range, conf_histogram, parsed_histogram,
             rule_points, rule_points_improper, rule_count_of_itemsets, lattice_check, rule_lines, distinct_rule_digits, itemset_lines, rules_space,
             noisy_items, above_noise_floor, top_noisy_items, scalar_functions, weighted_sample, extension_qualities, reduced_delta, rule_qualities,
-            em_probabilities, private_leaves, private_rules, private_deep, private_histogram, merge_real_private, recall_report, estimated_recall, sweep,
-            run_logs, average_runs, series, good_vs_all, precision_vs_k, precision_vs_eps, precision_by_k, with_baseline, average_histograms,
+            em_probabilities, private_leaves, private_rules, private_three, private_deep, private_histogram, merge_real_private, recall_report, estimated_recall, sweep,
+            run_logs, run_table, experiment_report, average_runs, series, good_vs_all, precision_vs_k, precision_vs_eps, precision_by_k, with_baseline, average_histograms,
             layer_bin_matrix, matrix_series,
         )
     },

@@ -5,19 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table that is read more than once, which also cuts its lineage. Only where no folder is named, a temporary one is used."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has. Only where no folder is named and all runs on one machine, it is a temporary one."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="spark-marketloom-"))
         folder = _LOCAL[0]
-    path = f"{folder.rstrip('/')}/baskets/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/baskets/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that is read more than once, which also cuts its lineage."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
