@@ -2,17 +2,20 @@
 
 A document's set is its distinct word shingles. Equal sets are one from the begin on. Shingles are ordered from rare to common; two sets
 of similarity t or more share a shingle among the first n - ceil(t n) + 1 of either (the prefix principle). Shingles of a single set
-come first and match nothing, so only the rest of a prefix is kept, and most sets have none. Sets with the same prefix and size form one
-group; groups that share a prefix shingle and pass the length and positional bounds are candidates; their members are then verified by
-their whole sets.
+come first and match nothing, so only the rest of a prefix is kept, and most sets have none.
 
-Only components are wanted, so not all pairs are: each list of candidates is first compared with its most central member, and only members
-that are still in different components are compared further.
+Sets with the same prefix and size are one group. Groups that share a prefix shingle meet in that shingle's list; lists of the same groups are
+one list. Pairs of groups are filtered by the length and positional bounds and by the part of their prefixes that they share. Only then are
+groups expanded to their members, which are verified by their whole sets.
+
+Only components are wanted, so not all pairs are: each list of groups is first compared with one member, and only while its members are in
+different components with ``PIVOTS``, ``PIVOTS`` squared ... more, until a list has been compared with all of its own.
 
 How it scales: texts are read where they are and never moved, but for the documents that are candidates. The count of each shingle needs one
-shuffle of about 5 bytes per shingle, packed. The most common shingles are found beforehand, by a count that is added up in the tasks; they come
-last in the order with counts that every task knows (``COMMON`` of them at most), so that no shingle brings more than a small share of
-its documents together. The driver sees counts only.
+shuffle of about 5 bytes per shingle: a task sends its shingles by bucket, as 4 bytes each besides the number of the set within its batch,
+and gets the shared ones back. The number of buckets follows the number of shingles. The most common shingles are found beforehand, by
+a count that is added up in the tasks; they come last in the order and are known to every task (``COMMON`` of them at most), so that no
+shingle brings more than a small share of its documents together. The driver sees counts only.
 """
 
 from __future__ import annotations
@@ -21,23 +24,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import written
+from .scratch import discard, written
 from .text_arrays import NOT_SPACE, distinct_pairs, mix, pieces, shingles, words
 
 SHINGLE, PERCENT = 5, 80
 BATCH_BYTES = 6 << 20
 #: A shingle is common if a batch has it in so many documents; at most so many are told to the tasks.
 OFTEN, COMMON = 16, 1 << 17
-#: Rounds in which lists are compared with one more member before all that is left is compared; the latter starts early when it is no more work than so many times the lists' length.
-ROUNDS, LEFT = 2, 256
+#: Shingles of a bucket, on average, and the bits of a shingle that are sent besides those of its bucket: of so many few agree by chance.
+PER_BUCKET, TOKEN_BITS = 1 << 21, 32
+#: In round r a list is compared with PIVOTS ** r of its members.
+PIVOTS = 16
+#: Members that are compared with a set in one run, so that a set with many is in several tasks.
+PER_RUN = 256
 #: Documents whose ids may be sent to all tasks: 16 MB at most.
 SENT_IDS = 500_000
 _A, _B = np.uint64(0x8E9D5AAB2C1F3377), np.uint64(0x1B873593CC9E2D51)
 _COMMON_BIT = np.uint64(1 << 63)
+_MANY = (1 << 31) - 1
+_INFO = -1
 
 
 def _least_overlap(n, percent: int):
@@ -99,8 +109,8 @@ def _member(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.full(len(values), -1, np.int64)
     bits = np.zeros(1 << 22, bool)
-    bits[table & np.uint64((1 << 22) - 1)] = True
-    maybe = np.flatnonzero(bits[values & np.uint64((1 << 22) - 1)])
+    bits[table & table.dtype.type((1 << 22) - 1)] = True
+    maybe = np.flatnonzero(bits[values & values.dtype.type((1 << 22) - 1)])
     at = np.minimum(np.searchsorted(table, values[maybe]), len(table) - 1)
     out = np.full(len(values), -1, np.int64)
     hit = table[at] == values[maybe]
@@ -108,155 +118,157 @@ def _member(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def _low_planes(a: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of 64-bit numbers, by significance."""
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+def _planes(a: np.ndarray) -> bytes:
+    """32-bit numbers by the significance of their bytes, so that the many zeros stand together."""
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _from_planes(b: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(b) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, -1).T
-    return out.view("<u8").ravel()
+def _numbers(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-#: Packed rows: ``key`` is where a row goes; sets has 16 bytes a set, counts 4 planes of the entries of each, tokens and values 8 or 5 planes an entry.
-_PACKED = "key int, sets binary, counts binary, tokens binary, values binary"
-_PACKED_NAMES = ["key", "sets", "counts", "tokens", "values"]
+#: Packed rows. From a batch to a bucket and back: numbers of the sets within the batch (as steps), entries of each, tokens, and, on the way
+#: back, how often each token occurs. About the batch itself, under the key _INFO on the way back: see ``_blocks``.
+_PACKED = "key long, batch long, a binary, b binary, c binary, d binary"
+_NAMES = ["key", "batch", "a", "b", "c", "d"]
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], _PACKED_NAMES)
+def _packed(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.Table.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c, pa.binary()) for c in columns[2:])], _NAMES)
 
 
-def _by_key(key: np.ndarray, n_keys: int, sets: np.ndarray, owner: np.ndarray, entries: list[tuple[np.ndarray, int]], base: int = 0) -> Iterator[tuple]:
-    """Packed rows of entries that are sorted by owner, dealt by key."""
-    order = np.argsort(key, kind="stable")
-    ends = np.searchsorted(key[order], np.arange(n_keys + 1))
-    for k in range(n_keys):
-        own = order[ends[k] : ends[k + 1]]
-        if len(own):
-            who, counts = np.unique(owner[own], return_counts=True)
-            yield (base + k, sets[who].tobytes(), _low_planes(counts, 4), *(_low_planes(v[own], w) for v, w in entries))
+def _owners(owner: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending numbers, packed."""
+    new = np.flatnonzero(np.diff(owner, prepend=-1))
+    return _planes(np.diff(owner[new], prepend=0)), _planes(np.diff(new, append=len(owner)))
 
 
-def _blocks(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, percent: int, buckets: int) -> DataFrame:
-    """Shingles that aren't common to the buckets below ``buckets``; what is known of each set to those from ``buckets`` on."""
+def _blocks(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, percent: int, bits: int) -> DataFrame:
+    """Shingles that aren't common, to the bucket of their first ``bits`` bits; what is known of the sets of a batch past the buckets."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
+    buckets = 1 << bits
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, place = sent.value
-        for batch in pieces(it, 1, BATCH_BYTES):
-            doc, hash_, n, sums = _sets(batch.column(1), k)
+        for number, piece in enumerate(pieces(it, 1, BATCH_BYTES)):
+            batch = (TaskContext.get().partitionId() << 32) + number
+            doc, hash_, n, sums = _sets(piece.column(1), k)
             _, first = np.unique(sums[:, 0], return_index=True)  # equal sets of the batch once
             once = np.zeros(len(n), bool)
             once[first] = True
             once &= n > 0
+            local = np.cumsum(once) - 1
             own = once[doc]
-            doc, hash_ = doc[own], hash_[own]
+            doc, hash_, n, sums = local[doc[own]], hash_[own], n[once], sums[once]
             which = _member(table, hash_)
             plain = which < 0
             n_common = np.bincount(doc[~plain], minlength=len(n))
-            rows = list(_by_key((hash_[plain] % np.uint64(buckets)).astype(np.int64), buckets, sums, doc[plain], [(hash_[plain] // np.uint64(buckets), 5), (np.zeros(plain.sum(), np.uint64), 0)]))
             # common shingles are in a prefix only where the others don't fill it
             d, c = doc[~plain], which[~plain]
             order = np.lexsort((place[c], d))
             d, c = d[order], c[order]
             rank = np.arange(len(d)) - np.searchsorted(d, d)
-            prefix = n - _least_overlap(n, percent) + 1
-            need = rank < prefix[d] - (n[d] - n_common[d])
+            need = rank < (n - _least_overlap(n, percent) + 1)[d] - (n[d] - n_common[d])
             d, c = d[need], c[need]
-            # an entry with token 0 says the size and the number of common shingles
-            some = np.flatnonzero(once)
-            who = np.concatenate([some, d])
-            token = np.concatenate([np.zeros(len(some), np.uint64), table[c] | _COMMON_BIT])
-            value = np.concatenate([n[some].astype(np.uint64) | (n_common[some].astype(np.uint64) << np.uint64(32)), place[c].astype(np.uint64)])
-            order = np.lexsort((token, who))
-            who, token, value = who[order], token[order], value[order]
-            rows += _by_key((sums[who, 0] % np.uint64(buckets)).astype(np.int64), buckets, sums, who, [(token, 8), (value, 8)], buckets)
-            yield _packed(rows)
+            rows = [(buckets + batch % buckets, batch, sums.tobytes(), _planes(n) + _planes(n_common), table[c].tobytes(), _planes(d) + _planes(place[c]))]
+            doc, hash_ = doc[plain], hash_[plain]
+            bucket = (hash_ >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
+            order = np.argsort(bucket, kind="stable")
+            doc, token = doc[order], (hash_[order] << np.uint64(bits) >> np.uint64(64 - TOKEN_BITS)).astype(np.uint32)
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(ends)).tolist():
+                own = slice(ends[b], ends[b + 1])
+                rows.append((b, batch, *_owners(doc[own]), _planes(token[own]), b""))
+            yield from _packed(rows).to_batches()
 
     return docs.mapInArrow(run, _PACKED)
 
 
-def _unpacked(table: pa.Table, token_width: int, value_width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct sets, and owner, token and value of every entry."""
-    rows = table.to_pylist()
-    sets = np.concatenate([np.frombuffer(r["sets"], np.uint64).reshape(-1, 2) for r in rows])
-    counts = np.concatenate([_from_planes(r["counts"], 4) for r in rows]).astype(np.int64)
-    token = np.concatenate([_from_planes(r["tokens"], token_width) for r in rows])
-    value = np.concatenate([_from_planes(r["values"], value_width) for r in rows]) if value_width else token
-    order = np.lexsort((sets[:, 1], sets[:, 0]))
-    new = np.ones(len(order), bool)
-    new[1:] = (sets[order][1:] != sets[order][:-1]).any(1)
-    index = np.empty(len(order), np.int64)
-    index[order] = np.cumsum(new) - 1
-    return sets[order][new], np.repeat(index, counts), token, value
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the set and token of every entry."""
+    return np.repeat(np.cumsum(_numbers(row["a"]).astype(np.int64)), _numbers(row["b"])), _numbers(row["c"])
 
 
 def _shared(buckets: int):
-    """Of a bucket's shingles those that two or more sets have, with the number of sets, packed by set."""
+    """Of a bucket's shingles those that occur twice or more, with how often, back to where they came from.
+
+    A set that is in several batches comes from each; a set may have a token twice, where two of its shingles agree in it.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         key = table["key"][0].as_py()
-        if key >= buckets:  # on to where the sets are put together
-            return table.set_column(0, "key", pa.array(np.full(len(table), key - buckets, np.int32)))
-        sets, owner, token, _ = _unpacked(table, 5, 0)
-        order = np.lexsort((owner, token))
-        owner, token = owner[order], token[order]
-        new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
-        owner, token = owner[new], token[new]
-        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        times = np.repeat(np.diff(np.append(begin, len(token))), np.diff(np.append(begin, len(token))))
-        some = times > 1
-        owner, token, times = owner[some], token[some], times[some]
-        order = np.argsort(owner, kind="stable")
-        owner, token, times = owner[order], token[order], times[order]
-        full = (token * np.uint64(buckets) + np.uint64(key) + np.uint64(1)) & ~_COMMON_BIT  # never 0
-        rows = list(_by_key((sets[owner, 0] % np.uint64(buckets)).astype(np.int64), buckets, sets, owner, [(full, 8), (times.astype(np.uint64), 8)]))
-        return pa.Table.from_batches([_packed(rows)])
+        if key >= buckets:
+            return table.set_column(0, "key", pa.array(np.full(len(table), _INFO, np.int64)))
+        ordered = np.sort(np.concatenate([_numbers(x) for x in table["c"].to_pylist()]))
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        times = np.searchsorted(ordered, twice, "right") - np.searchsorted(ordered, twice)
+        del ordered
+        rows = []
+        for row in table.to_pylist():
+            owner, token = _unpacked(row)
+            at = _member(twice, token)
+            some = np.flatnonzero(at >= 0)
+            if len(some):
+                rows.append((key, row["batch"], *_owners(owner[some]), _planes(token[some]), _planes(times[at[some]])))
+        return _packed(rows)
 
     return run
 
 
+_PREFIX = "set binary, n long, alone long, tokens array<long>, places array<int>, times array<int>"
+
+
 def _prefixes(percent: int):
-    """Per set with something in its prefix to match: set, n, alone (shingles of the prefix that no other set has), tokens, place of each."""
+    """Per set of a batch with something in its prefix that occurs twice: n, alone (shingles that occur once), tokens with place and times."""
 
     def run(table: pa.Table) -> pa.Table:
-        sets, owner, token, value = _unpacked(table, 8, 8)
-        about = token == 0
-        n, n_common = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
-        n[owner[about]] = (value[about] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        n_common[owner[about]] = (value[about] >> np.uint64(32)).astype(np.int64)
-        owner, token, value = owner[~about], token[~about], value[~about]
-        common = token >= _COMMON_BIT
-        order = np.lexsort((token, value, common, owner))
-        owner, token, common = owner[order], token[order], common[order]
-        new = np.ones(len(owner), bool)  # a set with copies in several batches came from each
-        new[1:] = (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
-        owner, token, common = owner[new], token[new], common[new]
-        n_shared = np.bincount(owner[~common], minlength=len(sets))
-        alone = n - n_common - n_shared
-        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        place = alone[owner] + rank
+        rows = table.to_pylist()
+        about = next(r for r in rows if r["key"] == _INFO)
+        sums = np.frombuffer(about["a"], np.uint64).reshape(-1, 2)
+        half = len(about["b"]) // 2
+        n, n_common = (_numbers(about["b"][i * half : (i + 1) * half]).astype(np.int64) for i in (0, 1))
+        half = len(about["d"]) // 2
+        owner, rank = (_numbers(about["d"][i * half : (i + 1) * half]).astype(np.int64) for i in (0, 1))
+        parts = [(owner, (np.frombuffer(about["c"], np.uint64) | _COMMON_BIT), rank + _MANY, np.full(len(owner), _MANY))]
+        for r in rows:
+            if r["key"] != _INFO:
+                owner, token = _unpacked(r)
+                times = _numbers(r["d"]).astype(np.int64)
+                parts.append((owner, token.astype(np.uint64) | np.uint64(r["key"] << 32), times, times))
+        owner, token, order, times = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        by = np.lexsort((token, order, owner))
+        owner, token, times = owner[by], token[by], times[by]
+        alone = n - n_common - np.bincount(owner[times < _MANY], minlength=len(n))
+        place = alone[owner] + np.arange(len(owner)) - np.searchsorted(owner, owner)
         kept = place < (n - _least_overlap(n, percent) + 1)[owner]
-        owner, token, place = owner[kept], token[kept], place[kept]
+        # a token that a set has twice is one entry, at the first of its places
+        kept[1:] &= (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])
+        owner, token, place, times = owner[kept], token[kept], place[kept], times[kept]
         who, counts = np.unique(owner, return_counts=True)
         offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (token.view(np.int64), place)]
-        return pa.table({"set": _binary(sets[who]), "n": pa.array(n[who]), "alone": pa.array(alone[who]), "tokens": lists[0], "places": lists[1]})
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (token.view(np.int64), place.astype(np.int32), times.astype(np.int32))]
+        return pa.table({"set": _binary(sums[who]), "n": pa.array(n[who]), "alone": pa.array(alone[who]), "tokens": lists[0], "places": lists[1], "times": lists[2]})
 
     return run
 
 
 def prefixes(docs: DataFrame, measured: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The matchable prefix of each distinct set, from doc_id and text."""
-    # each set is named in every bucket that its shingles fall in, so there are no more of them than partitions
-    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = _blocks(docs, _common(measured), k, percent, buckets)
-    shared = blocks.groupBy("key").applyInArrow(_shared(buckets), _PACKED)
-    return shared.groupBy("key").applyInArrow(_prefixes(percent), "set binary, n long, alone long, tokens array<long>, places array<long>")
+    """The matchable prefix of each distinct set, from doc_id and text: set, n, alone, tokens, places.
+
+    The order of a set's shingles: those that no other set has (``alone`` of them), then by the number of occurrences, then the common ones.
+    """
+    total = measured.where("document").agg(F.sum("n")).first()[0] or 0
+    bits = max(3, min(31, (total // PER_BUCKET).bit_length()))
+    blocks = _blocks(docs, _common(measured), k, percent, bits)
+    shared = blocks.groupBy("key").applyInArrow(_shared(1 << bits), _PACKED)
+    found = shared.groupBy("batch").applyInArrow(_prefixes(percent), _PREFIX)
+    # a set in c batches comes c times, and what occurs c times it has alone: these are the first, since all that it has occur that often
+    once = found.groupBy("set").agg(F.count("*").cast("int").alias("c"), *(F.first(x).alias(x) for x in ("n", "alone", "tokens", "places", "times")))
+    entries = F.arrays_zip("tokens", "places", "times")
+    kept = once.select("set", "n", "alone", F.filter(entries, lambda e: e["times"] > F.col("c")).alias("kept"), F.size("tokens").alias("all"))
+    kept = kept.where(F.size("kept") > 0)
+    return kept.select("set", "n", (F.col("alone") + F.col("all") - F.size("kept")).alias("alone"), F.col("kept.tokens").alias("tokens"), F.col("kept.places").alias("places"))
 
 
 def _may_reach(a: str, b: str, percent: int) -> Column:
@@ -284,11 +296,10 @@ def _enough_shared(percent: int) -> Column:
     return (100 + percent) * (F.size(F.array_intersect("x", "y")) + behind) >= percent * (F.col("n") + F.col("m"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, measured: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that reach the similarity."""
-    wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    holders = measured.where("document AND n > 0").groupBy("set").agg(F.min("doc_id").alias("holder"))
-    ids = written(wanted.join(holders, "set").select("holder").distinct(), "candidate-ids")
+def _candidates(docs: DataFrame, measured: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """The shingles of the wanted ``sets``: set, shingles."""
+    holders = measured.where("document AND n > 0").join(sets, "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("holder"))
+    ids = written(holders.select("holder").distinct(), "candidate-ids")
     side = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,72 +309,112 @@ def _verified(pairs: DataFrame, docs: DataFrame, measured: DataFrame, k: int, pe
             yield pa.RecordBatch.from_arrays([_binary(sums), pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(hash_.tobytes())])], ["set", "shingles"])
 
     # one document of each set, as far as ids differ; what is left is dropped here
-    sets = docs.join(side, docs["doc_id"].eqNullSafe(ids["holder"]), "left_semi").select("text").mapInArrow(run, "set binary, shingles binary")
-    sets = written(sets.groupBy("set").agg(F.first("shingles").alias("shingles")), "candidate-sets")
-    joined = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    read = docs.join(side, docs["doc_id"].eqNullSafe(ids["holder"]), "left_semi").select("text").mapInArrow(run, "set binary, shingles binary")
+    found = written(read.join(sets, "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles")), "candidate-sets")
+    discard(ids)
+    return found
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that reach the similarity.
+
+    Rows are sorted so that the shingles of a stand once before those of every b that it is compared with.
+    """
+    runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_RUN).cast("int").alias("runs"))
+    members = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).cast("int").alias("run"), F.col("b").alias("set")).join(sets, "set")
+    firsts = runs.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("a").alias("set")).join(sets, "set")
+    both = members.select("a", "run", F.lit(1).alias("second"), "set", "shingles").unionByName(firsts.select("a", "run", F.lit(0).alias("second"), "set", "shingles"))
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(0, np.uint64)
         for batch in it:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for second, y in zip(batch.column(2).to_pylist(), batch.column(4), strict=True):
+                y = np.frombuffer(y.as_buffer(), np.uint64)
+                if not second:
+                    x = y.copy()
+                    good.append(False)
+                    continue
                 both = np.sort(np.concatenate([x, y]))
                 same = int((both[1:] == both[:-1]).sum())
                 good.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.repartition("a", "run").sortWithinPartitions("a", "run", "second").mapInArrow(compare, "a binary, b binary")
 
-    return joined.mapInArrow(compare, "a binary, b binary")
+
+def _lists(groups: DataFrame) -> DataFrame:
+    """list, group, place: groups by the prefix shingles that they share; of lists with the same groups that of the first shingle in order.
+
+    Two groups of similar sets share a prefix shingle, and the bounds hold at every one that they share, so one is enough.
+    """
+    entries = groups.select("group", "size", F.inline(F.arrays_zip(F.col("tokens").alias("list"), F.col("places").alias("place"))))
+    sign = [F.bit_xor(F.xxhash64("group", F.lit(j))).alias(f"x{j}") for j in (0, 1)]
+    by_list = entries.groupBy("list").agg(F.sum("size").alias("many"), F.count("*").alias("groups"), *sign, F.min_by("place", "group").alias("first"))
+    alike = by_list.where("many > 1").groupBy("groups", "x0", "x1").agg(F.min_by("list", "first").alias("list"))
+    return entries.join(alike.select("list"), "list").select("list", "group", "place")
 
 
 def linked_sets(docs: DataFrame, measured: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The components of the links between sets: (node, root), without the roots themselves."""
     spark = docs.sparkSession
-    found = written(prefixes(docs, measured, k, percent), "prefixes")
-    # identical prefixes and sizes: one group, which is also a list of its own
-    members = found.select("set", F.xxhash64("n", "alone", "tokens", "places").alias("group"), "n", "alone", "tokens", "places")
-    groups = members.groupBy("group").agg(F.count("*").alias("size"), F.min_by(F.struct("tokens", "places"), "set").alias("p"))
-    entries = groups.select("group", "size", F.col("p.tokens").alias("list"), F.col("p.places").alias("place")).select("group", "size", F.inline(F.arrays_zip("list", "place")))
-    shared = entries.groupBy("list").agg(F.sum("size").alias("many")).where("many > 1").select("list")
-    lists = written(entries.join(shared, "list").select("list", "group", "place"), "lists")
-    people = written(members.select("set", "group", "n", "alone"), "members")
-    listed = lists.join(people, "group").select("list", "set", "n", "alone", "place")
-
-    links = tried = None
+    found = written(prefixes(docs, measured, k, percent).withColumn("group", F.xxhash64("n", "alone", "tokens", "places")), "prefixes")
+    groups = written(found.groupBy("group").agg(F.count("*").alias("size"), F.min("set").alias("one"), *(F.first(c).alias(c) for c in ("n", "alone", "tokens", "places"))), "groups")
+    lists = written(_lists(groups), "lists")
+    met = lists.select("group").distinct()
+    people = written(found.join(met, "group", "left_semi").select("set", "group"), "people")
+    sets = _candidates(docs, measured, people.select("set"), k)
+    bounds = groups.select("group", "n", "alone")
+    prefix = groups.select("group", "n", "tokens")
+
+    links, tried, before, least, r = [], [], [], 0, 0
     roots = spark.createDataFrame([], "node binary, root binary")
-    for r in range(ROUNDS + 1):
-        if r == 0:
-            state = listed.withColumn("root", F.col("set"))
-        else:
-            state = listed.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-        state = written(state, "state")
-        per_root = state.groupBy("list", "root").agg(F.count("*").alias("m"))
-        open_ = per_root.groupBy("list").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("roots")).where("roots > 1")
-        open_ = written(open_, "open-lists")
-        size = open_.agg(F.sum("m").alias("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs")).first()
-        if not size["m"]:
+    while True:
+        state = written(people.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")), "state")
+        spread = state.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
+        listed = written(lists.join(bounds, "group").join(spread, "group"), "listed")
+        # lists that have members in different components, and have not yet been compared with all of their members
+        open_ = listed.groupBy("list").agg(F.sum("members").alias("many"), F.min("low").alias("l"), F.max("high").alias("h")).where(f"l < h AND many > {least}")
+        open_ = written(open_.select("list", "many"), "open-lists")
+        most = open_.agg(F.max("many")).first()[0]
+        before += [state, listed, open_]
+        if most is None:
             break
-        todo = state.join(open_.select("list"), "list")
-        last = r == ROUNDS or (r > 0 and size["pairs"] <= LEFT * size["m"])
-        if last:
-            a, b = todo.alias("a"), todo.alias("b")
-            met = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.root") < F.col("b.root")) & _may_reach("a", "b", percent) & _in_own_prefix("a", "b", percent))
-            pairs = met.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct()
-            sides = [found.select(F.col("set").alias(k), F.col("n").alias(n), F.col("tokens").alias(v)) for k, n, v in (("a", "n", "x"), ("b", "m", "y"))]
-            pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(_enough_shared(percent)).select("a", "b")
+        todo = listed.join(open_, "list")
+        n_pivots = PIVOTS**r
+        if r == 0:
+            # the most central group first: the one with the smallest share of shingles of its own
+            central = todo.groupBy("list").agg(F.min_by(F.struct("group", "n", "alone", "place"), F.struct(F.col("alone") / F.col("n"), "group")).alias("p"))
+            pivot = central.select("list", "p.*").join(groups.select("group", F.col("one").alias("set")), "group").withColumn("root", F.col("set"))
         else:
-            # the most central member first: the one with the smallest share of shingles of its own; later any
-            order = F.struct(F.col("alone") / F.col("n"), F.col("set")) if r == 0 else F.struct(F.xxhash64("set", F.lit(r)), F.col("set"))
-            pivot = todo.groupBy("list").agg(F.min_by(F.struct("set", "n", "alone", "place", "root"), order).alias("p")).select("list", "p.*")
-            a, b = pivot.alias("a"), todo.alias("b")
-            met = a.join(b, (F.col("a.list") == F.col("b.list")) & (F.col("a.root") != F.col("b.root")) & _may_reach("a", "b", percent))
-            pairs = met.select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if r else pairs, "pairs")
-        good = _verified(pairs, docs, measured, k, percent)
-        links = written(links.unionByName(good) if r else good, "links")
-        tried = tried.unionByName(pairs) if r else pairs
-        roots = components(links)
-        if last:
+            drawn = F.pmod(F.xxhash64("set", F.lit(r)), F.lit(1 << 32)) * F.col("many") < n_pivots * (1 << 32)
+            pivot = todo.join(state.select("set", "group", "root"), "group").where((F.col("many") <= n_pivots) | drawn)
+        p, t = pivot.alias("p"), todo.alias("t")
+        apart = (F.col("t.low") != F.col("t.high")) | (F.col("t.low") != F.col("p.root"))
+        each_once = (F.col("t.many") > n_pivots) | ((F.col("p.group") <= F.col("t.group")) & _in_own_prefix("p", "t", percent))
+        reach = p.join(t, (F.col("p.list") == F.col("t.list")) & apart & each_once & _may_reach("p", "t", percent))
+        reach = reach.select("p.set", "p.root", F.col("p.group").alias("g"), F.col("t.group").alias("h")).distinct()
+        sides = [prefix.select(F.col("group").alias(g), F.col("n").alias(n), F.col("tokens").alias(x)) for g, n, x in (("g", "n", "x"), ("h", "m", "y"))]
+        reach = reach.join(sides[0], "g").join(sides[1], "h").where(_enough_shared(percent)).select("set", "root", "h")
+        # the pairs of groups that are left are expanded to their members
+        others = state.select(F.col("set").alias("other"), F.col("group").alias("h"), F.col("root").alias("own"))
+        pairs = reach.join(others, "h").where("root != own").groupBy(F.least("set", "other").alias("x"), F.greatest("set", "other").alias("y")).agg(F.min("set").alias("a"))
+        for t in tried:
+            pairs = pairs.join(t, ["x", "y"], "left_anti")
+        pairs = pairs.withColumn("b", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")))
+        tried.append(written(pairs, "pairs"))
+        links.append(written(_verified(tried[-1], sets, percent), "links"))
+        every = links[0]
+        for x in links[1:]:
+            every = every.unionByName(x)
+        if r:
+            before.append(roots)
+        roots = components(every)
+        discard(*before)
+        before, least, r = [], n_pivots, r + 1
+        if most <= n_pivots:
             break
+    discard(*before, *links, *tried, found, groups, lists, people, sets)
     return roots
 
 

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in tests,
-a temporary folder of this machine is used. A table that has been written cuts the lineage: a lost executor costs
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset and driver and tasks share one
+machine, as in tests, a temporary folder is used. A table that has been written cuts the lineage: a lost executor costs
 the tasks that were running on it, not the work behind the table.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
@@ -21,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="spark-marketloom-"))
     return _LOCAL[0]
@@ -35,16 +37,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table that was written."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave and that nothing will read any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """The ``rows`` rows with the smallest hash of the keys, or all if there are no more.
 
-    A cut of the hash that about twice as many pass comes first: each task would otherwise send as many rows as are wanted from all of
-    them to the one task that picks.
+    A cut of the hash that at least ``rows`` rows pass comes first: each task would otherwise send as many rows as are wanted from all of
+    them to the one task that picks. The cut is the smallest power of two with enough rows below it, so about twice as many pass, and
+    more only where many rows have equal keys.
     """
-    h: Column = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
-    n = df.count()
-    passing = df.where(h < int(2 * rows / n * (1 << 40))) if n > 2 * rows else df
-    return passing.orderBy(h, *keys).limit(rows)
+    h = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    below = 0
+    for bits, n in sorted(map(tuple, df.groupBy(F.length(F.bin(h)).alias("bits")).count().collect())):  # 40 rows at most
+        below += n
+        if below >= rows:
+            return df.where(h < 1 << bits).orderBy(h, *keys).limit(rows)
+    return df
