@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,14 +18,32 @@ def item_counts_weighted(weighted: DataFrame) -> DataFrame:
 
 def zero_filled_counts(counts: DataFrame) -> DataFrame:
     """A count for every id from 1 to the largest, 0 for those never seen, so that released counts don't tell which ids exist."""
-    top = counts.agg(F.max("item").alias("top"))
-    ids = top.where("top >= 1").select(F.explode(F.sequence(F.lit(1), F.col("top"))).alias("item"))
+    top = counts.agg(F.max("item")).first()[0] or 0
+    ids = counts.sparkSession.range(1, top + 1).select(F.col("id").cast("int").alias("item"))
     return ids.join(counts, "item", "left").select("item", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt"))
 
 
+def placed(df: DataFrame, name: str, band: Column, cell: Column, inside: list[Column]) -> DataFrame:
+    """Number the rows from 1, by descending band, then cell, then ``inside``: as one window over all rows would, but by cells.
+
+    Only the numbers of rows of the cells come together in one task.
+    """
+    celled = df.withColumns({"_band": band, "_cell": cell})
+    sizes = celled.groupBy("_band", "_cell").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(F.desc("_band"), "_cell").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_band", "_cell", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = celled.withColumn("_inside", F.row_number().over(Window.partitionBy("_band", "_cell").orderBy(*inside)))
+    return numbered.join(starts, ["_band", "_cell"]).select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
+def item_cell() -> Column:
+    """Stretches of items in which rows of equal count are numbered."""
+    return F.floor(F.col("item") / 65_536)
+
+
 def item_ranks(counts: DataFrame) -> DataFrame:
-    """(item, cnt, rank) by descending count, then item. Sorts the table of counts only."""
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), "item")))
+    """(item, cnt, rank) by descending count, then item."""
+    return placed(counts, "rank", F.col("cnt"), item_cell(), [F.col("item")])
 
 
 def top_items(counts: DataFrame, ni: int) -> DataFrame:

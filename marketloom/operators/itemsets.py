@@ -13,7 +13,8 @@ from marketloom.functions.scalars import canonical, subsets
 
 #: With more subsets per distinct basket than this on average, counting by bitmaps is less work than emitting them.
 DENSE = 400
-BITMAP_ROWS = 1 << 16
+#: Sets that a task holds with their counts before it passes them on, and sets or items that are sent to all tasks at most.
+HELD, SENT = 1 << 20, 10_000
 
 
 def enumerate_itemsets(weighted: DataFrame, items: list[int], lmax: int, strategy: str = "auto") -> DataFrame:
@@ -48,6 +49,10 @@ def _by_bitmap(weighted: DataFrame, items: list[int], lmax: int) -> DataFrame:
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, ...], int] = {}
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([list(k) for k in total], pa.list_(pa.int32())), pa.array(list(total.values()), pa.int64())], ["itemset", "support"])
+
         for batch in it:
             lists, w = batch.column(0), batch.column(1).to_numpy()
             row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
@@ -62,17 +67,19 @@ def _by_bitmap(weighted: DataFrame, items: list[int], lmax: int) -> DataFrame:
                 for k in range(begin, len(columns)):
                     item, own = columns[k]
                     both = rows & own
-                    n = int(w[both].sum()) if prefix else 1
-                    if n:
+                    if n := int(w[both].sum()):
                         name = (*prefix, item)
-                        if prefix:
-                            total[name] = total.get(name, 0) + n
+                        total[name] = total.get(name, 0) + n
                         if len(name) < lmax:
                             grow(name, both, k + 1)
 
-            grow((), np.ones(len(lists), bool), 0)
+            for k, (item, own) in enumerate(columns):
+                grow((item,), own, k + 1)
+                if len(total) > HELD:
+                    yield counted()
+                    total.clear()
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in total], pa.list_(pa.int32())), pa.array(list(total.values()), pa.int64())], ["itemset", "support"])
+            yield counted()
 
     partial = weighted.select("items", "w").mapInArrow(count, "itemset array<int>, support bigint")
     return partial.groupBy("itemset").agg(F.sum("support").alias("support"))
@@ -81,29 +88,43 @@ def _by_bitmap(weighted: DataFrame, items: list[int], lmax: int) -> DataFrame:
 def itemset_support(weighted: DataFrame, itemsets: DataFrame, counts: DataFrame) -> DataFrame:
     """(itemset, support) of given sets, 0 for those in no basket.
 
-    A set meets only the baskets that hold its rarest item, and is then checked in full.
+    A set meets only the baskets that hold its rarest item, and is then checked in full. Few sets are sent to the baskets; otherwise both meet
+    by item.
     """
     sets = itemsets.select(canonical("itemset").alias("itemset")).distinct()
     each = sets.select("itemset", F.explode("itemset").alias("item")).join(counts.select("item", "cnt"), "item", "left")
     rarest = each.groupBy("itemset").agg(F.min_by("item", F.struct(F.coalesce("cnt", F.lit(0)), "item")).alias("item"))
-    held = weighted.select("items", "w", F.explode("items").alias("item"))
-    found = held.join(rarest, "item").where(contains_all(F.col("items"), F.col("itemset"))).groupBy("itemset").agg(F.sum("w").alias("support"))
+    met, rarest = _by_key(weighted, rarest, "item")
+    found = met.join(rarest, "item").where(contains_all(F.col("items"), F.col("itemset"))).groupBy("itemset").agg(F.sum("w").alias("support"))
     return sets.join(found, "itemset", "left").select("itemset", F.coalesce("support", F.lit(0)).cast("bigint").alias("support"))
 
 
+def _by_key(weighted: DataFrame, rarest: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(items, w, key) of the baskets for every key item that they hold, and the keyed sets as the other side of a join."""
+    few = [r[0] for r in rarest.select(key).limit(SENT + 1).collect()]
+    if len(few) > SENT:
+        return weighted.select("items", "w", F.explode("items").alias(key)), rarest
+    keys = F.array(*map(F.lit, sorted(set(few)))).cast("array<int>")
+    return weighted.select("items", "w", F.explode(F.array_intersect("items", keys)).alias(key)), F.broadcast(rarest)
+
+
 def extension_supports(weighted: DataFrame, prefixes: DataFrame, counts: DataFrame) -> DataFrame:
     """(prefix, item, support) of each canonical prefix with one more item, where some basket holds both. All prefixes in one pass."""
     sets = prefixes.select(canonical("prefix").alias("prefix")).distinct()
     each = sets.select("prefix", F.explode("prefix").alias("key")).join(counts.select(F.col("item").alias("key"), "cnt"), "key", "left")
     rarest = each.groupBy("prefix").agg(F.min_by("key", F.struct(F.coalesce("cnt", F.lit(0)), "key")).alias("key"))
-    held = weighted.select("items", "w", F.explode("items").alias("key"))
-    inside = held.join(rarest, "key").where(contains_all(F.col("items"), F.col("prefix")))
+    met, rarest = _by_key(weighted, rarest, "key")
+    inside = met.join(rarest, "key").where(contains_all(F.col("items"), F.col("prefix")))
     return inside.select("prefix", "w", F.explode(F.array_except("items", "prefix")).alias("item")).groupBy("prefix", "item").agg(F.sum("w").alias("support"))
 
 
 def extend_prefixes(weighted: DataFrame, prefixes: DataFrame, items: DataFrame, counts: DataFrame) -> DataFrame:
-    """The same for every item of the list that isn't in the prefix, with 0 where no basket holds both."""
-    grid = exclude_prefix_items(prefixes.select(canonical("prefix").alias("prefix")).distinct().crossJoin(F.broadcast(items.select("item"))))
+    """The same for every item of the list, of ``SENT`` items at most, that isn't in the prefix, with 0 where no basket holds both."""
+    listed = [r[0] for r in items.select("item").limit(SENT + 1).collect()]
+    if len(listed) > SENT:
+        raise ValueError(f"more than {SENT} items to extend prefixes with")
+    every = F.explode(F.array(*map(F.lit, listed)).cast("array<int>")).alias("item")
+    grid = exclude_prefix_items(prefixes.select(canonical("prefix").alias("prefix")).distinct().select("prefix", every))
     return grid.join(extension_supports(weighted, prefixes, counts), ["prefix", "item"], "left").select("prefix", "item", F.coalesce("support", F.lit(0)).cast("bigint").alias("support"))
 
 

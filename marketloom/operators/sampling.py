@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import hash_uniform, laplace_mechanism, quality_d, quality_delta, rule_quality, sampling_key, sampling_key_log
+from marketloom.operators.items import item_cell, placed
 
 
 def noisy_items(counts: DataFrame, eps: float, seed: int) -> DataFrame:
     """(item, real_count, noisy_count, pos): counts released with ``eps`` and ranked by what was released. Give zero-filled counts."""
     u = hash_uniform(seed, F.lit("count"), F.col("item"))
     noisy = counts.select("item", F.col("cnt").alias("real_count"), laplace_mechanism("cnt", u, eps).alias("noisy_count"))
-    return noisy.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("noisy_count"), "item")))
+    # many counts are cut to 0 and are told apart by item only
+    none = F.col("noisy_count") == 0
+    band = F.when(none, F.lit(-1.0)).otherwise(F.floor("noisy_count").cast("double"))
+    return placed(noisy, "pos", band, F.when(none, item_cell()).otherwise(F.lit(0)), [F.desc("noisy_count"), F.col("item")])
 
 
 def above_noise_floor(noisy: DataFrame, eps: float, scale: float = 2.3) -> DataFrame:
