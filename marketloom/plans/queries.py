@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from contextvars import ContextVar
+from functools import partial, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from marketloom.functions.parameters import rule_space
 from marketloom.functions.scalars import div_or_zero, hash_uniform, items_text, laplace_noise, quality_d, rule_quality, subsets
 from marketloom.operators import experiments, items, itemsets, rules, sampling
 from marketloom.plans import jobs
-from marketloom.plans.stored import new_path
+from marketloom.plans.stored import new_path, stored
 from marketloom.sources import tables, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +34,44 @@ def _brands(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), number.alias("item"))
 
 
+#: The baskets that the query being built has asked for, each stored once.
+_held: ContextVar[dict | None] = ContextVar("held", default=None)
+
+
+def _once(build: Query) -> Query:
+    """Within a query the table is built once and stored."""
+
+    @wraps(build)
+    def get(spark: SparkSession, d: str) -> DataFrame:
+        held = _held.get()
+        if held is None:
+            return build(spark, d)
+        if build not in held:
+            held[build] = stored(build(spark, d), "baskets")
+        return held[build]
+
+    return get
+
+
+def _holding(query: Query) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        token = _held.set({})
+        try:
+            return query(spark, d)
+        finally:
+            _held.reset(token)
+
+    return run
+
+
+@_once
 def order_baskets(spark: SparkSession, d: str) -> DataFrame:
     """The brands of each order."""
     lines = _read(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(_brands(spark, d), "l_partkey")
     return tables.baskets_from_table(lines, "l_orderkey", "item")
 
 
+@_once
 def customer_baskets(spark: SparkSession, d: str) -> DataFrame:
     """The brands that each customer has ever ordered: few wide baskets."""
     orders = _read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
@@ -115,7 +148,7 @@ def enumerated(strategy: str, spark: SparkSession, d: str) -> DataFrame:
 def dense_itemsets(spark: SparkSession, d: str) -> DataFrame:
     """Sets of two and three of all brands, in wide baskets."""
     weighted = items.weighted_baskets(customer_baskets(spark, d))
-    every = items.item_list(items.item_counts(customer_baskets(spark, d)))
+    every = items.item_list(items.top_items(items.item_counts(customer_baskets(spark, d)), 25))
     return itemsets.enumerate_itemsets(weighted, every, 3).select(_name("itemset"), "support")
 
 
@@ -493,3 +526,6 @@ QUERIES: dict[str, Query] = {
         )
     },
 }
+#: Those that need the baskets more than once.
+_SEVERAL = set(QUERIES) - {"item_counts", "item_ranks", "top_items", "basket_lines", "weighted_baskets", "zero_filled_counts", "noisy_items", "above_noise_floor", "top_noisy_items", "scalar_functions"}
+QUERIES |= {k: _holding(q) for k, q in QUERIES.items() if k in _SEVERAL}
