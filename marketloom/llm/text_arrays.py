@@ -16,9 +16,22 @@ PIECE_BYTES = 4 << 20
 #: Words are hashed in stretches of so many bytes; a longer word is a stretch of its own.
 STRETCH_BYTES = 1 << 19
 
-# Freed arrays of a MB or more go back to the system at once; else each idle Python worker keeps the most it has ever used.
+# Each idle Python worker would keep the most memory that it has ever used. So freed arrays of a MB or more go back to the system at
+# once, those of Arrow too, and what is free between smaller ones whenever a batch is done.
+pa.set_memory_pool(pa.system_memory_pool())
+#: What a worker remembers between tasks of one operator. Workers outlive a query, so tasks of any other clear it.
+REMEMBERED: dict[str, dict] = {}
+_trim = None
 with contextlib.suppress(OSError, AttributeError):
     ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    _trim = ctypes.CDLL(None).malloc_trim
+
+
+def release() -> None:
+    """Give free memory back to the system."""
+    if _trim is not None:
+        _trim(0)
+
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -51,8 +64,16 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut the batches into slices whose text column holds about ``size`` bytes."""
+def remembered(name: str) -> dict:
+    """A new dictionary that outlives tasks, for ``pieces``."""
+    return REMEMBERED.setdefault(name, {})
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE_BYTES, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut the batches into slices whose text column holds about ``size`` bytes. Of what is remembered only ``keep`` stays."""
+    for name, other in REMEMBERED.items():
+        if name != keep:
+            other.clear()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -62,7 +83,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE_BYT
             end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
             yield batch.slice(at, end - at)
             at = end
-        pa.default_memory_pool().release_unused()
+        del batch
+        release()
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

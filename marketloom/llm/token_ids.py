@@ -6,20 +6,24 @@ in a row is encoded word by word with the same ids. Other texts go to the librar
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 
-#: Words that a worker remembers, about 200 MB.
-REMEMBERED = 1_000_000
+from .text_arrays import remembered
+
+#: Words that a worker remembers, about 80 MB.
+REMEMBERED = 250_000
 #: Longer words aren't remembered.
 LONGEST = 64
-#: Words that are encoded in one text.
-TOGETHER = 64
+#: Words that are encoded in one text, and characters that are encoded in one call: the library keeps much besides the ids.
+TOGETHER, CALL_CHARS = 64, 1 << 18
 #: Letters up to U+024F, and signs after them that no pattern joins with letters.
 _LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?%$*&#)]*)\Z")
 _ADJACENT = re.compile(r"\s\s")
-_coders: dict[str, WordCoder] = {}
+#: The coders of this worker by vocabulary file.
+CODERS: dict[str, WordCoder] = remembered("coders")
 
 
 class WordCoder:
@@ -38,19 +42,30 @@ class WordCoder:
     @staticmethod
     def of(path: str) -> WordCoder:
         """The coder of this worker for a vocabulary file."""
-        if path not in _coders:
-            _coders[path] = WordCoder(path)
-        return _coders[path]
+        if path not in CODERS:
+            # tasks are on all cores already
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            CODERS[path] = WordCoder(path)
+        return CODERS[path]
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= CALL_CHARS:
+                size += len(texts[end])
+                end += 1
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)]
+            at = end
+        return out
 
     def _runs(self, runs: list[str]) -> list[bytes]:
         """The ids of runs of letters, each after a space: many in one text, told apart by the line ends between them."""
         out: list[bytes] = []
         texts = [" " + "\n ".join(runs[i : i + TOGETHER]) for i in range(0, len(runs), TOGETHER)]
-        for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
+        for k, text in enumerate(self._library(texts)):
+            ids = np.frombuffer(text, "<u4")
             ends = np.flatnonzero(ids == self.line_end)
             own = runs[k * TOGETHER : (k + 1) * TOGETHER]
             if len(ends) != len(own) - 1:
