@@ -2,8 +2,8 @@
 
 Features are the words, neighbouring pairs and pairs with one word between, hashed to ``2**BITS`` places; a text has each or has it not.
 Every coordinate has its own learning rate and an L1 penalty keeps most weights at exactly zero, so the model that is sent to the
-tasks is a few thousand numbers (``2**BITS`` at most). Fitting sees a bounded, documented sample of labelled rows in one task; scoring runs
-over all rows where they are, without a shuffle.
+tasks is a few thousand numbers (``2**BITS`` at most). Fitting sees a bounded, documented sample of labelled rows, which come to its one
+task as places; scoring runs over all rows where they are, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bounded_sample
-from .text_arrays import ALNUM, Words, mix, pieces, words
+from .text_arrays import ALNUM, Words, mix, pieces, release, words
 
 BITS = 20
 #: Labelled rows that the model is fitted on, those with the smallest hash of their id.
@@ -57,27 +57,30 @@ def _distinct(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
-def fit(examples: list[tuple[np.ndarray, int]]) -> Model:
-    """FTRL-proximal over (distinct places, label) in the given order, EPOCHS times."""
-    if not examples:
+def fit(places: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> Model:
+    """FTRL-proximal over examples in the given order, EPOCHS times; ``places[ends[i] : ends[i + 1]]`` are the distinct places of the i-th."""
+    if not len(labels):
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, False)
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS  # a coordinate of its own, without penalty
     for _ in range(EPOCHS):
-        for places, label in examples:
-            at = np.append(places, bias)
+        for a, b, label in zip(ends[:-1].tolist(), ends[1:].tolist(), labels.tolist(), strict=True):
+            at = np.append(places[a:b], bias)
             zi, ni = z[at], n[at]
-            l1 = np.full(len(at), L1)
-            l1[-1] = 0
-            w = np.where(np.abs(zi) <= l1, 0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+            w = _weights(zi, ni)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
             z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
             n[at] = ni + g * g
+    w = _weights(z, n)
+    found = np.flatnonzero(w[:-1])
+    return Model(found, w[found], float(w[-1]), True)
+
+
+def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The weights that stand for the sums z and n; the last one is the bias."""
     l1 = np.full(len(z), L1)
     l1[-1] = 0
-    w = np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
-    places = np.flatnonzero(w[:-1])
-    return Model(places, w[places], float(w[-1]), True)
+    return np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -85,24 +88,44 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     some = bounded_sample(known, rows, "doc_id")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    # the second limit is for repeated ids
-    sample = texts.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(rows).select("text", "label")
+    wanted = texts.join(F.broadcast(some), "doc_id").select(F.xxhash64("doc_id", "text").alias("place"), "text", "label")
+
+    def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(it, 1):
+            doc, place = _distinct(*features(words(batch.column(1), ALNUM)))
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], ["place", "features", "label"])
+
+    # the limit is for repeated ids
+    sample = wanted.mapInArrow(hashed, "place long, features array<int>, label int").orderBy("place").limit(rows)
 
     def fitted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
-        for batch in pieces(it, 0):
-            doc, place = _distinct(*features(words(batch.column(0), ALNUM)))
-            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            examples += [(place[a:b].astype(np.int32), y) for a, b, y in zip(ends[:-1], ends[1:], batch.column(1).to_pylist(), strict=True)]
-        m = fit(examples)
-        yield pa.RecordBatch.from_arrays([pa.array([m.places.tobytes()]), pa.array([m.weights.tobytes()]), pa.array([m.bias]), pa.array([m.fitted])], ["places", "weights", "bias", "fitted"])
-
-    got = [r for r in sample.coalesce(1).mapInArrow(fitted, "places binary, weights binary, bias double, fitted boolean").collect() if r["fitted"]]
+        batches = [pa.RecordBatch.from_arrays(batch.columns[1:], ["features", "label"]) for batch in it]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches).combine_chunks()
+        del batches
+        lists = table["features"].combine_chunks()
+        m = fit(lists.values.to_numpy(), lists.offsets.to_numpy(), table["label"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([m.places.tobytes()]), pa.array([m.weights.tobytes()]), pa.array([m.bias])], ["places", "weights", "bias"])
+        del table, lists
+        release()
+
+    got = sample.coalesce(1).mapInArrow(fitted, "places binary, weights binary, bias double").collect()
     if not got:
-        return fit([])
+        return fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
     return Model(np.frombuffer(got[0]["places"], np.int64), np.frombuffer(got[0]["weights"]), got[0]["bias"], True)
 
 
+def _scores(texts: pa.Array, m: Model, w: np.ndarray) -> np.ndarray:
+    doc, place = features(words(texts, ALNUM))
+    some = np.flatnonzero(w[place])
+    doc, place = _distinct(doc[some], place[some])
+    margin = np.bincount(doc, w[place], minlength=len(texts)) + m.bias
+    return 1 / (1 + np.exp(-np.clip(margin, -35, 35))) if m.fitted else np.zeros(len(texts))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row. A null text is an empty one, whose score is that of the bias alone.
 
@@ -114,15 +137,24 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, w = sent.value, sent.value.dense()
         for batch in pieces(it, 1):
-            doc, place = features(words(batch.column(1), ALNUM))
-            some = np.flatnonzero(w[place])
-            doc, place = _distinct(doc[some], place[some])
-            margin = np.bincount(doc, w[place], minlength=batch.num_rows) + m.bias
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))) if m.fitted else np.zeros(batch.num_rows))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), m, w))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below the threshold. Each is judged by its text alone."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, w = sent.value, sent.value.dense()
+        for batch in pieces(it, at):
+            yield batch.filter(pa.array(_scores(batch.column(at), m, w) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """The rows whose labels are never learned."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
