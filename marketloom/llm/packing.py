@@ -3,8 +3,8 @@
 Only documents longer than a sequence are cut; the remainder comes first, so that every other piece fills a sequence of its
 own. All pieces are dealt to partitions and each packs its own by best-fit decreasing. Dual-feasible functions give a lower
 bound on the sequences that a partition's pieces need; where a partition reaches it, its packing is certified as optimal and stands. The others
-keep their full sequences and exchange the documents of the rest: these are dealt anew, packed again, and so on while the count
-falls.
+keep their full and nearly full sequences and exchange the documents of the rest: these are dealt anew, packed again, and so on while the
+count falls.
 
 How it scales: texts are tokenized where they are read and never moved; what is exchanged is five numbers per piece. A partition
 holds about ``PER_PARTITION`` pieces however many there are. The driver sees two counts per round.
@@ -27,16 +27,23 @@ from .token_ids import WordCoder
 
 CAPACITY, END_ID = 1024, 2
 PER_PARTITION = 100_000
+#: Rounds of exchange at most. Each packs what the one before has left in unfilled sequences; it ends earlier where that saves none.
 ROUNDS = 4
+#: A sequence is nearly full if no more than one of so many parts is free.
+NEARLY = 64
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32. A null text is an empty one, whose only id is ``end_id``."""
+    """Per piece: doc_id, piece, start, length, ids_crc32.
+
+    A null text is an empty one, whose only id is ``end_id``. Null ids and repeated rows are kept and cut like any others. Texts of any
+    length are encoded whole. An empty table gives no rows. Other columns are ignored.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder.of(vocabulary)
-        for batch in pieces(it, 1):
+        for batch in pieces(it, 1, 1 << 20, "coders"):
             source, rows = [], []
             for k, ids in enumerate(coder.encode([t or "" for t in batch.column(1).to_pylist()])):
                 ids += end
@@ -100,7 +107,7 @@ def _packed(dealt: DataFrame, round_: int, capacity: int) -> DataFrame:
         sizes = table["length"].to_numpy()
         bins, places, left = best_fit_decreasing(sizes, capacity)
         certified = len(left) == lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
-        spare = (np.array(left)[bins] > 0) & (not certified)
+        spare = (np.array(left)[bins] > capacity // NEARLY) & (not certified)
         name = (round_ << 56) + (TaskContext.get().partitionId() << 32)
         columns = {"sequence_id": pa.array(bins + name), "offset": pa.array(places), "spare": pa.array(spare)}
         out = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -116,7 +123,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PART
     """Place pieces of 1 to ``capacity`` tokens: adds sequence_id and offset to doc_id, piece, start, length, ids_crc32.
 
     Repeated pieces are all placed; equal sizes are placed in the order in which they arrive. Without pieces there are no rows. Other
-    columns are dropped.
+    columns are dropped. How far the result is from the bound that no packing can beat says ``certificate``.
     """
     todo = written(cut.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
     done, before = [], None
