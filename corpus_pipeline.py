@@ -33,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = toxicity.held_out()
     model = toxicity.train(docs.where(~held), labels.where(~held))
-    return toxicity.score(_whole_rows(docs), model).where(F.col("score") < toxicity.THRESHOLD).select("doc_id.*")
+    return toxicity.drop_toxic(docs, model)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents in which a window of a benchmark item occurs go."""
     ship(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.find(_whole_rows(docs), benchmark).where(F.size("spans") == 0).select("doc_id.*")
+    return decontamination.drop_contaminated(docs, benchmark)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
