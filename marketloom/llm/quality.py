@@ -61,7 +61,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id and the measurements of each text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
 
     ``n_lines`` counts the lines that have a word. Equal 3-word windows are found by sorting their hashes together with
-    their positions: in one long each for texts of up to PACKED_WORDS words, in a struct with the full hash beyond.
+    their positions: in one long each for texts of up to PACKED_WORDS words, in a struct with the full hash beyond. Neighbours in that
+    order are then compared by their words.
     """
     # an exploded row would be shuffled by (document, window); sorting inside the row needs no shuffle
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -75,9 +76,16 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     small = n <= PACKED_WORDS
     sorted_ = counted.withColumns({"packed": F.when(small, packed), "wide": F.when(~small, wide)})
     p, q = F.col("packed"), F.col("wide")
+
+    def equal(i: Column, j: Column) -> Column:
+        return (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
+
+    def at_low(k: Column) -> Column:
+        return F.get(p, k).bitwiseAND(F.lit(PACKED_WORDS - 1)).cast("int")
+
     # equal windows stand side by side; of each such pair both positions count
-    same = F.filter(F.when(F.size(p) >= 2, F.sequence(F.lit(1), F.size(p) - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.shiftrightunsigned(F.get(p, k).bitwiseXOR(F.get(p, k - 1)), 16) == 0)
-    twin = F.filter(F.when(F.size(q) >= 2, F.sequence(F.lit(1), F.size(q) - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.get(q, k)["h"] == F.get(q, k - 1)["h"])
+    same = F.filter(F.when(F.size(p) >= 2, F.sequence(F.lit(1), F.size(p) - 1)).otherwise(F.array().cast("array<int>")), lambda k: (F.shiftrightunsigned(F.get(p, k).bitwiseXOR(F.get(p, k - 1)), 16) == 0) & equal(at_low(k), at_low(k - 1)))
+    twin = F.filter(F.when(F.size(q) >= 2, F.sequence(F.lit(1), F.size(q) - 1)).otherwise(F.array().cast("array<int>")), lambda k: (F.get(q, k)["h"] == F.get(q, k - 1)["h"]) & equal(F.get(q, k)["i"], F.get(q, k - 1)["i"]))
     repeated = F.when(
         p.isNotNull(),
         F.flatten(F.transform(same, lambda k: F.array(F.get(p, k).bitwiseAND(F.lit(PACKED_WORDS - 1)), F.get(p, k - 1).bitwiseAND(F.lit(PACKED_WORDS - 1))))),
