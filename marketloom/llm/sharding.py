@@ -5,8 +5,9 @@ capacity is searched for which a greedy walk over the ordered group sizes needs
 are cut where that walk cuts.
 
 How it scales: group sizes come from a partially aggregated ``groupBy`` (a hot text is one row per map task), running
-sums are taken per cell (the leading bits of the hash, so that cells are even) plus an offset per cell. The driver holds
-the totals of ``CELLS`` cells and the bounds of the capacities tried at once, both of fixed size. One Spark job answers
+sums are taken per cell (the leading bits of the hash, so that cells are even) plus an offset per cell. The groups are written in
+the order of the cells, so that a step reads the files of a few cells only. The driver holds the totals of the cells, of which there are
+1,024 up to a thousand million rows and 2**20 at most, and the bounds of the capacities tried at once. One Spark job answers
 one greedy step for ``PROBES`` capacities together, so a search over a range R takes about log(R)/log(PROBES) rounds of
 ``n_shards`` - 1 jobs.
 """
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-#: Cells of the hash order, and parts each is divided into when slots are numbered (a hot text is spread over them).
-CELL_BITS, SALTS = 10, 16
-CELLS = 1 << CELL_BITS
+#: Bits of a cell at least and at most, and rows of a cell above the least; parts that each is divided into when slots are numbered (a hot
+#: text is spread over them).
+CELL_BITS, CELL_ROWS, SALTS = (10, 20), 1 << 20, 16
+#: Numbers of cells and parts that are sent to all tasks at most.
+SENT = 1 << 16
 #: Capacities tried at once.
 PROBES = 128
 
@@ -38,15 +41,16 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _cell(h: Column) -> Column:
-    return F.shiftright(h, 64 - CELL_BITS).cast("int")
+def _cell(h: Column, bits: int) -> Column:
+    return F.shiftright(h, 64 - bits).cast("int")
 
 
 class _OrderedSizes:
     """The ordered group sizes: running sums on Spark, totals of the cells on the driver."""
 
-    def __init__(self, rows: DataFrame) -> None:
-        groups = rows.groupBy("h").agg(F.sum("size").alias("size")).withColumn("cell", _cell(F.col("h")))
+    def __init__(self, rows: DataFrame, bits: int) -> None:
+        self.width = 64 - bits
+        groups = rows.groupBy("h").agg(F.sum("size").alias("size")).withColumn("cell", _cell(F.col("h"), bits)).repartitionByRange("cell")
         running = F.sum("size").over(Window.partitionBy("cell").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
         self.groups = written(groups.select("cell", "h", "size", running.alias("upto")), "shard-groups")
         self.spark = rows.sparkSession
@@ -66,7 +70,7 @@ class _OrderedSizes:
             if after <= bound:
                 out.append((after, self._end(at)))
             else:
-                out.append((self.before[at], self._end(at - 1) if at else self._end(0) - (1 << (64 - CELL_BITS))))
+                out.append((self.before[at], self._end(at - 1) if at else self._end(0) - (1 << self.width)))
                 ask.append((k, self.cells[at], bound - self.before[at], at))
         if ask:
             k, cell, x = (", ".join(str(a[i]) for a in ask) for i in range(3))
@@ -87,7 +91,7 @@ class _OrderedSizes:
 
     def _end(self, at: int) -> int:
         """The largest hash of a cell."""
-        return ((self.cells[at] + 1) << (64 - CELL_BITS)) - 1
+        return ((self.cells[at] + 1) << self.width) - 1
 
     def greedy(self, capacities: list[int], n_shards: int) -> list[list[tuple[int, int]] | None]:
         """For each capacity the cuts of the greedy walk, or None if it needs more than ``n_shards`` shards."""
@@ -129,17 +133,20 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     empty. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     rows = written(_measured(docs, id_col, text_col), "shard-rows")
-    cuts = minimax_cuts(_OrderedSizes(rows), n_shards)
+    low, high = CELL_BITS
+    bits = max(low, min(high, (rows.count() // CELL_ROWS).bit_length()))
+    cuts = minimax_cuts(_OrderedSizes(rows, bits), n_shards)
     number = sum(((F.col("h") > F.lit(c)).cast("int") for c in cuts), F.lit(0))
-    placed = rows.withColumns({"shard": number, "cell": _cell(F.col("h")), "part": F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")})
+    placed = rows.withColumns({"shard": number, "cell": _cell(F.col("h"), bits), "part": F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")})
     counted = placed.groupBy("shard", "cell", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("shard", "cell", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    # (cells + n_shards) * SALTS rows at most
+    starts = F.broadcast(starts) if ((1 << bits) + n_shards) * SALTS <= SENT else starts
     inside = F.row_number().over(Window.partitionBy("shard", "cell", "part").orderBy("h", "doc_id")) - 1
     return (
         placed.withColumn("inside", inside)
-        # (CELLS + n_shards) * SALTS rows at most
-        .join(F.broadcast(starts), ["shard", "cell", "part"])
+        .join(starts, ["shard", "cell", "part"])
         .select(
             "doc_id",
             "size",
