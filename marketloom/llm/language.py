@@ -2,8 +2,9 @@
 
 A word's probability in a language is the sum, over all ways to cut it into pieces of the vocabulary, of the products of the
 pieces' probabilities there; a forward pass sums them all. The piece probabilities are fitted by expectation-maximisation, whose
-expected counts come from the same sum. Fitting sees a bounded, documented sample of labelled rows in one task; scoring runs over all rows
-where they are, each batch scoring its distinct words once, for words of equal length together.
+expected counts come from the same sum. Fitting sees a bounded, documented sample of labelled rows, as counts of words by language; scoring runs over
+all rows where they are, each batch scoring its distinct words once, for words of equal length together. A task remembers the words that it has
+scored, up to ``REMEMBERED`` of them.
 """
 
 from __future__ import annotations
@@ -21,14 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bounded_sample
-from .text_arrays import mix, pieces
+from .text_arrays import mix, pieces, remembered
 
-#: Labelled rows that the probabilities are fitted on, those with the smallest hash of their id.
+#: Labelled rows that the probabilities are fitted on, those with the smallest hash of their id and text.
 TRAIN_ROWS = 4_000
 EPOCHS, SMOOTHING, UNKNOWN = 3, 0.1, 1e-7
-#: Pieces of more characters aren't used. Longer words are scored in stretches, so that no product underflows.
-LONGEST_PIECE, STRETCH = 8, 32
+#: Sums are scaled at every so many characters, before a product of probabilities can underflow.
+SCALED = 16
+#: Words that a task remembers with their scores, and characters of the longest of them.
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
 BATCH_BYTES = 8 << 20
+#: Words are scored together while they have so many characters, or one by one.
+TOGETHER = 1 << 18
 BEGIN = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -47,33 +52,37 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-        self.names = sorted(x for x in names if 0 < len(x) <= LONGEST_PIECE and all(c.isalpha() or c == BEGIN for c in x))
-        hashes = np.array([self._hash(np.array([list(map(ord, x))], np.uint64))[0, 0] for x in self.names], np.uint64)
+        self.names = sorted(x for x in names if x and all(c.isalpha() or c == BEGIN for c in x))
+        self.longest = max(map(len, self.names))
+        hashes = np.array([self._hashes(np.array([list(map(ord, x))], np.uint64), len(x))[-1][0, 0] for x in self.names], np.uint64)
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[hashes & np.uint64((1 << 20) - 1)] = True
 
     @staticmethod
-    def _hash(chars: np.ndarray) -> np.ndarray:
-        total = np.zeros(chars.shape[0], np.uint64)
-        for j in range(chars.shape[1]):
-            total = mix(total * _ODD + chars[:, j] + np.uint64(1))
-        return total[:, None]
-
-    def ids(self, chars: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """For words of equal length: by begin and end, the piece that stands there, -1 where there is none."""
-        out = {}
-        for a in range(chars.shape[1]):
-            total = np.zeros(len(chars), np.uint64)
-            for b in range(a + 1, min(chars.shape[1], a + LONGEST_PIECE) + 1):
-                total = mix(total * _ODD + chars[:, b - 1] + np.uint64(1))
-                at = np.minimum(np.searchsorted(self.sorted, total), len(self.sorted) - 1)
-                found = np.where(self.sorted[at] == total, self.order[at], -1)
-                if b == a + 1 or (found >= 0).any():
-                    out[a, b] = found
+    def _hashes(chars: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+        """For every length the hashes of the stretches of that many characters, by word and begin."""
+        total = np.zeros(chars.shape, np.uint64)
+        out = []
+        for n in range(1, min(longest, chars.shape[1]) + 1):
+            total = mix(total[:, : chars.shape[1] - n + 1] * _ODD + chars[:, n - 1 :] + np.uint64(1))
+            out.append(total)
+        return out
+
+    def ids(self, chars: np.ndarray) -> list[np.ndarray]:
+        """For words of equal length, by length of the piece: the piece at every begin, -1 where there is none."""
+        out = []
+        for total in self._hashes(chars, self.longest):
+            found = np.full(total.shape, -1, np.int64)
+            maybe = np.nonzero(self.bits[total & np.uint64((1 << 20) - 1)])
+            at = np.minimum(np.searchsorted(self.sorted, total[maybe]), len(self.sorted) - 1)
+            found[maybe] = np.where(self.sorted[at] == total[maybe], self.order[at], -1)
+            out.append(found)
         return out
 
 
-_pieces: dict[str, Pieces] = {}
+_pieces: dict[str, Pieces] = remembered("pieces")
 
 
 def _of(path: str) -> Pieces:
@@ -96,94 +105,177 @@ def _by_length(distinct: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     marked = [BEGIN + w for w in distinct]
     length = np.fromiter(map(len, marked), np.int64, len(marked))
     order = np.argsort(length, kind="stable")
-    for n in np.unique(length):
+    for n in np.unique(length).tolist():
         own = order[np.searchsorted(length[order], n) : np.searchsorted(length[order], n, "right")]
-        text = "".join([marked[i] for i in own])
-        yield own, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), n).astype(np.uint64)
-
-
-def _forward(ids: dict[tuple[int, int], np.ndarray], n: int, p: np.ndarray) -> list[np.ndarray]:
-    """Probability of every prefix: the sum over all its segmentations."""
-    size = len(next(iter(ids.values())))
-    alpha = [np.zeros((size, p.shape[1])) for _ in range(n + 1)]
-    alpha[0] += 1
-    for (a, b), found in sorted(ids.items()):
-        alpha[b] += alpha[a] * _weight(p, found, b - a)
-    return alpha
-
-
-def _weight(p: np.ndarray, found: np.ndarray, length: int) -> np.ndarray:
-    """The pieces' probabilities; no piece has none, but for a single character that of the unknown."""
-    w = p[found]
-    if length > 1:
-        w[found < 0] = 0
-    return w
+        many = max(1, TOGETHER // n)
+        for at in range(0, len(own), many):
+            some = own[at : at + many]
+            text = "".join([marked[i] for i in some])
+            yield some, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), n).astype(np.uint64)
+
+
+class _Lattice:
+    """All segmentations of some words of equal length. The last row of a table of probabilities is that of an unknown character."""
+
+    def __init__(self, ids: list[np.ndarray]) -> None:
+        self.ids, (self.size, self.length) = ids, ids[0].shape
+        #: by begin: the lengths of the pieces that some word has there
+        has = np.stack([np.pad((x >= 0).any(0), (0, self.length - x.shape[1])) for x in ids])
+        has[0] = True
+        self.steps = [np.flatnonzero(has[:, a]).tolist() for a in range(self.length)]
+
+    def weight(self, p: np.ndarray, begin: int, k: int) -> np.ndarray:
+        """The probabilities of the pieces of k + 1 characters; no piece has none, but for a single character that of the unknown."""
+        found = self.ids[k][:, begin]
+        w = p[found]
+        if k:
+            w[found < 0] = 0
+        return w
+
+    def forward(self, p: np.ndarray, keep: bool = False) -> tuple[list, list]:
+        """Probability of every prefix, summed over all its segmentations, divided by e to the power of a second number.
+
+        Unless they are to be kept, prefixes that nothing needs any more are dropped.
+        """
+        zero = np.zeros((self.size, p.shape[1]))
+        alpha: list = [zero + 1, *[None] * self.length]
+        scale = zero
+        scales = [scale]
+        for a in range(self.length):
+            for k in self.steps[a]:
+                part = alpha[a] * self.weight(p, a, k)
+                alpha[a + k + 1] = part if alpha[a + k + 1] is None else alpha[a + k + 1] + part
+            if a % SCALED == SCALED - 1:
+                # what is still open is divided by the same number
+                top = alpha[a + 1]
+                for b in range(a + 1, min(self.length, a + len(self.ids)) + 1):
+                    alpha[b] = alpha[b] / top if alpha[b] is not None else None
+                scale = scale + np.log(top)
+            scales.append(scale)
+            if not keep:
+                alpha[a] = None
+        return alpha, scales
+
+    def backward(self, p: np.ndarray) -> tuple[list, list]:
+        """The same for every suffix, of the prefix that ends where it begins."""
+        zero = np.zeros((self.size, p.shape[1]))
+        beta: list = [None] * self.length + [zero + 1]
+        scale = zero
+        scales: list = [None] * self.length + [scale]
+        for a in range(self.length - 1, -1, -1):
+            # later suffixes may have been divided by less
+            beta[a] = sum(self.weight(p, a, k) * beta[a + k + 1] * np.exp(scales[a + k + 1] - scale) for k in self.steps[a])
+            if a % SCALED == 0:
+                scale = scale + np.log(beta[a])
+                beta[a] = zero + 1
+            scales[a] = scale
+        return beta, scales
+
+    def expected(self, p: np.ndarray, often: np.ndarray, size: int) -> np.ndarray:
+        """Expected occurrences of every piece (of the unknown: at ``size``), where the words occur so often. ``p`` has one column."""
+        alpha, up = self.forward(p, keep=True)
+        beta, down = self.backward(p)
+        whole = np.log(alpha[-1]) + up[-1]
+        total = np.zeros(size + 1)
+        for a in range(self.length):
+            for k in self.steps[a]:
+                end = a + k + 1
+                share = alpha[a] * self.weight(p, a, k) * beta[end] * np.exp(up[a] + down[end] - whole)
+                found = self.ids[k][:, a]
+                total += np.bincount(np.where(found < 0, size, found), share[:, 0] * often, minlength=size + 1)
+        return total
 
 
 def log_probabilities(distinct: list[str], vocabulary: Pieces, p: np.ndarray) -> np.ndarray:
     """Per word and language the logarithm of the sum over all segmentations."""
-    if any(len(w) >= STRETCH for w in distinct):
-        parts = [[w[i : i + STRETCH - 1] for i in range(0, len(w), STRETCH - 1)] for w in distinct]
-        each = log_probabilities(list(chain.from_iterable(parts)), vocabulary, p)
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
-        return np.add.reduceat(each, np.cumsum(n) - n, axis=0)
     out = np.zeros((len(distinct), p.shape[1]))
     for own, chars in _by_length(distinct):
-        out[own] = np.log(_forward(vocabulary.ids(chars), chars.shape[1], p)[-1])
+        alpha, scales = _Lattice(vocabulary.ids(chars)).forward(p)
+        out[own] = np.log(alpha[-1]) + scales[-1]
     return out
 
 
-def fit(texts: list[tuple[str, str]], vocabulary: Pieces) -> Model:
-    """Piece probabilities per language from (text, language), by EPOCHS rounds of expectation-maximisation."""
-    counts: dict[str, Counter] = {}
-    n_docs: Counter = Counter()
-    for text, lang in texts:
-        n_docs[lang] += 1
-        counts.setdefault(lang, Counter()).update(w[i : i + STRETCH - 1] for w in words_of(text) for i in range(0, len(w), STRETCH - 1))
-    languages = sorted(counts)
+def fit(counts: dict[str, Counter], n_docs: Counter, vocabulary: Pieces) -> Model:
+    """Piece probabilities per language from the words of each and the numbers of documents, by EPOCHS rounds of expectation-maximisation."""
+    languages = sorted(n_docs)
     size = len(vocabulary.names)
     p = np.full((size + 1, len(languages)), 1.0 / size)
     p[-1] = UNKNOWN
     for k, lang in enumerate(languages):
-        distinct = list(counts[lang])
-        often = np.fromiter((counts[lang][w] for w in distinct), float, len(distinct))
-        groups = [(own, chars.shape[1], vocabulary.ids(chars)) for own, chars in _by_length(distinct)]
+        own = counts.get(lang, Counter())
+        distinct = sorted(own)
+        often = np.fromiter((own[w] for w in distinct), float, len(distinct))
         for _ in range(EPOCHS):
             expected = np.zeros(size + 1)
-            for own, n, ids in groups:
-                one = p[:, [k]]
-                alpha = _forward(ids, n, one)
-                beta = [np.zeros((len(own), 1)) for _ in range(n + 1)]
-                beta[n] += 1
-                for (a, b), found in sorted(ids.items(), reverse=True):
-                    w = _weight(one, found, b - a)
-                    beta[a] += w * beta[b]
-                scale = often[own] / alpha[n][:, 0]
-                for (a, b), found in ids.items():
-                    share = (alpha[a] * _weight(one, found, b - a) * beta[b])[:, 0] * scale
-                    expected += np.bincount(np.where(found < 0, size, found), share, minlength=size + 1)
+            for at, chars in _by_length(distinct):
+                expected += _Lattice(vocabulary.ids(chars)).expected(p[:, [k]], often[at], size)
             p[:size, k] = (expected[:size] + SMOOTHING) / (expected[:size].sum() + SMOOTHING * size)
     total = sum(n_docs.values())
     return Model(languages, np.array([(n_docs[x] + 1) / (total + len(languages)) for x in languages]), p)
 
 
 def train(docs: DataFrame, vocabulary: str, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on up to ``rows`` documents that have a text and a language."""
+    """Fit on up to ``rows`` documents that have a text and a language. Only their words, counted by language, meet in one task."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sample = bounded_sample(known, rows, "doc_id").select("text", "lang")
+    sample = bounded_sample(known, rows, "doc_id", "text").select("text", "lang")
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(it, 0):
+            seen: Counter = Counter()
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[lang, None] += 1  # the documents
+                seen.update((lang, w) for w in words_of(text))
+            rows = [(*key, n) for key, n in seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
+
+    # the sample comes in one partition
+    words = sample.repartition(8, F.xxhash64("text")).mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def fitted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [x for batch in it for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        if texts:
-            m = fit(texts, _of(vocabulary))
+        counts: dict[str, Counter] = {}
+        n_docs: Counter = Counter()
+        for batch in it:
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if word is None:
+                    n_docs[lang] = n
+                else:
+                    counts.setdefault(lang, Counter())[word] = n
+        if n_docs:
+            m = fit(counts, n_docs, _of(vocabulary))
             yield pa.RecordBatch.from_arrays([pa.array([m.languages]), pa.array([m.prior.tolist()]), pa.array([m.probability.astype("<f4").tobytes()])], ["languages", "prior", "probability"])
 
-    got = sample.coalesce(1).mapInArrow(fitted, "languages array<string>, prior array<double>, probability binary").collect()
+    got = words.coalesce(1).mapInArrow(fitted, "languages array<string>, prior array<double>, probability binary").collect()
     if not got:
         return Model([], np.zeros(0), np.zeros((0, 0)))
     return Model(got[0]["languages"], np.array(got[0]["prior"]), np.frombuffer(got[0]["probability"], "<f4").reshape(-1, len(got[0]["languages"])).astype(float))
 
 
+class _Scores:
+    """The words that a task has scored with a model."""
+
+    def __init__(self, model: Model, vocabulary: Pieces) -> None:
+        self.model, self.vocabulary = model, vocabulary
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((1024, len(model.languages)))
+
+    def of(self, distinct: list[str]) -> np.ndarray:
+        at = np.fromiter((self.index.get(w, -1) for w in distinct), np.int64, len(distinct))
+        out = self.table[at]
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            names = [distinct[i] for i in new]
+            out[new] = log_probabilities(names, self.vocabulary, self.model.probability)
+            if len(self.index) + len(names) > REMEMBERED:
+                self.index.clear()
+            for i, w in zip(new.tolist(), names, strict=True):
+                if len(w) <= REMEMBERED_LENGTH and (n := len(self.index)) < REMEMBERED:
+                    if n == len(self.table):
+                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                    self.index[w] = n
+                    self.table[n] = out[i]
+        return out
+
+
 def identify(docs: DataFrame, model: Model, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (the probability of that language among those learned) of every row.
 
@@ -195,13 +287,14 @@ def identify(docs: DataFrame, model: Model, vocabulary: str, id_col: str = "doc_
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in pieces(it, 1, BATCH_BYTES):
+        scores = _Scores(m, _of(vocabulary))
+        for batch in pieces(it, 1, BATCH_BYTES, "pieces"):
             split = [words_of(t or "") for t in batch.column(1).to_pylist()]
             n = np.fromiter(map(len, split), np.int64, len(split))
             code, distinct = pd.factorize(np.array(list(chain.from_iterable(split)), object))
             names, best = ["und"] * len(split), np.zeros(len(split))
             if m.languages and len(distinct):
-                each = log_probabilities(list(distinct), _of(vocabulary), m.probability)
+                each = scores.of(list(distinct))
                 doc = np.repeat(np.arange(len(split)), n)
                 total = np.stack([np.bincount(doc, each[code, k], minlength=len(split)) for k in range(len(m.languages))], 1) + np.log(m.prior)
                 top = total.argmax(1)
