@@ -1,13 +1,14 @@
 """Main text of web pages by removing site templates.
 
 Every element subtree is hashed (tag, text and the hashes of its children). Spark counts, per host, on how many distinct pages each subtree
-occurs; subtrees that recur on many pages and on a share of their host are its template and are deleted. What the counts can't tell, as on
-hosts of a few pages, is left to what the markup says: elements named or classed as menus, adverts and the like go, and where a page marks
-its article, only that stays.
+occurs; subtrees that recur on many pages and on a share of their host are its template and are deleted. Pages with the same article are one
+page, whatever stands around it. What the counts can't tell, as on hosts of a few pages or where menus and adverts have other words on each
+page, is left to what the markup says: elements named or classed as such go, and where a page marks its article, only that stays.
 
 How it scales: a row per distinct page and subtree is dealt by both, and what is added up per subtree is added up before the shuffle, so a
-host with a third of all pages is no hot group; its size meets its subtrees in ``SALTS`` parts. The recurring subtrees go to the tasks as one sorted array of 64-bit numbers while there are at most
-``BROADCAST_ENTRIES`` of them (8 bytes each); beyond that each page gets its own by a join.
+host with a third of all pages is no hot group; its size meets its subtrees in ``SALTS`` parts. The recurring subtrees go to the tasks as
+one sorted array of 64-bit numbers while there are at most ``BROADCAST_ENTRIES`` of them (8 bytes each); beyond that each page gets its own
+by a join.
 """
 
 from __future__ import annotations
@@ -86,10 +87,15 @@ def _is_named(attributes: str) -> bool:
     return False
 
 
+def _article(root: _Element) -> _Element | None:
+    """The page's largest marked article."""
+    return max((e for e in _reached(root) if e.article), key=lambda e: e.shown, default=None)
+
+
 def _set_aside(root: _Element) -> None:
     """Names mark what they stand on as aside, unless it holds the page's largest article or most of its text."""
     kept = {id(root)}
-    best = max((e for e in _reached(root) if e.article), key=lambda e: e.shown, default=None)
+    best = _article(root)
     while best is not None:
         kept.add(id(best))
         best = best.parent
@@ -205,9 +211,8 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def subtrees(url: str | None, page: str) -> dict[int, bool]:
+def subtrees(host: str, root: _Element) -> dict[int, bool]:
     """Keys of the distinct subtrees of a page that recurrence may delete, and whether they are of prose."""
-    root, host = _parsed(page), host_of(url)
     return {_key(host, e.hash): e.tag in PROSE for e in _walk(root) if _deletable(e, root.size)}
 
 
@@ -237,18 +242,16 @@ def text_of(url: str | None, page: str, template) -> str:
 
 
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each distinct page of a batch its subtrees, and a row without one for the page itself."""
+    """Of each distinct page of a batch its subtrees, and a row without one for the page itself, which goes by its article."""
     for batch in pieces(it, 1):
         columns: dict[str, list] = {"host": [], "page": [], "subtree": [], "prose": []}
-        seen = set()
-        for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            h = h or ""
-            own = (_key(host_of(u), 0), xxhash.xxh3_64_intdigest(h.encode("utf-8", "surrogatepass")) - (1 << 63))
-            if own in seen:
-                continue
-            seen.add(own)
-            keys = {None: None, **subtrees(u, h)}
-            for name, values in zip(columns, ([own[0]] * len(keys), [own[1]] * len(keys), keys.keys(), keys.values()), strict=True):
+        pages = set(zip(map(host_of, batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True))
+        for host, h in pages:
+            root = _parsed(h or "")
+            best = _article(root)
+            page = best.hash - (1 << 63) if best else xxhash.xxh3_64_intdigest((h or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+            keys = {None: None, **subtrees(host, root)}
+            for name, values in zip(columns, ([_key(host, 0)] * len(keys), [page] * len(keys), keys.keys(), keys.values()), strict=True):
                 columns[name] += values
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns.values(), kinds, strict=True)], [*columns])
@@ -259,7 +262,6 @@ def templates(pages: DataFrame, recurs: int = RECURS, url_col: str = "url", html
     from .scratch import written
 
     seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_count, "host long, page long, subtree long, prose boolean")
-    # pages with equal html are one page of their host
     counted = seen.distinct().groupBy("host", "subtree", "prose").agg(F.count("*").alias("n")).where(F.col("n") >= recurs)
     counted = written(counted, "recurring")
     # a hot host has many such subtrees
@@ -278,8 +280,8 @@ def _texts(batch: pa.RecordBatch, template) -> pa.RecordBatch:
 def extract(pages: DataFrame, recurs: int = RECURS, entries: int = BROADCAST_ENTRIES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars.
 
-    Null and empty pages have an empty text. Pages without a URL share one nameless host. Repeated rows are kept, but
-    count as one page of their host; null ids are kept. A page that is cut off ends where it is cut. An empty table gives no rows. Other columns are
+    Null and empty pages have an empty text. Pages without a URL share one nameless host. Repeated rows, and pages with equal articles, are kept
+    but count as one page of their host; null ids are kept. A page that is cut off ends where it is cut. An empty table gives no rows. Other columns are
     ignored.
     """
     from .scratch import written
@@ -300,7 +302,7 @@ def extract(pages: DataFrame, recurs: int = RECURS, entries: int = BROADCAST_ENT
 
     def own(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(it, 2):
-            keys = [list(subtrees(u, h or "")) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            keys = [list(subtrees(host_of(u), _parsed(h or ""))) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], ["row", "url", "html", "page_id", "subtrees"])
 
     def by_join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
