@@ -5,12 +5,13 @@ go to buckets by hash; a bucket counts the pieces of each once, whichever and ho
 batch in the order in which it asked. The counts are then joined to the frequencies by batch and multiplied out.
 
 How it scales: what moves is one entry per batch and distinct pre-token, so a word that is in every document weighs no more
-than another; a bucket holds 1/``buckets`` of these, and the number of buckets follows the number of shuffle partitions. The
+than another. The number of buckets follows the bytes of all texts, so that each bucket has about the same number of entries. The
 frequencies move once, as two or three bytes each.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import new_path
-from .text_arrays import pieces, raw
+from .text_arrays import pieces, raw, remembered
 
 BATCH_BYTES = 12 << 20
+#: Bytes of text for each bucket of pre-tokens.
+BUCKET_BYTES = 32 << 20
 #: Pre-tokens of the vocabulary's own pattern, within a lower-cased word of letters and signs up to U+024F.
 _PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+")
 #: Words that the library takes whole: other scripts, control characters, the dotted capital I, special tokens.
@@ -34,13 +37,15 @@ _WHOLE = re.compile(r"[\x00-\x1f\x7f-\xa0İɐ-\U0010ffff]|<\|")
 #: Characters at which Python splits words and the vocabulary does not, and words by the vocabulary's own white space.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 _UNSPLIT = re.compile(r"(?:\S|[\x1c-\x1f])+")
-_tokenizers: dict = {}
+_tokenizers: dict = remembered("tokenizers")
 
 
 def _tokenizer(path: str):
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are on all cores already
+
         _tokenizers[path] = Tokenizer.from_file(path)
     return _tokenizers[path]
 
@@ -97,11 +102,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     table gives no rows. Other columns are ignored. ``vocabulary`` must be of the kind of word_bpe_49k.json: lower case, white space dropped.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    buckets = buckets or max(8, -(-(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
 
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(pieces(it, 1, BATCH_BYTES)):
+        for k, batch in enumerate(pieces(it, 1, BATCH_BYTES, "tokenizers")):
             asked, n, steps, often = _frequencies([t or "" for t in batch.column(1).to_pylist()], buckets)
             row = {
                 "batch": pa.array([(TaskContext.get().partitionId() << 32) + k]),
@@ -143,7 +149,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     path = new_path(spark, "pre-tokens")
     schema = f"batch long, doc_id array<{kind}>, n_bytes array<long>, distinct binary, steps binary, often binary, asked array<struct<bucket: int, words: string>>"
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     source.mapInArrow(gather, schema).write.option("compression", "zstd").parquet(path)
     batches = spark.read.parquet(path)
     asked = batches.select("batch", F.inline("asked"))
