@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marketloom_llm_rows import make, prose
-from marketloom.llm import decontamination, html_text, jaccard, language, packing, quality, sharding, token_count, token_store, toxicity
+from marketloom.llm import decontamination, graph, html_text, jaccard, language, packing, quality, sharding, token_count, token_store, toxicity
 from marketloom.llm.token_ids import WordCoder
 
 BYTE_BPE, WORD_BPE, PIECES = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -82,12 +82,59 @@ def test_jaccard(spark, odd, odd_rows, empty, monkeypatch):
     expected = brute_components(odd_rows)
     assert Counter(map(tuple, jaccard.near_duplicates(odd).collect())) == expected
     monkeypatch.setattr(jaccard, "OFTEN", 2)  # nearly every shared shingle is common
-    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard, "PER_RUN", 2)
+    monkeypatch.setattr(jaccard, "PER_BUCKET", 64)
     monkeypatch.setattr(jaccard, "SENT_IDS", 0)
     assert Counter(map(tuple, jaccard.near_duplicates(odd.repartition(3)).collect())) == expected
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def families(rng):
+    """Texts that share shingles in every way that the join tells apart."""
+    common = "all pages of this site are protected by law and may not be copied"
+    rows = [(i, f"{prose(rng, 60, 9000)} {common} {prose(rng, 20, 9000)}") for i in range(60)]  # a shingle in all documents, linked with nothing
+    frame = prose(rng, 90, 9000)
+    rows += [(100 + i, f"{frame} own{i} tail{i}") for i in range(80)]  # identical prefixes and sizes, all linked
+    half = prose(rng, 60, 9000)
+    rows += [(200 + i, f"{half} {prose(rng, 16, 9000)}") for i in range(40)]  # near the bound: a link with none of the others
+    base = prose(rng, 80, 9000).split(" ")
+    for i in range(50):  # some links, some not
+        words = list(base)
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(80)] = f"edit{rng.randint(0, 3)}"
+        rows.append((300 + i, " ".join(words)))
+    return rows + rng.choices(rows, k=60)
+
+
+def test_jaccard_families(spark, monkeypatch):
+    rows = families(random.Random(11))
+    expected = brute_components(rows)
+    docs = make(spark, rows).repartition(3)
+    assert Counter(map(tuple, jaccard.near_duplicates(docs).collect())) == expected
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    monkeypatch.setattr(jaccard, "PER_RUN", 7)
+    monkeypatch.setattr(jaccard, "OFTEN", 9)
+    assert Counter(map(tuple, jaccard.near_duplicates(docs).collect())) == expected
+
+
+def test_jaccard_where_tokens_collide(spark, monkeypatch):
+    """Shingles that agree in what is sent to the buckets cost work but no link."""
+    monkeypatch.setattr(jaccard, "TOKEN_BITS", 7)
+    rows = families(random.Random(12))[::3]
+    assert Counter(map(tuple, jaccard.near_duplicates(make(spark, rows)).collect())) == brute_components(rows)
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40, 140)]
+    star = [(500, 500 + i) for i in range(1, 60)]
+    edges = chain + star + [(7, 7), (3, 2), (2, 3), (2, 3)]
+    random.Random(1).shuffle(edges)
+    got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {i: 40 for i in range(41, 141)} | {500 + i: 500 for i in range(1, 60)} | {3: 2}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_packing(spark, odd, odd_rows, empty):
     cut = packing.cut_documents(odd, BYTE_BPE)
     rows = packing.pack(cut, per_partition=20).collect()
@@ -113,6 +160,22 @@ def test_packing(spark, odd, odd_rows, empty):
     assert packing.pack(packing.cut_documents(empty, BYTE_BPE)).count() == 0
 
 
+def test_packing_exchange(spark):
+    """Partitions with gaps exchange pieces and come nearer to the bound, which best fit in each of them does not reach alone."""
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(20, 500, 3000).tolist() + [1024] * 50
+    cut = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    alone = packing.certificate(packing.pack(cut, per_partition=60, rounds=1))
+    packed = packing.pack(cut, per_partition=60)
+    exchanged = packing.certificate(packed)
+    assert packed.count() == len(sizes) and packed.select("doc_id").distinct().count() == len(sizes)
+    assert alone["lower_bound"] == exchanged["lower_bound"] <= exchanged["sequences"]
+    assert exchanged["sequences"] < alone["sequences"]
+    # certified partitions stand: pieces that fill sequences are never dealt again
+    full = packing.pack(spark.createDataFrame([(i, 0, 0, 512, 0) for i in range(400)], cut.schema), per_partition=40)
+    assert packing.certificate(full)["sequences"] <= 200 + 10
+
+
 def test_lower_bound_and_best_fit():
     rng = np.random.default_rng(1)
     for _ in range(30):
@@ -198,7 +261,9 @@ def test_token_store(spark, odd, odd_rows, empty, tmp_path):
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in odd_rows}
     expected = Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, t in odd_rows for x in [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]])
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == expected
-    assert token_store.read_documents(spark, path, [3, 80]) == {3: ids[3], 80: ids[80]}
+    got = token_store.read_documents(spark, path, [3, 80, 7, None, 12345])
+    assert got == {3: [ids[3]], 80: [ids[80]], 7: got[7]} and ids[7] in got[7] and len(got[7]) == 2
+    assert token_store.read_documents(spark, path, [None]) == {}
     assert token_store.store(empty, BYTE_BPE).count() == 0
 
 
@@ -301,6 +366,42 @@ def test_html_recurrence_is_by_distinct_pages(spark, entries):
     assert [got[300 + i] for i in range(30)] == [f"text {i} is own" + ("\na quotation" if i < 12 else "") for i in range(30)]
 
 
+def test_html_counts_and_deletions_are_brute_force(spark):
+    """Site frames in elements of every kind, against counts of equal markup per host."""
+    rng = random.Random(4)
+    frames = ["<div>Read our <b>letter</b> each week</div>", "<table><tr><td>Plans</td><td>Prices</td></tr></table>", "<p>All rights reserved by us</p>", "<ul><li>Home page</li><li>Our team</li></ul>"]
+    quote = "<p>a saying that a few pages have</p>"
+    pages, expected = [], {}
+    for host, n in (("a.example", 40), ("b.example", 12), ("c.example", 3)):
+        for i in range(n):
+            own = [f"<p>{prose(rng, 30, 9000)} {host} {i}</p>" for _ in range(3)] + [quote] * (i < 4)
+            parts = frames[:2] + own + frames[2:]
+            pages.append((len(pages), f"https://{host}/{i}", f"<body>{''.join(parts)}</body>", parts))
+    counts = Counter((url.split("/")[2], part) for _, url, _, parts in pages for part in set(parts))
+    size = Counter(url.split("/")[2] for _, url, _, _ in pages)
+    for i, url, _, parts in pages:
+        host, kept = url.split("/")[2], []
+        for part in parts:
+            n, prose_tag = counts[host, part], part.startswith("<p>")
+            if not (n >= 10 and 2 * n >= size[host] if prose_tag else n >= 5 and 10 * n >= size[host]):
+                kept += re.sub("<b>|</b>", "", part).replace("</td>", "\n").replace("</li>", "\n").split("\n")
+        texts = (re.sub("<[^>]*>", "", x).strip() for x in kept)
+        expected[i] = "\n".join(x for x in texts if x)
+    rows = [(i, url, html) for i, url, html, _ in pages]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == expected
+    assert "Home page" not in got[0] and "Home page" in got[54]
+
+
+def test_html_copies_of_an_article_are_one_page(spark):
+    """An article on many pages of a host, each with a frame of its own, is no template of the host."""
+    rows = [(i, f"https://h.example/{i}", f"<body><nav>to {i}</nav><div>frame {i}</div><article><h1>Head</h1><p>The one text.</p><ul><li>first</li><li>second</li></ul></article></body>") for i in range(30)]
+    rows += [(100 + i, f"https://h.example/x{i}", f"<body><article><p>Another text {i}.</p></article></body>") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(30)} == {"Head\nThe one text.\nfirst\nsecond"}
+    assert [got[100 + i] for i in range(5)] == [f"Another text {i}." for i in range(5)]
+
+
 def test_language(spark, odd, odd_rows, empty):
     words = {"en": "the house and water of light with morning under trees".split(), "de": "das haus und wasser der schönen nacht unter bäumen".split()}
     rng = np.random.default_rng(4)
@@ -318,25 +419,105 @@ def test_language(spark, odd, odd_rows, empty):
     assert language.identify(empty, model, PIECES).count() == 0
 
 
+def segmentations(text, index):
+    """All ways to cut a text into pieces; a character that is none is -1."""
+    if not text:
+        yield ()
+    for n in range(1, len(text) + 1):
+        if text[:n] in index or n == 1:
+            for rest in segmentations(text[n:], index):
+                yield (index.get(text[:n], -1), *rest)
+
+
 def test_forward_sums_all_segmentations():
     vocabulary = language.Pieces(PIECES)
     p = np.random.default_rng(0).random((len(vocabulary.names) + 1, 2)) * 1e-3
-
-    def total(text, k):
-        if not text:
-            return 1.0
-        out = 0.0
-        for n in range(1, min(len(text), language.LONGEST_PIECE) + 1):
-            if text[:n] in index:
-                out += p[index[text[:n]], k] * total(text[n:], k)
-            elif n == 1:
-                out += p[-1, k] * total(text[1:], k)
-        return out
-
     index = {x: i for i, x in enumerate(vocabulary.names)}
-    for word in ("house", "straße", "xqz", "æ"):
+    for word in ("house", "straße", "xqz", "æ", "information"):
         got = language.log_probabilities([word], vocabulary, p)[0]
-        assert got == pytest.approx([np.log(total(language.BEGIN + word, k)) for k in (0, 1)])
+        each = np.array([p[list(s)].prod(0) for s in segmentations(language.BEGIN + word, index)])
+        assert got == pytest.approx(np.log(each.sum(0)))
+
+
+def test_long_words_are_scored_whole(monkeypatch):
+    vocabulary = language.Pieces(PIECES)
+    p = np.random.default_rng(0).random((len(vocabulary.names) + 1, 2)) * 1e-3
+    words = ["information" * n for n in (1, 4, 9)] + ["x" * 70, "é" * 33]
+    monkeypatch.setattr(language, "SCALED", 1000)
+    plain = language.log_probabilities(words, vocabulary, p)
+    for scaled in (1, 3, 16):
+        monkeypatch.setattr(language, "SCALED", scaled)
+        assert language.log_probabilities(words, vocabulary, p) == pytest.approx(plain)
+    assert np.isfinite(language.log_probabilities(["ab" * 5000], vocabulary, p)).all()
+
+
+@pytest.mark.parametrize("scaled", [2, 16])
+def test_fit_and_identify_are_brute_force(spark, monkeypatch, scaled):
+    monkeypatch.setattr(language, "SCALED", scaled)
+    vocabulary = language.Pieces(PIECES)
+    index, size = {x: i for i, x in enumerate(vocabulary.names)}, len(vocabulary.names)
+    texts = {"a": ["The house, the HOUSE", "water 12 light"], "b": ["das haus", "schöne nacht das", "haus"]}
+    probability, prior = {}, {}
+    for lang, own in texts.items():
+        counts = Counter(w for t in own for w in language.words_of(t))
+        p = np.full(size + 1, 1 / size)
+        p[-1] = language.UNKNOWN
+        for _ in range(language.EPOCHS):
+            expected = np.zeros(size + 1)
+            for w, n in counts.items():
+                cuts = [list(s) for s in segmentations(language.BEGIN + w, index)]
+                share = np.array([p[s].prod() for s in cuts])
+                for s, x in zip(cuts, share / share.sum(), strict=True):
+                    np.add.at(expected, s, n * x)
+            p[:size] = (expected[:size] + language.SMOOTHING) / (expected[:size].sum() + language.SMOOTHING * size)
+        probability[lang], prior[lang] = p, (len(own) + 1) / (5 + 2)
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, PIECES)
+    assert model.languages == ["a", "b"] and model.prior == pytest.approx([prior["a"], prior["b"]])
+    assert model.probability == pytest.approx(np.stack([probability["a"], probability["b"]], 1), rel=1e-5)
+    asked = [(i, t) for i, t in enumerate(["the haus", "Nacht light", "zz", "1 2", "house" * 2])]
+    for r in language.identify(make(spark, asked), model, PIECES).collect():
+        found = language.words_of(dict(asked)[r["doc_id"]])
+        if not found:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        score = {k: prior[k] * np.prod([sum(probability[k][list(s)].prod() for s in segmentations(language.BEGIN + w, index)) for w in found]) for k in prior}
+        best = max(sorted(score), key=score.get)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(score[best] / sum(score.values()), rel=1e-4)
+
+
+def test_fitting_samples_hold_where_one_id_has_all_rows(spark):
+    rows = [(7, f"the house number {'x' * (i % 50)} of light", "en") for i in range(300)] + [(7, f"das haus nummer {'x' * (i % 50)} nacht", "de") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, PIECES, rows=40)
+    assert set(model.languages) == {"en", "de"}
+    same = spark.createDataFrame([(7, "the house", "en")] * 500, "doc_id long, text string, lang string")
+    assert language.train(same, PIECES, rows=40).languages == ["en"]
+
+
+def test_ftrl_is_brute_force():
+    rng = np.random.default_rng(5)
+    examples = [(np.unique(rng.integers(0, 30, 12)), int(rng.random() < 0.4)) for _ in range(60)]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0 if i == "bias" else toxicity.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for places, label in examples:
+            at = [*places.tolist(), "bias"]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in at:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    ends = np.concatenate([[0], np.cumsum([len(p) for p, _ in examples])])
+    model = toxicity.fit(np.concatenate([p for p, _ in examples]), ends, np.array([y for _, y in examples]))
+    expected = {i: weight(i) for i in range(30) if weight(i)}
+    assert dict(zip(model.places.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(expected)
+    assert model.bias == pytest.approx(weight("bias"))
 
 
 def test_pipeline(spark, odd_rows, tmp_path):
@@ -371,3 +552,70 @@ def test_pipeline_near_duplicates_by_row(spark):
     got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
     one = next(t for t in (d, near) if got[None, t])
     assert got == Counter([(7, a), (7, b), (3, c), (None, one), (9, e), (5, None), (5, None), (None, ""), (None, "")])
+
+
+@pytest.fixture
+def tables(spark, odd_rows, tmp_path):
+    """A folder with what the stages read besides documents."""
+    passage = " ".join(dict(odd_rows)[80].split(" ")[100:130])
+    spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rng = np.random.default_rng(2)
+    labelled = [(5000 + i, " ".join(f"w{x}y" for x in rng.integers(0, 300, 60)) + (" vile" if i % 5 == 0 else "")) for i in range(400)]
+    spark.createDataFrame([(i, 0, int(t.endswith("vile"))) for i, t in labelled], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path), labelled
+
+
+def test_pipeline_stages_by_row(spark, odd_rows, tables):
+    """Every stage keeps and drops rows by their texts, with clashing columns, null and repeated ids and repeated rows."""
+    import corpus_pipeline
+
+    folder, labelled = tables
+    passage = " ".join(dict(odd_rows)[80].split(" ")[100:130])
+    plain, other = prose(random.Random(1), 70, 9000), prose(random.Random(2), 70, 9000)
+    rows = [*odd_rows, *labelled, (None, plain), (None, plain), (9000, other), (9000, other + " vile"), (9000, f"{other} {passage}"), (9001, f"{passage} {plain}"), (None, "vile"), (None, passage)]
+    docs = make(spark, rows).withColumn("source", F.lit("s"))
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(stage, docs):
+        out = stages[stage](spark, docs, folder)
+        assert out.schema.names == docs.schema.names
+        return Counter((r["doc_id"], r["text"]) for r in out.collect())
+
+    every = Counter(rows)
+    toxic = every - kept("toxicity", docs)
+    assert all("vile" in t for _, t in toxic) and {t for t, n in Counter(rows).items() if t[1] and t[1].endswith(" vile")} <= set(toxic)
+    words = lambda t: ALNUM_WORD.findall(lower(t))
+    windows = {tuple(words(passage)[i : i + 10]) for i in range(21)}
+    hit = Counter(r for r in rows if windows & {tuple(words(r[1])[i : i + 10]) for i in range(len(words(r[1])))})
+    assert every - kept("decontamination", docs) == hit and sum(hit.values()) >= 4
+    good = kept("quality_rules", docs)
+    assert good[None, plain] == 2 and not good[None, "vile"] and not good[0, None]
+    near = kept("jaccard_join", docs)
+    assert near[None, plain] == 1 and near[9000, other] + near[9000, other + " vile"] == 1
+    packed = stages["packing"](spark, docs, folder)
+    assert packed.where("piece = 0").count() == len(rows)
+
+
+def test_pipeline_empty_tables(spark, tables):
+    import corpus_pipeline
+
+    folder, _ = tables
+    docs = make(spark, [])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == 0
+
+
+@pytest.mark.parametrize("block", [1000, 5])
+def test_decontamination_items_of_any_type_and_number(spark, odd, odd_rows, block):
+    """A passage that thousands of items have is one window of each block, and names them all."""
+    passage = " ".join(dict(odd_rows)[80].split(" ")[300:312])
+    items = [(f"item-{i}", passage) for i in range(3000)] + [("other", "nothing of it"), (None, passage)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    found = {r["doc_id"]: r for r in decontamination.decontaminate(odd, bench, block=block).where("contaminated").collect()}
+    assert set(found) == {80}
+    assert (found[80]["n_items"], found[80]["n_hit"]) == (3000, 12)
+    assert found[80]["items_sha256"] == decontamination.digest([i for i, _ in items[:3000]])
+    stays = decontamination.drop_contaminated(odd, bench, block=block)
+    assert Counter(r["doc_id"] for r in stays.collect()) == Counter(i for i, _ in odd_rows) - Counter([80])
