@@ -13,8 +13,8 @@ import numpy as np
 
 from .text_arrays import remembered
 
-#: Words that a worker remembers, about 80 MB.
-REMEMBERED = 250_000
+#: Words that a worker remembers unless told otherwise, about 170 MB.
+REMEMBERED = 700_000
 #: Longer words aren't remembered.
 LONGEST = 64
 #: Words that are encoded in one text, and characters that are encoded in one call: the library keeps much besides the ids.
@@ -22,6 +22,17 @@ TOGETHER, CALL_CHARS = 64, 1 << 18
 #: Letters up to U+024F, and signs after them that no pattern joins with letters.
 _LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?%$*&#)]*)\Z")
 _ADJACENT = re.compile(r"\s\s")
+
+
+def _is_split_by_single_spaces(text: str) -> bool:
+    """Whether no two white-space characters stand side by side, and no character is one that keys are marked with."""
+    plain = text.replace("\n", " ")
+    # what is printable holds no white space but the space
+    if plain.isprintable():
+        return "  " not in plain
+    return "\0" not in text and not _ADJACENT.search(text)
+
+
 #: The coders of this worker by vocabulary file.
 CODERS: dict[str, WordCoder] = remembered("coders")
 
@@ -29,9 +40,10 @@ CODERS: dict[str, WordCoder] = remembered("coders")
 class WordCoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         # an own text for each key: "x" stands for " x", "\nx" for itself, "\0x" for "x" at the begin of a text
         self.known: dict[str, bytes] = {}
@@ -40,12 +52,12 @@ class WordCoder:
         self.line_end = line_end[1] if len(line_end) == 3 else None
 
     @staticmethod
-    def of(path: str) -> WordCoder:
-        """The coder of this worker for a vocabulary file."""
+    def of(path: str, remembered: int = REMEMBERED) -> WordCoder:
+        """The coder of this worker for a vocabulary file; it remembers so many words."""
         if path not in CODERS:
             # tasks are on all cores already
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            CODERS[path] = WordCoder(path)
+            CODERS[path] = WordCoder(path, remembered)
         return CODERS[path]
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -80,8 +92,9 @@ class WordCoder:
         """The ids of words that aren't known yet."""
         known, new = self.known, {"\0": b""}
         # letters and the signs after them are encoded apart by the vocabulary too
-        split = [(k, m[1], m[2]) for k in missing if (m := _LETTERS_SIGNS.match(k))]
-        runs = list(dict.fromkeys(r for _, r, _ in split if r not in known))
+        plain = [k for k in missing if k.isascii() and k.isalpha()]
+        split = [(k, m[1], m[2]) for k in set(missing).difference(plain) if (m := _LETTERS_SIGNS.match(k))]
+        runs = list(dict.fromkeys([*plain, *(r for _, r, _ in split if r not in known)]))
         if self.line_end is not None:
             new.update(zip(runs, self._runs(runs), strict=True))
         else:
@@ -89,8 +102,7 @@ class WordCoder:
         signs = list(dict.fromkeys(x for _, _, x in split if x and x not in self.signs))
         self.signs.update(zip(signs, self._library(signs), strict=True))
         for k, r, x in split:
-            if x:
-                new[k] = (known.get(r) or new[r]) + self.signs[x]
+            new[k] = (known.get(r) or new[r]) + (self.signs[x] if x else b"")
         rest = [k for k in missing if k not in new]
         plain = [k if k[:1] == "\n" else k[1:] if k[:1] == "\0" else " " + k for k in rest]
         new.update(zip(rest, self._library(plain), strict=True))
@@ -101,7 +113,7 @@ class WordCoder:
         get, found = self.known.get, []
         missing: set[str] = set()
         for t in texts:
-            if _ADJACENT.search(t) or "\0" in t:
+            if not _is_split_by_single_spaces(t):
                 found.append((None, None))
                 continue
             keys = t.replace("\n", " \n").split(" ")
@@ -112,9 +124,9 @@ class WordCoder:
             missing.update([keys[i] for i in gaps])
             found.append((ids, [(i, keys[i]) for i in gaps]))
         new = self._encoded(list(missing))
-        if len(self.known) < REMEMBERED:
+        if len(self.known) < self.remembered:
             self.known.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
-        if len(self.signs) > REMEMBERED:
+        if len(self.signs) > self.remembered:
             self.signs.clear()
         whole = iter(self._library([t for t, (ids, _) in zip(texts, found, strict=True) if ids is None]))
         out = []

@@ -4,11 +4,12 @@ The format is a folder with two Parquet tables, so that any file system that Spa
 files are replaced by Spark's commit protocol:
 
 * ``dictionary``: sha256, bytes. One row; trained on serialized id arrays. No bytes where there is too little to train on.
-* ``blocks``: part, block, start (ids in the part before the block), dictionary (its sha256), doc_id[], n_tokens[], offset[], frames.
-  Blocks are in ascending doc_id order by (part, block); document k of a block is ``frames[offset[k] : offset[k + 1]]``.
+* ``blocks``: part, block, start (ids in the part before the block), dictionary (its sha256), first_id, last_id, doc_id[], n_tokens[], offset[],
+  frames. Blocks are in ascending doc_id order by (part, block); document k of a block is ``frames[offset[k] : offset[k + 1]]``.
 
 A frame holds the ids as little-endian unsigned integers of 2 bytes if all fit, else of 4; its first byte says which. A short
-document is read by decompressing its own frame only.
+document is read by decompressing its own frame only; which blocks are read at all is decided by Parquet's statistics of first_id and last_id,
+in row groups of a few blocks.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,11 @@ from .text_arrays import pieces
 from .token_ids import WordCoder
 
 END_ID = 2
-#: Sample that the dictionary is trained on: so many documents, and of each array so many bytes.
-SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 16_384, 65_536
+#: The dictionary is trained on parts of whole arrays: of so many documents, so many parts of so many bytes, both by the smallest hash. The
+#: trainer needs about 100 times the dictionary's size and holds all of it in memory.
+SAMPLE_DOCUMENTS, SAMPLE_PARTS, PART_BYTES, DICTIONARY_BYTES = 512, 2_048, 4_096, 65_536
 BLOCK_BYTES, LEVEL = 4 << 20, 3
-_BLOCKS = "part int, block int, start long, dictionary string, doc_id array<{kind}>, n_tokens array<long>, offset array<long>, frames binary"
+_BLOCKS = "part int, block int, start long, dictionary string, first_id {kind}, last_id {kind}, doc_id array<{kind}>, n_tokens array<long>, offset array<long>, frames binary"
 
 
 def serialized(ids: bytes) -> bytes:
@@ -47,14 +51,15 @@ def deserialized(payload: bytes) -> bytes:
 
 
 def _trained(docs: DataFrame, vocabulary: str) -> bytes:
-    def sample(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder.of(vocabulary)
-        for batch in pieces(it, 0):
-            got = [serialized(x)[:SAMPLE_BYTES] for x in coder.encode([t or "" for t in batch.column(0).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], ["payload"])
+        for batch in pieces(it, 0, 1 << 20, "coders"):
+            arrays = [serialized(x) for x in coder.encode([t or "" for t in batch.column(0).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i : i + PART_BYTES] for x in arrays for i in range(0, len(x), PART_BYTES)], pa.binary())], ["part"])
 
-    some = bounded_sample(docs, SAMPLE_DOCUMENTS, "doc_id").select("text")
-    samples = [bytes(r["payload"]) for r in some.mapInArrow(sample, "payload binary").collect()]
+    # the sample comes in one partition
+    some = bounded_sample(docs, SAMPLE_DOCUMENTS, "doc_id", "text").select("text").repartition(8, F.xxhash64("text"))
+    samples = [bytes(r["part"]) for r in some.mapInArrow(parts, "part binary").orderBy(F.xxhash64("part")).limit(SAMPLE_PARTS).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -65,7 +70,8 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, id_
     """Encode every document, append ``end_id``, and write the folder ``path``.
 
     A null text is an empty one, whose only id is ``end_id``. Rows with equal ids are all written, in the order of a hash of
-    their texts; a null id comes first. Other columns are ignored.
+    their texts; a null id comes first. Repeated rows are spread like any others. Without documents the table of blocks is empty. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
@@ -86,12 +92,13 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, id_
 
         def flushed() -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).astype(np.int64).tolist()
-            row = [[part], [block], [start], [sha], [ids_], [counts], [offsets], [b"".join(frames)]]
+            row = [[part], [block], [start], [sha], [ids_[0]], [ids_[-1]], [ids_], [counts], [offsets], [b"".join(frames)]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         size, schema = 0, None
-        for batch in pieces(it, 1, 1 << 20):
-            schema = schema or pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("dictionary", pa.string()), ("doc_id", pa.list_(batch.schema.field(0).type)), ("n_tokens", pa.list_(pa.int64())), ("offset", pa.list_(pa.int64())), ("frames", pa.binary())])
+        for batch in pieces(it, 1, 1 << 20, "coders"):
+            id_ = batch.schema.field(0).type
+            schema = schema or pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("dictionary", pa.string()), ("first_id", id_), ("last_id", id_), ("doc_id", pa.list_(id_)), ("n_tokens", pa.list_(pa.int64())), ("offset", pa.list_(pa.int64())), ("frames", pa.binary())])
             for i, ids in zip(batch.column(0).to_pylist(), coder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids_.append(i)
                 counts.append(len(ids) // 4 + 1)
@@ -104,10 +111,11 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, id_
         if frames:
             yield flushed()
 
-    # the hash keeps rows of one id from having to share a partition
-    order = ["doc_id", F.xxhash64("text")]
-    placed = source.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed.mapInArrow(encode, _BLOCKS.format(kind=kind.simpleString())).write.option("compression", "none").parquet(f"{path}/blocks")
+    # hash and number keep rows of one id, or equal ones, from having to share a partition
+    order = ["doc_id", "h", "row"]
+    placed = source.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    blocks = placed.mapInArrow(encode, _BLOCKS.format(kind=kind.simpleString()))
+    blocks.write.option("compression", "none").option("parquet.block.size", 2 * BLOCK_BYTES).parquet(f"{path}/blocks")
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
@@ -147,15 +155,22 @@ def _frames(block: dict, dictionary: bytes, which: list[int] | None = None) -> I
         yield deserialized(decompress(block["frames"][block["offset"][k] : block["offset"][k + 1]]))
 
 
-def read_documents(spark: SparkSession, path: str, ids: list[int]) -> dict[int, list[int]]:
-    """The token ids of a few documents, decompressing their frames only. For a handful of lookups, not for scans."""
-    dictionary = _dictionary(spark, path)
-    blocks = spark.read.parquet(f"{path}/blocks").where(F.arrays_overlap("doc_id", F.array(*map(F.lit, ids))))
-    out = {}
-    for r in blocks.toLocalIterator():
-        which = [k for k, i in enumerate(r["doc_id"]) if i in ids]
+def read_documents(spark: SparkSession, path: str, ids: list) -> dict[object, list[list[int]]]:
+    """The token ids of the documents with some ids, decompressing their frames only: for each id that is there a list of arrays.
+
+    For a handful of lookups, not for scans: blocks are chosen by their first and last id, and what is found comes to the driver. Null ids
+    can't be looked up.
+    """
+    dictionary, wanted = _dictionary(spark, path), sorted({i for i in ids if i is not None})
+    out: dict[object, list[list[int]]] = {}
+    if not wanted:
+        return out
+    # a block whose first id is null holds other ids behind it
+    within = reduce(or_, ((F.col("first_id").isNull() | (F.col("first_id") <= i)) & (F.col("last_id") >= i) for i in wanted))
+    for r in spark.read.parquet(f"{path}/blocks").where(within).toLocalIterator():
+        which = [k for k, i in enumerate(r["doc_id"]) if i in wanted]
         for k, x in zip(which, _frames(r.asDict(), dictionary, which), strict=True):
-            out[r["doc_id"][k]] = np.frombuffer(x, "<u4").tolist()
+            out.setdefault(r["doc_id"][k], []).append(np.frombuffer(x, "<u4").tolist())
     return out
 
 
