@@ -29,6 +29,8 @@ CAPACITY, END_ID = 1024, 2
 PER_PARTITION = 100_000
 #: Rounds of exchange at most. Each packs what the one before has left in unfilled sequences; it ends earlier where that saves none.
 ROUNDS = 4
+#: Words that a worker remembers: fewer than elsewhere, since the pipeline packs where other stages have been.
+WORDS = 250_000
 #: A sequence is nearly full if no more than one of so many parts is free.
 NEARLY = 64
 
@@ -42,7 +44,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, en
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder.of(vocabulary)
+        coder = WordCoder.of(vocabulary, WORDS)
         for batch in pieces(it, 1, 1 << 20, "coders"):
             source, rows = [], []
             for k, ids in enumerate(coder.encode([t or "" for t in batch.column(1).to_pylist()])):
