@@ -387,7 +387,7 @@ def linked_sets(docs: DataFrame, measured: DataFrame, k: int = SHINGLE, percent:
             central = todo.groupBy("list").agg(F.min_by(F.struct("group", "n", "alone", "place"), F.struct(F.col("alone") / F.col("n"), "group")).alias("p"))
             pivot = central.select("list", "p.*").join(groups.select("group", F.col("one").alias("set")), "group").withColumn("root", F.col("set"))
         else:
-            drawn = F.pmod(F.xxhash64("set", F.lit(r)), F.lit(1 << 32)) * F.col("many") < n_pivots * (1 << 32)
+            drawn = F.pmod(F.xxhash64("set", F.lit(r)), F.lit(1 << 32)) / F.lit(float(1 << 32)) * F.col("many") < float(n_pivots)
             pivot = todo.join(state.select("set", "group", "root"), "group").where((F.col("many") <= n_pivots) | drawn)
         p, t = pivot.alias("p"), todo.alias("t")
         apart = (F.col("t.low") != F.col("t.high")) | (F.col("t.low") != F.col("p.root"))
