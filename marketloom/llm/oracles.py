@@ -49,3 +49,56 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN
 """
 
 SQL: dict[str, str] = {"op2_jaccard_join": _JACCARD, "op5_quality_rules": _QUALITY, "op7_decontamination": _DECONTAMINATION}
+
+# 0xEDB88320 is the fixed polynomial of CRC-32
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda ch : ascii(ch)::BIGINT)), lambda a, b : "
+    "list_reduce(list_concat([xor(a, b)], range(8)), lambda x, _ : xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+_TURN = "sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+_TRIE = rf"""
+WITH t AS (SELECT conv_id::BIGINT AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TURN}) AS pos, {_TURN} AS k,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 20 AS s, {_CRC.format("c::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT c FROM t) q),
+r AS (SELECT h.c, t.pos, t.k, t.w FROM h JOIN t ON t.c = h.s AND t.pos <= h.h UNION ALL SELECT h.c, t.pos, t.k, t.w FROM h JOIN t ON t.c = h.c AND t.pos > h.h),
+d AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS d, string_agg(k, '') OVER (PARTITION BY c ORDER BY pos) AS p, w FROM r),
+m AS MATERIALIZED (SELECT c, d, p, w FROM d UNION ALL SELECT c, 0, '', 0 FROM h),
+n AS MATERIALIZED (SELECT d, p, min(c) AS conv_id, count(*) AS n, min(w) AS w FROM m GROUP BY d, p),
+e AS (SELECT p, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, p, d, max(d) OVER (PARTITION BY c) AS last FROM m) q WHERE d = last GROUP BY p),
+k AS (SELECT left(p, 64 * (d::INT - 1)) AS p, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1),
+x AS MATERIALIZED (SELECT n.*, u.conv_id AS up, coalesce(k.kids, 0) AS kids, coalesce(e.ids, '') AS ids FROM n LEFT JOIN k ON k.p = n.p LEFT JOIN e ON e.p = n.p LEFT JOIN n u ON n.d > 0 AND u.p = left(n.p, 64 * (n.d::INT - 1))),
+b AS (SELECT p, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END)::BIGINT AS leaves, sum((n - 1) * w)::BIGINT AS saved FROM (SELECT n, w, kids, left(p, 64 * unnest(range(0, d::INT + 1))::INT) AS p FROM x) q GROUP BY p)
+SELECT x.conv_id, x.d::BIGINT AS depth, x.up AS parent_conv_id, x.n AS n_convs, x.kids AS n_children, b.leaves AS n_leaves, b.saved AS saved_tokens, sha256(x.ids) AS ends_sha256 FROM x JOIN b ON b.p = x.p
+"""
+SQL["op11_prefix_trie"] = _TRIE
+
+
+def _codes() -> str:
+    """Product codes: two rounds of all distances, then the last codes."""
+    near = (
+        "SELECT v.row, v.m, min({d} * 64 + c.j) AS b FROM y v JOIN c{r} c ON c.m = v.m GROUP BY v.row, v.m"
+    ).replace("{d}", "list_sum(list_transform(range(1, len(v.y) + 1), lambda i : (v.y[i] - c.y[i]) * (v.y[i] - c.y[i])))::BIGINT")
+    floor = "(s - ((s % n) + n) % n) // n"
+    mean = (
+        "SELECT c.m, c.j, coalesce(list(t.e ORDER BY t.i), any_value(c.y)) AS y FROM c{r} c LEFT JOIN "
+        f"(SELECT m, j, i, CAST({floor} AS BIGINT) AS e FROM (SELECT m, j, i, sum(e)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT v.m, a.b % 64 AS j, unnest(range(1, len(v.y) + 1)) AS i, unnest(v.y) AS e FROM y v JOIN a{{r}} a ON a.row = v.row AND a.m = v.m) q GROUP BY m, j, i) w) t "
+        "ON t.m = c.m AND t.j = c.j GROUP BY c.m, c.j"
+    )
+    mean = mean.replace("coalesce(list(t.e ORDER BY t.i), any_value(c.y))", "CASE WHEN count(t.e) > 0 THEN list(t.e ORDER BY t.i) ELSE any_value(c.y) END")
+    tables = {
+        "v": "SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x : floor(x::DOUBLE * 256)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0",
+        "y": "SELECT row, m, x[m * (len(x) // 16) + 1 : (m + 1) * (len(x) // 16)] AS y FROM (SELECT row, x, unnest(range(16)) AS m FROM v) q",
+        "f": "SELECT row, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM v QUALIFY j < 64",
+        "c0": "SELECT y.m, f.j, y.y FROM f JOIN y ON y.row = f.row",
+    }
+    for r in range(3):
+        tables[f"a{r}"] = near.replace("{r}", str(r))
+        if r < 2:
+            tables[f"c{r + 1}"] = mean.replace("{r}", str(r))
+    tables["h"] = "SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY m, j)) AS sha FROM c2"
+    tables["r"] = "SELECT v.vec_id, v.label, string_agg(printf('%02x', (a.b % 64)::INT), '' ORDER BY a.m) AS code, sum(a.b // 64)::BIGINT AS error FROM v JOIN a2 a ON a.row = v.row GROUP BY v.row, v.vec_id, v.label"
+    named = ", ".join(f"{k} AS MATERIALIZED ({t})" for k, t in tables.items())
+    return f"WITH {named} SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256 FROM r, h"
+
+
+SQL["op12_vector_codes"] = _codes()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, jaccard, language, oracles, packing, quality, sharding, token_count, token_store, toxicity
+from . import decontamination, first_fit, html_text, jaccard, language, oracles, packing, prefix_trie, quality, sharding, token_count, token_store, toxicity, vector_codes
 from .shipping import ship
 
 
@@ -69,7 +69,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(_table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_packing, op4_token_counts, op5_quality_rules, op6_token_store, op7_decontamination, op8_toxicity, op9_html_text, op10_language_id)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_fit.pack(first_fit.cut_documents(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_packing, op4_token_counts, op5_quality_rules, op6_token_store, op7_decontamination, op8_toxicity, op9_html_text, op10_language_id, op11_prefix_trie, op12_vector_codes, op13_first_fit)}
 
 #: SQL of the queries that SQL can express.
 ORACLE_SQL = oracles.SQL

@@ -58,6 +58,11 @@ def pre_tokens(word: str) -> list[str]:
     return [word] if word.isascii() and word.isalpha() else _PATTERN.findall(word)
 
 
+def split_words(text: str) -> list[str]:
+    """The words between the vocabulary's own white space."""
+    return _UNSPLIT.findall(text) if _SEPARATORS.search(text) else text.split()
+
+
 def _planes(a: np.ndarray) -> bytes:
     """The numbers' bytes by significance, so that the many zeros stand together."""
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
@@ -70,7 +75,7 @@ def _numbers(b: bytes, kind: str) -> np.ndarray:
 
 def _frequencies(texts: list[str], buckets: int) -> tuple[dict[int, list[str]], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pre-tokens by bucket; per document the number of its distinct ones, their codes (as steps), how often each occurs."""
-    split = [_UNSPLIT.findall(t) if _SEPARATORS.search(t) else t.split() for t in texts]
+    split = list(map(split_words, texts))
     lengths = np.fromiter(map(len, split), np.int64, len(split))
     code, distinct = pd.factorize(np.array(list(chain.from_iterable(split)), object))
     parts = [pre_tokens(w) for w in distinct]
