@@ -3,7 +3,8 @@
 Every element subtree is hashed (tag, text and the hashes of its children). Spark counts, per host, on how many distinct pages each subtree
 occurs; subtrees that recur on many pages and on a share of their host are its template and are deleted. Pages with the same article are one
 page, whatever stands around it. What the counts can't tell, as on hosts of a few pages or where menus and adverts have other words on each
-page, is left to what the markup says: elements named or classed as such go, and where a page marks its article, only that stays.
+page, is left to what the markup says of what the templates leave: elements named or classed as such go, and where the elements that a page marks as its
+article hold most of what is left, only those stay. A page is parsed in time in proportion to its length, whatever its markup.
 
 How it scales: a row per distinct page and subtree is dealt by both, and what is added up per subtree is added up before the shuffle, so a
 host with a third of all pages is no hot group; its size meets its subtrees in ``SALTS`` parts. The recurring subtrees go to the tasks as
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +35,15 @@ SALTS = 32
 BROADCAST_ENTRIES = 1_000_000
 
 #: Content that is never text.
-RAW = {"script", "style", "template", "noscript", "iframe", "object", "svg", "canvas", "math", "select", "textarea", "title"}
+RAW = {"script", "style", "template", "noscript", "iframe", "object", "svg", "canvas", "select", "textarea", "title"}
 #: Elements without an end tag.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that hold parts of a page other than its article.
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head", *RAW}
 #: The same by a whole token of class, id or role, alone or with words that say where it is.
-NAMED = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+NAMED = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Words that such a name is joined with: what holds many of the kind, or where it stands.
+HOLDERS = {"area", "bar", "block", "box", "buttons", "container", "content", "form", "group", "holder", "icons", "inner", "item", "items", "link", "links", "list", "posts", "row", "section", "stories", "thread", "wrap", "wrapper"}
 PLACES = {"site", "page", "main", "top", "bottom", "left", "right", "primary", "secondary", "global"}
 #: Elements that names never mark.
 UNNAMED = {"html", "body", "main", "article"}
@@ -60,54 +64,93 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: A tag whose quotes are closed; without an end, it isn't one.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: The same where quotes stand for nothing.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+#: What closed quotes could not be found for up to the end of the page so often is read without quotes from there on.
+UNQUOTED = 8
+_MARKUP = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: All words that may make up a name.
+_WORDS = NAMED | PLACES | HOLDERS
+#: Elements that an inline end tag doesn't reach over.
+WALLS = {"article", "main", "body", "td", "table"}
 _JOINTS = re.compile(r"[-_]+")
 _SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("tag", "aside", "named", "article", "parent", "parts", "size", "shown", "hash", "children")
+    __slots__ = ("tag", "aside", "named", "article", "gone", "parent", "parts", "size", "own", "spoken", "shown", "hash", "children")
 
     def __init__(self, tag: str, named: bool, parent: _Element | None = None) -> None:
         self.tag, self.named, self.parent = tag, named, parent
-        self.aside, self.article = tag in ASIDE, tag in ("article", "main")
+        self.aside, self.article, self.gone = tag in ASIDE, tag in ("article", "main"), False
         self.parts: list = []  # hashes of text and children, in order
         self.children: list = []  # elements and texts, in order
-        self.size, self.hash = 0, 0
-        self.shown = 0  # the size without what is aside by its tag
+        self.size, self.own, self.hash = 0, 0, 0
+        self.spoken = False  # whether it has text of its own
+        self.shown = 0  # the size without what is aside or gone
 
 
 def _is_named(attributes: str) -> bool:
     """Whether a token of class, id or role names a part of a page other than its article."""
     for token in (t for n in _NAME.findall(attributes) for t in "".join(n).lower().split()):
         words = [w for w in _JOINTS.split(token) if w]
-        if token in NAMED or (words and words[-1] in NAMED and NAMED.union(PLACES).issuperset(words)):
+        if token in NAMED or (not NAMED.isdisjoint(words) and _WORDS.issuperset(words)):
             return True
     return False
 
 
+def _measure(root: _Element) -> None:
+    """The sizes of all elements without what is aside or gone."""
+    for e in reversed(list(_walk(root))):
+        e.shown = e.own + sum(c.shown for c in e.children if isinstance(c, _Element) and not c.aside and not c.gone)
+
+
 def _article(root: _Element) -> _Element | None:
-    """The page's largest marked article."""
-    return max((e for e in _reached(root) if e.article), key=lambda e: e.shown, default=None)
+    """The page's largest marked article that isn't empty."""
+    return max((e for e in _reached(root) if e.article and e.shown), key=lambda e: e.shown, default=None)
 
 
 def _set_aside(root: _Element) -> None:
-    """Names mark what they stand on as aside, unless it holds the page's largest article or most of its text."""
+    """Names mark what they stand on as aside, unless it holds the page's largest marked article, or most of the text of a page that marks none.
+
+    Sizes are then without what is marked.
+    """
+    _measure(root)
     kept = {id(root)}
     best = _article(root)
+    marked = best is not None
     while best is not None:
         kept.add(id(best))
         best = best.parent
     for e in _walk(root):
-        if e.named and e.tag not in UNNAMED and id(e) not in kept and 2 * e.shown <= root.shown:
+        if e.named and e.tag not in UNNAMED and id(e) not in kept and (marked or 2 * e.shown <= root.shown):
             e.aside = True
+    _measure(root)
+
+
+def _marked(root: _Element) -> bool:
+    """Whether the page's marked articles hold most of its text that is neither aside nor gone."""
+    held, todo = 0, [root]
+    while todo:
+        e = todo.pop()
+        if e.article:
+            held += e.shown
+        else:
+            todo += [c for c in e.children if isinstance(c, _Element) and not c.aside and not c.gone]
+    return 2 * held > root.shown
 
 
 def _parsed(page: str) -> _Element:
     """The element tree; tags that don't match are repaired as browsers do in the common cases."""
     root = _Element("", False)
-    stack, at = [root], 0
+    stack, at, unquoted = [root], 0, 0
+    # where in the stack the open elements of each name are, those that are blocks, and those that no inline end tag reaches over
+    opened: dict[str, list[int]] = {}
+    blocks: list[int] = []
+    walls: list[int] = []
 
     def text(s: str) -> None:
         if s:
@@ -116,7 +159,8 @@ def _parsed(page: str) -> _Element:
             top.parts.append(xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")))
             size = len(s) - s.count(" ")
             top.size += size
-            top.shown += size
+            top.own += size
+            top.spoken = top.spoken or not s.isspace()
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -124,51 +168,64 @@ def _parsed(page: str) -> _Element:
             e.hash = xxhash.xxh3_64_intdigest(e.tag.encode() + np.array(e.parts, np.uint64).tobytes())
             stack[-1].parts.append(e.hash)
             stack[-1].size += e.size
-            stack[-1].shown += 0 if e.aside else e.shown
-
-    while m := _TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        end, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+            opened[e.tag].pop()
+            for places in (blocks, walls):
+                if places and places[-1] == len(stack):
+                    places.pop()
+
+    begin = 0  # of the text that no markup has ended yet
+    while m := _MARKUP.search(page, at):
+        if m[0][1] in "!?":
+            closing = "-->" if page.startswith("<!--", m.start()) else ">"
+            end = page.find(closing, m.start() + 4 if closing == "-->" else m.start())
+            text(page[begin : m.start()])
+            begin = at = len(page) if end < 0 else end + len(closing)
+            continue
+        own = _TAG.match(page, m.start()) if unquoted < UNQUOTED else None
+        if own is None:
+            if page.find(">", m.start()) < 0:  # the page is cut off within a tag
+                text(page[begin : m.start()])
+                begin = len(page)
+                break
+            unquoted += 1
+            own = _PLAIN_TAG.match(page, m.start())
+        if own is None:
+            at = m.end()
             continue
-        tag = tag.lower()
+        text(page[begin : own.start()])
+        begin = at = own.end()
+        end, tag, rest = own[1], own[2].lower(), own[3]
         if end:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(depth)
-                    break
-                if stack[depth].tag in ("article", "main", "body", "td", "table") and tag not in BLOCK:
-                    break  # an inline end tag closes nothing beyond its block
+            # an inline end tag closes nothing beyond its block
+            if opened.get(tag) and (tag in BLOCK or not walls or walls[-1] <= opened[tag][-1]):
+                close(opened[tag][-1])
             continue
-        if tag in BLOCK:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    close(depth)
-                    break
-                if stack[depth].tag in BLOCK:
-                    break
+        if tag in BLOCK and opened.get("p") and blocks[-1] == opened["p"][-1]:
+            close(blocks[-1])
         if tag in CLOSES:
-            own, limit = CLOSES[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in limit:
-                    break
-                if stack[depth].tag in own:
-                    close(depth)
+            closed, limits = CLOSES[tag]
+            limit = max((opened[t][-1] for t in limits if opened.get(t)), default=0)
+            above = [x[bisect_right(x, limit)] for x in (opened.get(t) or [] for t in closed) if x and x[-1] > limit]
+            if above:
+                close(min(above))
         if tag in VOID:
             stack[-1].children.append(_Element(tag, False))
             continue
         e = _Element(tag, bool(rest) and _is_named(rest), stack[-1])
         stack[-1].children.append(e)
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            blocks.append(len(stack))
+        if tag in WALLS:
+            walls.append(len(stack))
         stack.append(e)
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             text(page[at : stop.start() if stop else len(page)])
-            at = stop.end() if stop else len(page)
+            begin = at = stop.end() if stop else len(page)
             close(len(stack) - 1)
-    text(page[at:])
+    text(page[begin:])
     close(1)
-    _set_aside(root)
     return root
 
 
@@ -181,12 +238,12 @@ def _walk(root: _Element) -> Iterator[_Element]:
 
 
 def _reached(root: _Element) -> Iterator[_Element]:
-    """The elements that are not within what is aside."""
+    """The elements that are within nothing aside or gone."""
     todo = [root]
     while todo:
         e = todo.pop()
         yield e
-        todo += [c for c in e.children if isinstance(c, _Element) and not c.aside]
+        todo += [c for c in e.children if isinstance(c, _Element) and not c.aside and not c.gone]
 
 
 def _deletable(e: _Element, total: int) -> bool:
@@ -196,8 +253,7 @@ def _deletable(e: _Element, total: int) -> bool:
 
 def _in_line(e: _Element) -> bool:
     """Whether the element that holds this one is of prose or has text of its own."""
-    held = e.parent
-    return held.tag in PROSE - FRAME or any(isinstance(c, str) and not c.isspace() for c in held.children)
+    return e.parent.tag in PROSE - FRAME or e.parent.spoken
 
 
 def _key(host: str, subtree: int) -> int:
@@ -219,7 +275,10 @@ def subtrees(host: str, root: _Element) -> dict[int, bool]:
 def text_of(url: str | None, page: str, template) -> str:
     """The main text of a page; ``template(key)`` says whether a subtree recurs on its host."""
     root, host = _parsed(page), host_of(url)
-    marked = any(e.article for e in _reached(root))
+    for e in _walk(root):
+        e.gone = _deletable(e, root.size) and template(_key(host, e.hash))
+    _set_aside(root)
+    marked = _marked(root)
     blocks: list[list[str]] = [[]]
     # (node, inside the article); None ends a block
     todo: list = [(root, not marked)]
@@ -232,7 +291,7 @@ def text_of(url: str | None, page: str, template) -> str:
                 blocks[-1].append(node)
         elif node.tag == "br":
             blocks[-1].append(" ")
-        elif not node.aside and not (_deletable(node, root.size) and template(_key(host, node.hash))):
+        elif not node.aside and not node.gone:
             inside = inside or node.article
             edge = [(None, False)] if node.tag in BLOCK else []
             todo += [*edge, *((c, inside) for c in reversed(node.children)), *edge]
@@ -248,8 +307,9 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pages = set(zip(map(host_of, batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True))
         for host, h in pages:
             root = _parsed(h or "")
+            _set_aside(root)
             best = _article(root)
-            page = best.hash - (1 << 63) if best else xxhash.xxh3_64_intdigest((h or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+            page = best.hash - (1 << 63) if best and 2 * best.shown > root.shown else xxhash.xxh3_64_intdigest((h or "").encode("utf-8", "surrogatepass")) - (1 << 63)
             keys = {None: None, **subtrees(host, root)}
             for name, values in zip(columns, ([_key(host, 0)] * len(keys), [page] * len(keys), keys.keys(), keys.values()), strict=True):
                 columns[name] += values
@@ -281,8 +341,8 @@ def extract(pages: DataFrame, recurs: int = RECURS, entries: int = BROADCAST_ENT
     """Per page: page_id, url, text, n_chars.
 
     Null and empty pages have an empty text. Pages without a URL share one nameless host. Repeated rows, and pages with equal articles, are kept
-    but count as one page of their host; null ids are kept. A page that is cut off ends where it is cut. An empty table gives no rows. Other columns are
-    ignored.
+    but count as one page of their host; null ids are kept. A page that is cut off ends where it is cut. A marked article that is empty, or
+    holds less than half of the text, decides nothing. An empty table gives no rows. Other columns are ignored.
     """
     from .scratch import written
 

@@ -619,3 +619,47 @@ def test_decontamination_items_of_any_type_and_number(spark, odd, odd_rows, bloc
     assert found[80]["items_sha256"] == decontamination.digest([i for i, _ in items[:3000]])
     stays = decontamination.drop_contaminated(odd, bench, block=block)
     assert Counter(r["doc_id"] for r in stays.collect()) == Counter(i for i, _ in odd_rows) - Counter([80])
+
+
+def text_without_templates(page):
+    return html_text.text_of("http://a.example/b", page, lambda key: False)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body><div class="content">long story</div><main></main></body>', "long story"),
+        ('<div>a long story stands here</div><div class="rel"><article><h3>Teaser</h3><p>short</p></article></div>', "a long story stands here\nTeaser\nshort"),
+        *((f"<article><p>The story.</p></article><div {c}><p>a much longer thing that isn't it, by far</p></div>", "The story.") for c in ('class="comment-list"', 'class="x commentlist"', 'id="respond"', "class=related-posts", "class='share-buttons'", 'class="ad"')),
+        *((f"<div>The story, told at length.</div><div {c}>not it</div>", "The story, told at length.") for c in ('class="comment-list"', 'id="respond"', "class=related-posts", "class='share-buttons'")),
+        ('<div class="has-sidebar widgetry">all of it</div>', "all of it"),
+        ("<article>one</article><p>x</p><article>two</article><main></main>", "one\ntwo"),
+        ("<article><p>x <math><mi>a</mi></math> y</p><select><option>no</select></article>", "x a y"),
+        ('<p>a <a title="x>y">b</a> c</i> d<div>e</b></div>f</p><a href="cut', 'a b c d\ne\nf\n<a href="cut'),
+        ("<ul><li>1<li>2<ul><li>3</ul><li>4</ul><dl><dt>t<dd>d<dt>u</dl><table><tr><td>a<td>b<tr><td>c</table>", "1\n2\n3\n4\nt\nd\nu\na\nb\nc"),
+    ],
+)
+def test_choice_of_the_article(page, text):
+    assert text_without_templates(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" + "<a href=x>l</a>" * 60_000 + "</div>", "</b>" * 250_000, '<a "' * 250_000, '<a ">"' * 150_000, "<i>" * 250_000 + "<hr>" * 10_000, "<div><b><p>" + "<i>" * 100_000 + "</b>" * 100_000,
+        "<ul>" + "<li>x" * 150_000, "<script>" + "</script " * 100_000, "<p>" + "<span>a</span>" * 60_000, "<!--" * 250_000, "<" * 1_000_000, '<p class="' + "ad-" * 300_000 + '">x', "<dl>" + "<dd><b>" * 100_000,
+    ],
+    ids=range(13),
+)
+def test_flat_and_broken_pages_take_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    text_without_templates(page)
+    assert time.process_time() - began < 30
+
+
+def test_pages_with_an_empty_main_are_pages_of_their_own(spark):
+    rows = [(i, f"http://empty.example/{i}", f"<body><div><span>Menu of the site</span></div><div>page {i} says {i} things of its own</div><main></main></body>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["text"] for r in html_text.extract(pages).collect()} == {f"page {i} says {i} things of its own" for i in range(12)}
