@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm import decontamination, jaccard, packing, quality, toxicity
 from marketloom.llm.queries import vocabulary_path
-from marketloom.llm.scratch import written
+from marketloom.llm.scratch import discard, written
 from marketloom.llm.shipping import ship
 
 #: Up to so many ids of documents that go are sent to all tasks (40 MB at most); beyond, they are joined by a shuffle.
@@ -28,7 +28,11 @@ def _whole_rows(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model predicts as toxic go. Without labels none go. Null texts stay."""
+    """Documents that the toxicity model predicts as toxic go. Without labels none go.
+
+    Null and empty texts have a score too and stay unless the model says otherwise. Each of repeated rows, and rows without an id, is judged
+    by its text. An empty table gives an empty one. Columns of any name are carried along unchanged.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = toxicity.held_out()
@@ -37,15 +41,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule of policy v1 go; null and empty texts are among them."""
+    """Documents that fail a rule of policy v1 go; null and empty texts are among them.
+
+    Each of repeated rows, and rows without an id, is judged by its text. An empty table gives an empty one. Columns of any name are
+    carried along unchanged.
+    """
     return quality.apply_policy(quality.ledger(_whole_rows(docs)), "v1").where("kept").select("doc_id.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates one row stays, that with the smallest id; one without an id only where none has one.
 
-    A row is named by its id and its text, so rows that share an id but not their text are documents of their own, with or without an id.
-    Rows without words are near duplicates of nothing and all stay.
+    A row is named by its id and its text, so rows that share an id but not their text are documents of their own, with or without an id. Of
+    repeated rows one stays. Rows without words, null and empty texts among them, are near duplicates of nothing and all stay. An empty
+    table gives an empty one. Columns of any name are carried along unchanged.
     """
     ship(spark)
     # sorted by id, null ids last; rows of one key are copies of each other
@@ -54,24 +63,34 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("key")).distinct()
     repeated = found.where("doc_id = component_id AND n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
     gone, repeated = (written(keys, "keys") for keys in (gone, repeated))
+    discard(found)
     sent = lambda keys: F.broadcast(keys) if keys.count() <= SENT_IDS else keys
-    stays = docs.withColumn("key", key).join(sent(gone), "key", "left_anti")
+    # the row is one value, so that no column of its own is named as a key
+    stays = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row")).join(sent(gone), "key", "left_anti")
     if not repeated.take(1):
-        return stays.select(docs.columns)
+        return stays.select("row.*")
     repeated = sent(repeated)
     once = stays.join(repeated, "key", "left_semi").dropDuplicates(["key"])
-    return stays.join(repeated, "key", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    return stays.join(repeated, "key", "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
+    """Documents in which a window of a benchmark item occurs go. Without items none go.
+
+    Null and empty texts have no words and stay. Each of repeated rows, and rows without an id, is judged by its text. An empty table gives
+    an empty one. Columns of any name are carried along unchanged.
+    """
     ship(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.drop_contaminated(docs, benchmark)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document is cut and packed into sequences of 1,024 tokens: a row for each piece."""
+    """Every document is cut and packed into sequences of 1,024 tokens: a row for each piece.
+
+    A null or empty text is its end id alone. Repeated rows and rows without an id are packed like any others. An empty table gives no
+    rows. Of other columns none is read.
+    """
     ship(spark)
     return packing.pack(packing.cut_documents(docs, vocabulary_path("byte_bpe_50k.json")))
 
@@ -88,6 +107,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
