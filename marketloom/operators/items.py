@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,10 +87,60 @@ def weighted_baskets(baskets: DataFrame) -> DataFrame:
 
 def basket_profile(baskets: DataFrame, nodes: bool = True) -> DataFrame:
     """One row: t baskets, largest item id n, depth (longest basket and 1) and, if asked, nodes (distinct prefixes of the rank-ordered
-    baskets and 1), for which every prefix is shuffled once."""
+    baskets and 1)."""
     basic = baskets.agg(F.count("*").alias("t"), F.max(F.array_max("items")).alias("n"), (F.coalesce(F.max(F.size("items")), F.lit(0)) + 1).alias("depth"))
     if not nodes:
         return basic
     ordered = weighted_baskets(rank_sort_baskets(baskets, item_ranks(item_counts(baskets)))).select("items")
-    prefixes = ordered.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("items")), lambda i: F.slice("items", 1, i))).alias("prefix")).distinct()
-    return basic.join(F.broadcast(prefixes.agg((F.count("*") + 1).alias("nodes"))))  # a row on either side
+    return basic.join(F.broadcast(prefix_nodes(ordered)))  # a row on either side
+
+
+def prefix_nodes(lists: DataFrame) -> DataFrame:
+    """One row, ``nodes``: the distinct prefixes of the lists ``items``, the empty one included.
+
+    Among sorted lists each has as many new prefixes as it is longer than what it shares with the one before. The lists are dealt by range, each
+    part counts its own, and only its first and last list meet those of its neighbours.
+    """
+    lists = lists.where(F.size("items") > 0)
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        new = 0
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            items = batch.column(0)
+            new += int(np.diff(items.offsets.to_numpy()).sum()) - int(shared_items(items).sum())
+            begin = items[0].as_py()
+            if first is None:
+                first = begin
+            else:
+                new -= next((k for k, (a, b) in enumerate(zip(last, begin, strict=False)) if a != b), min(len(last), len(begin)))
+            last = items[len(items) - 1].as_py()
+        if first is not None:
+            columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first], pa.list_(pa.int32())), pa.array([last], pa.list_(pa.int32())), pa.array([new])]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "first", "last", "new"])
+
+    parts = lists.repartitionByRange("items").sortWithinPartitions("items").mapInArrow(count, "part int, first array<int>, last array<int>, new bigint")
+    # a row for each part
+    before = F.coalesce(F.lag("last").over(Window.orderBy("part")), F.array().cast("array<int>"))
+    differs = F.array_position(F.zip_with("before", "first", lambda a, b: a.eqNullSafe(b)), False)
+    shared = F.when(differs == 0, F.size("first")).otherwise(differs - 1)
+    return parts.withColumn("before", before).agg((F.coalesce(F.sum(F.col("new") - shared), F.lit(0)) + 1).alias("nodes"))
+
+
+def shared_items(lists: pa.ListArray) -> np.ndarray:
+    """How many items each list begins with like the one before it; 0 for the first."""
+    offsets, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+    length = np.diff(offsets)
+    out = np.zeros(len(length), np.int64)
+    both = np.minimum(length[1:], length[:-1])
+    some = np.flatnonzero(both)
+    if not len(some):
+        return out
+    width = both[some]
+    start = np.cumsum(width) - width
+    step = np.arange(width.sum()) - np.repeat(start, width)
+    equal = values[np.repeat(offsets[some], width) + step] == values[np.repeat(offsets[some + 1], width) + step]
+    out[some + 1] = np.minimum.reduceat(np.where(equal, np.repeat(width, width), step), start)
+    return out

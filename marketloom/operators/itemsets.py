@@ -10,25 +10,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import canonical, subsets
+from marketloom.operators.vertical import enumerate_vertical
 
 #: With more subsets per distinct basket than this on average, counting by bitmaps is less work than emitting them.
 DENSE = 400
 #: Sets that a task holds with their counts before it passes them on, and sets or items that are sent to all tasks at most.
 HELD, SENT = 1 << 20, 10_000
+#: Prefixes of a trie of sets that is sent to all tasks at most: up to 50 MB.
+NODES = 500_000
+#: Words of a filter of seen sets for each key, and rows of all filters that are sent to all tasks at most.
+WORDS, FILTERS = 1 << 16, 1_000_000
 
 
 def enumerate_itemsets(weighted: DataFrame, items: list[int], lmax: int, strategy: str = "auto") -> DataFrame:
     """(itemset, support) of every set of 2 to ``lmax`` of the items that some basket holds.
 
-    ``explode`` emits each basket's subsets and adds them up; ``bitmap`` counts all sets of the items per task, for dense baskets;
-    ``auto`` decides by the number of subsets that the baskets would emit.
+    ``explode`` emits each basket's subsets and adds them up; ``bitmap`` counts all sets of the items per task, for dense baskets of few items;
+    ``vertical`` counts by bitmaps of blocks of baskets, a task for each class of sets; ``auto`` decides by the number of subsets that the baskets
+    would emit.
     """
     if strategy == "auto":
         size = F.size("items")
         emitted = sum((F.when(size >= k, F.factorial(size.cast("int")) / F.factorial(F.lit(k)) / F.factorial(F.greatest(size - k, F.lit(0)))).otherwise(0.0) for k in range(2, lmax + 1)), F.lit(0.0))
         mean = weighted.where(size <= 20).agg(F.avg(emitted)).first()[0] or 0.0
         wide = weighted.where(size > 20).limit(1).count()
-        strategy = "bitmap" if (mean > DENSE or wide) and len(items) <= 63 else "explode"
+        strategy = ("bitmap" if len(items) <= 63 else "vertical") if mean > DENSE or wide else "explode"
+    if strategy == "vertical":
+        return enumerate_vertical(weighted, items, lmax)
     return _by_bitmap(weighted, items, lmax) if strategy == "bitmap" else _by_explode(weighted, lmax)
 
 
@@ -86,35 +94,55 @@ def _by_bitmap(weighted: DataFrame, items: list[int], lmax: int) -> DataFrame:
 
 
 def itemset_support(weighted: DataFrame, itemsets: DataFrame, counts: DataFrame) -> DataFrame:
-    """(itemset, support) of given sets, 0 for those in no basket.
-
-    A set meets only the baskets that hold its rarest item, and is then checked in full. Few sets are sent to the baskets; otherwise both meet
-    by item.
-    """
+    """(itemset, support) of given sets, 0 for those in no basket."""
     sets = itemsets.select(canonical("itemset").alias("itemset")).distinct()
-    each = sets.select("itemset", F.explode("itemset").alias("item")).join(counts.select("item", "cnt"), "item", "left")
-    rarest = each.groupBy("itemset").agg(F.min_by("item", F.struct(F.coalesce("cnt", F.lit(0)), "item")).alias("item"))
-    met, rarest = _by_key(weighted, rarest, "item")
-    found = met.join(rarest, "item").where(contains_all(F.col("items"), F.col("itemset"))).groupBy("itemset").agg(F.sum("w").alias("support"))
+    found = contained(weighted, sets, counts).groupBy("itemset").agg(F.sum("w").alias("support"))
     return sets.join(found, "itemset", "left").select("itemset", F.coalesce("support", F.lit(0)).cast("bigint").alias("support"))
 
 
-def _by_key(weighted: DataFrame, rarest: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(items, w, key) of the baskets for every key item that they hold, and the keyed sets as the other side of a join."""
-    few = [r[0] for r in rarest.select(key).limit(SENT + 1).collect()]
-    if len(few) > SENT:
-        return weighted.select("items", "w", F.explode("items").alias(key)), rarest
-    keys = F.array(*map(F.lit, sorted(set(few)))).cast("array<int>")
-    return weighted.select("items", "w", F.explode(F.array_intersect("items", keys)).alias(key)), F.broadcast(rarest)
+def contained(weighted: DataFrame, sets: DataFrame, counts: DataFrame, few: int | None = None, nodes: int | None = None) -> DataFrame:
+    """(items, w, itemset) of every basket and each of the distinct canonical sets that it holds.
+
+    Up to ``few`` sets are sent to the baskets and meet those that hold their rarest item. More become a trie, which baskets walk down level
+    by level; it is sent as well, in blocks of about ``nodes`` prefixes with a pass over the baskets each. So baskets never move, and an
+    item that is in all of them is no hot key.
+    """
+    few, nodes = SENT if few is None else few, NODES if nodes is None else nodes
+    each = sets.select("itemset", F.explode("itemset").alias("item")).join(counts.select("item", "cnt"), "item", "left")
+    rarest = each.groupBy("itemset").agg(F.min_by("item", F.struct(F.coalesce("cnt", F.lit(0)), "item")).alias("item"))
+    keyed = [r[0] for r in rarest.select("item").limit(few + 1).collect()]
+    if len(keyed) <= few:
+        keys = F.array(*map(F.lit, sorted(set(keyed)))).cast("array<int>")
+        met = weighted.select("items", "w", F.explode(F.array_intersect("items", keys)).alias("item"))
+        return met.join(F.broadcast(rarest), "item").where(contains_all(F.col("items"), F.col("itemset"))).select("items", "w", "itemset")
+    longest, total = sets.agg(F.max(F.size("itemset")), F.sum(F.size("itemset"))).first()
+    blocks = -(-total // nodes)
+    found = None
+    for k in range(blocks):
+        own = sets if blocks == 1 else sets.where(F.pmod(F.xxhash64("itemset"), F.lit(blocks)) == k)
+        for level in _walk(weighted, own, longest):
+            found = level if found is None else found.unionByName(level)
+    return found
+
+
+def _walk(weighted: DataFrame, sets: DataFrame, longest: int) -> list[DataFrame]:
+    """(items, w, itemset) by size of the set: baskets at the nodes of the sets' trie, each with the items that may follow."""
+    at = weighted.select("items", "w", F.array().cast("array<int>").alias("prefix"), F.array_sort("items").alias("rest"))
+    out = []
+    for size in range(1, longest + 1):
+        reach = sets.where(F.size("itemset") >= size)
+        steps = reach.groupBy(F.slice("itemset", 1, size - 1).alias("prefix"), F.get("itemset", F.lit(size - 1)).alias("item")).agg(F.max(F.size("itemset") == size).alias("ends"))
+        met = at.select("items", "w", "prefix", "rest", F.posexplode("rest").alias("i", "item")).join(F.broadcast(steps), ["prefix", "item"])
+        at = met.select("items", "w", F.concat("prefix", F.array("item")).alias("prefix"), F.slice("rest", F.col("i") + 2, F.size("rest")).alias("rest"), "ends")
+        out.append(at.where("ends").select("items", "w", F.col("prefix").alias("itemset")))
+        at = at.drop("ends")
+    return out
 
 
 def extension_supports(weighted: DataFrame, prefixes: DataFrame, counts: DataFrame) -> DataFrame:
     """(prefix, item, support) of each canonical prefix with one more item, where some basket holds both. All prefixes in one pass."""
-    sets = prefixes.select(canonical("prefix").alias("prefix")).distinct()
-    each = sets.select("prefix", F.explode("prefix").alias("key")).join(counts.select(F.col("item").alias("key"), "cnt"), "key", "left")
-    rarest = each.groupBy("prefix").agg(F.min_by("key", F.struct(F.coalesce("cnt", F.lit(0)), "key")).alias("key"))
-    met, rarest = _by_key(weighted, rarest, "key")
-    inside = met.join(rarest, "key").where(contains_all(F.col("items"), F.col("prefix")))
+    sets = prefixes.select(canonical("prefix").alias("itemset")).distinct()
+    inside = contained(weighted, sets, counts).withColumnRenamed("itemset", "prefix")
     return inside.select("prefix", "w", F.explode(F.array_except("items", "prefix")).alias("item")).groupBy("prefix", "item").agg(F.sum("w").alias("support"))
 
 
@@ -152,6 +180,30 @@ def expand_leaves(leaves: DataFrame, *keys: str) -> DataFrame:
     return leaves.select(*keys, F.explode(subsets(canonical("itemset"), proper=False, least=2)).alias("itemset")).distinct()
 
 
+def seen_filter(seen: DataFrame, *keys: str) -> DataFrame:
+    """(keys, _word, _bits): a Bloom filter of the sets per key, in words of 64 bits, four of them for each set."""
+    word, mask = _place_in_filter()
+    return seen.select(*keys, word.alias("_word"), mask.alias("_mask")).groupBy(*keys, "_word").agg(F.bit_or("_mask").alias("_bits"))
+
+
+def _place_in_filter() -> tuple[Column, Column]:
+    h = F.xxhash64("itemset")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+    return F.pmod(F.xxhash64("itemset", F.lit(1)), F.lit(WORDS)).cast("int"), bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
+
+
 def unseen(candidates: DataFrame, seen: DataFrame, *keys: str) -> DataFrame:
-    """Candidates whose set has not been generated before."""
-    return candidates.join(seen.select(*keys, "itemset").distinct(), [*keys, "itemset"], "left_anti")
+    """Candidates whose set has not been generated before.
+
+    A filter of the seen sets, sent to the candidates while it is small, tells most of the new ones where they are; only what may have been seen
+    moves to be compared exactly.
+    """
+    seen = seen.select(*keys, "itemset")
+    known = seen_filter(seen, *keys)
+    if known.limit(FILTERS + 1).count() > FILTERS:
+        return candidates.join(seen.distinct(), [*keys, "itemset"], "left_anti")
+    word, mask = _place_in_filter()
+    marked = candidates.withColumns({"_word": word, "_mask": mask}).join(F.broadcast(known), [*keys, "_word"], "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+    new = marked.where(~maybe).select(candidates.columns)
+    return new.unionByName(marked.where(maybe).select(candidates.columns).join(seen.distinct(), [*keys, "itemset"], "left_anti").select(candidates.columns))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from marketloom.functions.scalars import hash_uniform, laplace_mechanism, quality_d, quality_delta, rule_quality, sampling_key, sampling_key_log
 from marketloom.operators.items import item_cell, placed
 
+#: Spark cuts groups to a constant number of rows up to this one before it moves them; beyond, groups are cut in so many parts.
+LIMITED, PARTS = 1000, 64
+
 
 def noisy_items(counts: DataFrame, eps: float, seed: int) -> DataFrame:
     """(item, real_count, noisy_count, pos): counts released with ``eps`` and ranked by what was released. Give zero-filled counts."""
@@ -28,11 +31,30 @@ def top_noisy_items(noisy: DataFrame, ni: int) -> DataFrame:
     return noisy.where(F.col("pos") <= ni)
 
 
-def weighted_sample(df: DataFrame, group: list[str], k: int | Column, weight: str, u: Column, ties: list[str], log_weight: bool = False) -> DataFrame:
-    """Up to ``k`` rows of each group, drawn by weight without replacement: those with the smallest key ``v``, which stays as a column."""
+def smallest(df: DataFrame, group: list[str], k: int | Column, order: list[str | Column], most: int | None = None, name: str = "draw") -> DataFrame:
+    """The first ``k`` rows of each group in that order, numbered from 1 in column ``name``. ``most``: no ``k`` is greater.
+
+    Each task sends no more than ``most`` rows of a group to where the group meets, so one with most of all rows is no hot group. Where
+    ``most`` is unknown or too great for that, parts of the groups are cut to ``k`` rows first.
+    """
+    most = k if isinstance(k, int) else most
+    number = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    limit = F.lit(k) if isinstance(k, int) else k
+    if most is None or most > LIMITED:
+        df = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(PARTS))).withColumn(name, number(*group, "_part")).where(F.col(name) <= limit).drop(name, "_part")
+        return df.withColumn(name, number(*group)).where(F.col(name) <= limit)
+    # a constant bound lets Spark cut each task's rows of a group before they are moved
+    cut = df.withColumn(name, number(*group)).where(F.col(name) <= F.lit(most))
+    return cut if isinstance(k, int) else cut.where(F.col(name) <= limit)
+
+
+def weighted_sample(df: DataFrame, group: list[str], k: int | Column, weight: str, u: Column, ties: list[str], log_weight: bool = False, most: int | None = None) -> DataFrame:
+    """Up to ``k`` rows of each group, drawn by weight without replacement: those with the smallest key ``v``, which stays as a column.
+
+    ``most``: no ``k`` is greater.
+    """
     key = sampling_key_log(u, weight) if log_weight else sampling_key(u, weight)
-    ranked = df.withColumn("v", key).withColumn("draw", F.row_number().over(Window.partitionBy(*group).orderBy("v", *ties)))
-    return ranked.where(F.col("draw") <= k)
+    return smallest(df.withColumn("v", key), group, k, ["v", *ties], most)
 
 
 def extension_quality(candidates: DataFrame, method: str = "sigma", c0: float = 0.5, asymmetric: bool = False) -> DataFrame:

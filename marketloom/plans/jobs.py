@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.parameters import budget
 from marketloom.functions.scalars import canonical, hash_uniform, items_text, laplace_mechanism, quality_d, subsets
-from marketloom.operators import experiments, items, itemsets, rules, sampling
-from marketloom.plans.stored import stored
+from marketloom.operators import experiments, items, itemsets, nested, rules, sampling
+from marketloom.plans.stored import kept, stored, temporary
 from marketloom.sources import text
 
 
@@ -32,6 +32,14 @@ def exact_rules_job(baskets: DataFrame, lmax: int, ni: int, strategy: str = "aut
     return {"supports": supports, "rules": found, "stats": stats}
 
 
+def nested_job(baskets: DataFrame, lmax: int, ni: int) -> DataFrame:
+    """(lmax, ni, n_sets, n_rules, n30, n50, n70) of the exact rules for every lmax from 2 and every ni up to these, from one enumeration."""
+    ranks = items.top_items(items.item_counts(baskets), ni)
+    place = F.row_number().over(Window.orderBy(F.desc("cnt"), "item"))  # of ``ni`` rows
+    found = exact_rules_job(baskets, lmax, ni)["stats"]
+    return nested.nested_totals(nested.cells(found, stored(ranks.withColumn("rank", place), "ranks")), lmax, ni)
+
+
 @dataclass(frozen=True)
 class Run:
     """Parameters of a private run: total budget, share for the item counts, confidence threshold, largest set, items kept, draws per prefix."""
@@ -96,9 +104,10 @@ def private_leaves(weighted: DataFrame, counts: DataFrame, runs: list[Run], qual
     place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("noisy_count"), "item"))
     top = stored(noisy.withColumn("pos", place).where("pos <= ni"), "noisy-items")
     share = lambda level: F.get("shares", F.lit(level))
+    most = max(r.bf for r in runs)
 
     first = F.col("noisy_count") if first_item == "noisy" else share(0) * F.col("cnt") / 2
-    drawn = sampling.weighted_sample(top.withColumn("logw", first), ["run_id"], F.col("bf"), "logw", hash_uniform(F.col("seed"), F.lit(0), F.lit(""), F.col("item")), ["item"], log_weight=True)
+    drawn = sampling.weighted_sample(top.withColumn("logw", first), ["run_id"], F.col("bf"), "logw", hash_uniform(F.col("seed"), F.lit(0), F.lit(""), F.col("item")), ["item"], log_weight=True, most=most)
     level = stored(drawn.select("run_id", F.array("draw").alias("path"), F.array("item").alias("prefix"), F.col("cnt").alias("sup_prefix"), F.array("cnt").alias("cnts")), "level-0")
     leaves = None
     for i in range(1, max(r.lmax for r in runs)):
@@ -111,26 +120,24 @@ def private_leaves(weighted: DataFrame, counts: DataFrame, runs: list[Run], qual
         scored = scored.withColumn("logw", share(i) * F.col("q") / 2).withColumn("last", last)
         u = hash_uniform(F.col("seed"), F.lit(i), items_text("prefix"), F.col("item"))
         keyed = stored(scored.withColumn("v", F.log(F.log(1 / u)) - F.col("logw")).select("run_id", "path", "prefix", "item", "support", "cnt", "cnts", "bf", "last", "v"), "candidates")
-        rank = F.row_number().over(Window.partitionBy("run_id", "path").orderBy("v", "item"))
-        inner = keyed.where("NOT last").withColumn("draw", rank).where("draw <= bf")
+        inner = sampling.smallest(keyed.where("NOT last"), ["run_id", "path"], F.col("bf"), ["v", "item"], most)
         level = stored(inner.select("run_id", F.concat("path", F.array("draw")).alias("path"), F.concat("prefix", F.array("item")).alias("prefix"), F.col("support").alias("sup_prefix"), F.concat("cnts", F.array("cnt")).alias("cnts")), "level")
-        ends = _last_draws(keyed.where("last").withColumn("itemset", canonical(F.concat("prefix", F.array("item")))))
+        ends = _last_draws(keyed.where("last").withColumn("itemset", canonical(F.concat("prefix", F.array("item")))), most)
         leaves = ends if leaves is None else leaves.unionByName(ends)
     return leaves
 
 
-def _last_draws(candidates: DataFrame) -> DataFrame:
+def _last_draws(candidates: DataFrame, most: int) -> DataFrame:
     """Draws of the last level, where no branch takes a set that an earlier one of its run has taken.
 
     Every branch picks; where branches meet in a set the earliest keeps it and the others strike it off and pick again. An earlier
     branch never gives a set back, so a few rounds end where one branch after the other would.
     """
     struck = None
-    rank = F.row_number().over(Window.partitionBy("run_id", "path").orderBy("v", "item"))
     turn = F.row_number().over(Window.partitionBy("run_id", "itemset").orderBy("path"))
     while True:
         left = candidates if struck is None else candidates.join(struck, ["run_id", "path", "itemset"], "left_anti")
-        picked = stored(left.withColumn("draw", rank).where("draw <= bf").withColumn("turn", turn), "picks")
+        picked = stored(sampling.smallest(left, ["run_id", "path"], F.col("bf"), ["v", "item"], most).withColumn("turn", turn), "picks")
         lost = picked.where("turn > 1").select("run_id", "path", "itemset")
         if not lost.take(1):
             return picked.select("run_id", F.concat("path", F.array("draw")).alias("path"), "itemset")
@@ -147,7 +154,8 @@ def private_rules_job(baskets: DataFrame, runs: list[Run], quality: str = "sigma
     """
     counts = stored(items.zero_filled_counts(items.item_counts(baskets)), "counts")
     weighted = stored(items.weighted_baskets(baskets), "weighted")
-    leaves = stored(private_leaves(weighted, counts, runs, quality, first_item, forced_last, reduce, asymmetric), "leaves")
+    with temporary(baskets.sparkSession):
+        leaves = kept(private_leaves(weighted, counts, runs, quality, first_item, forced_last, reduce, asymmetric), "leaves")
     found = stored(itemsets.expand_leaves(leaves, "run_id"), "itemsets")
     every = leaves.select(F.explode(subsets("itemset", proper=False)).alias("itemset")).distinct()
     supports = stored(itemsets.itemset_support(weighted, every, counts), "supports")
@@ -155,14 +163,17 @@ def private_rules_job(baskets: DataFrame, runs: list[Run], quality: str = "sigma
     return {"leaves": leaves, "itemsets": found, "supports": supports, "rules": ruled, "stats": rules.rule_counts(ruled, "run_id"), "histogram": rules.conf_histogram(ruled, "run_id")}
 
 
-def sweep(baskets: DataFrame, db: str, runs: list[Run], exact: dict[tuple[int, int], DataFrame] | None = None) -> DataFrame:
-    """Rows of the run table for all runs, mined as one job. ``exact`` has the exact stats by (lmax, ni), for the real rules and recall."""
+def sweep(baskets: DataFrame, db: str, runs: list[Run], exact: dict[tuple[int, int], DataFrame] | DataFrame | None = None, job: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Rows of the run table for all runs, mined as one ``job``, which may be given. ``exact``, for the real rules and recall: the exact
+    stats by (lmax, ni), or the table of ``nested_job``, which has them all."""
     spark = baskets.sparkSession
-    job = private_rules_job(baskets, runs)
+    job = job or private_rules_job(baskets, runs)
     hist = job["histogram"].groupBy("run_id").agg(F.max(F.when(F.col("bound") == 0, F.col("cum_n"))).alias("rules"), F.max(F.when(F.col("bound") == 0.5, F.col("cum_n"))).alias("rules50"))
     leaves = job["leaves"].groupBy("run_id").agg(F.count("*").alias("leaves"))
     table = spark.createDataFrame([tuple(asdict(r).values()) for r in runs], "run_id int, eps double, epsh double, c0 double, rmax int, nits int, bf int, seed bigint")
     real = None
+    if isinstance(exact, DataFrame):
+        real, exact = exact.select(F.col("lmax").alias("rmax"), F.col("ni").alias("nits"), F.col("n50").alias("realrls")), None
     for (lmax, ni), stats in (exact or {}).items():
         one = stats.agg(F.sum("n50").alias("realrls")).select(F.lit(lmax).alias("rmax"), F.lit(ni).alias("nits"), "realrls")
         real = one if real is None else real.unionByName(one)
@@ -219,13 +230,16 @@ def experiment_report(runs: DataFrame) -> DataFrame:
 
 
 def report_from_logs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of a folder of run logs: runs, averaged, and the two series that are drawn of every configuration: rules by draws (all and
-    those over .5) and precision by budget."""
+    """The tables of a folder of run logs: runs, averaged, the two series that are drawn of every configuration, rules by draws (all and those over
+    .5) and precision by budget, and the averaged final histograms of each experiment. A log that breaks off is in none of the averages."""
     runs = stored(text.read_run_logs(spark, folder), "runs")
     averaged = stored(experiment_report(runs), "averaged")
     by_draws = averaged.select("db", "eps", "c0", "rmax", "ni", F.col("bf").alias("x"), "R", "R50")
     by_budget = averaged.select("db", "c0", "rmax", "ni", "bf", F.col("eps").alias("x"), "precision", "recall")
-    return {"runs": runs, "averaged": averaged, "by_draws": by_draws, "by_budget": by_budget}
+    final = stored(text.final_histograms(text.read_log_lines(spark, folder)), "histograms")
+    saved = final.groupBy("experiment").agg(F.avg("rules_saved").alias("mean_saved"))  # every run has ten rows
+    histograms = experiments.average_histograms(final, ["experiment"], "file", "expected").join(saved, "experiment")
+    return {"runs": runs, "averaged": averaged, "by_draws": by_draws, "by_budget": by_budget, "final": final, "histograms": histograms}
 
 
 def grid_runs(spark: SparkSession, **values: list) -> list[Run]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marketloom.functions.parameters import rule_space
-from marketloom.plans.queries import DEEP, GRID, LMAX, NI, THETA
+from marketloom.plans.queries import BROKEN, DEEP, GRID, LMAX, NI, RANGES, THETA
 
 _U = "((('0x' || substr(md5({0}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
 _LAPLACE = "CASE WHEN 0.5 - {u} < 0 THEN {b} * ln(1 + 2 * (0.5 - {u})) ELSE -({b}) * ln(1 - 2 * (0.5 - {u})) END"
@@ -21,6 +21,8 @@ def _grid(grid: dict = GRID) -> str:
 _TABLES = {
     "b": r"SELECT l_orderkey AS tid, CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS item FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL",
     "cb": r"SELECT o_custkey AS tid, CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS item FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",
+    "cp": "SELECT o_custkey AS tid, l_partkey::INT AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",
+    "cptop": "SELECT item, row_number() OVER (ORDER BY count(*) DESC, item) AS rank FROM cp GROUP BY item",
     "t": "SELECT DISTINCT tid FROM b",
     "c": "SELECT item, count(*) AS cnt FROM b GROUP BY item",
     "ranked": "SELECT item, cnt, row_number() OVER (ORDER BY cnt DESC, item) AS rank FROM c",
@@ -58,7 +60,16 @@ _TABLES = {
     "(SELECT cum_n FROM ph WHERE ph.run_id = u.run_id AND bin = 9) AS rules, (SELECT cum_n FROM ph WHERE ph.run_id = u.run_id AND bin = 4) AS rules50, (SELECT n50 FROM rec) AS realrls FROM runs u",
     "av": "SELECT db, eps, c0, rmax, nits AS ni, bf, avg(rules) AS R, avg(rules50) AS R50, avg(realrls) AS RR FROM sw GROUP BY ALL",
 }
+_TABLES |= {
+    # all brands, each with its rank
+    "rb": "SELECT b.tid, b.item, ranked.rank FROM b JOIN ranked USING (item)",
+    "s25": "SELECT a, array_to_string(a, ' ') AS k, top, sup FROM (SELECT [item] AS a, min(rank) AS top, count(*) AS sup FROM rb GROUP BY item UNION ALL SELECT [x.item, y.item], max(greatest(x.rank, y.rank)), count(*) FROM rb x JOIN rb y ON x.tid = y.tid AND x.item < y.item GROUP BY x.item, y.item "
+    "UNION ALL SELECT [x.item, y.item, z.item], max(greatest(x.rank, y.rank, z.rank)), count(*) FROM rb x JOIN rb y ON x.tid = y.tid AND x.item < y.item JOIN rb z ON z.tid = y.tid AND y.item < z.item GROUP BY x.item, y.item, z.item) q",
+    "r25": f"SELECT p.k, len(p.a) AS size, p.top, p.sup / q.sup AS conf FROM (SELECT a, k, top, sup, array_to_string(sub, ' ') AS part FROM (SELECT a, k, top, sup, unnest({_SUBSETS.format(a='a', less=1)}) AS sub FROM s25) w) p JOIN s25 q ON q.k = p.part",
+    "nested": "SELECT g.l::INT AS lmax, h.n::INT AS ni, count(DISTINCT k) AS n_sets, count(k) AS n_rules, count(*) FILTER (conf > 0.3) AS n30, count(*) FILTER (conf > 0.5) AS n50, count(*) FILTER (conf > 0.7) AS n70 FROM range(2, 4) g(l) CROSS JOIN range(1, 26) h(n) LEFT JOIN r25 ON size <= g.l AND top <= h.n GROUP BY g.l, h.n",
+}
 _USES = {
+    "cptop": "cp", "rb": "b ranked", "s25": "rb", "r25": "s25", "nested": "r25",
     "t": "b", "c": "b", "ranked": "c", "top": "ranked", "tb": "b top", "s": "tb", "parts": "s", "r": "s parts", "stats": "r", "zero": "c", "noisy": "zero", "placed": "noisy", "pt": "s parts",
     "pn": "zero runs", "pk": "pn", "ptop": "pk runs", "l0": "ptop", "s2": "b", "cand": "l0 ptop s2", "b1": "cand", "b2": "cand b1", "leaf": "b1 b2", "pr": "leaf s2 zero", "ps": "pr",
     "ph0": "pr", "ph1": "leaf bins ph0", "ph": "ph1", "rec": "ps stats", "sw": "runs leaf ph rec", "av": "sw",
@@ -66,7 +77,7 @@ _USES = {
 
 
 #: Tables that are read several times.
-_ONCE = {"b", "cb", "c", "tb", "s", "parts", "r", "s2"}
+_ONCE = {"b", "cb", "cp", "cptop", "rb", "s25", "r25", "c", "tb", "s", "parts", "r", "s2"}
 
 
 def _with(names: str, body: str) -> str:
@@ -86,7 +97,7 @@ def _text(a: str, sep: str = " ") -> str:
 _RULE = f"SELECT k AS itemset, {_text('sub')} AS antecedent, {_text('list_filter(a, lambda x : NOT list_contains(sub, x))')} AS consequent, sup_ab, sup_a, round(conf, 6) AS conf FROM r"
 _HIST = "SELECT bin, bound, n, round(CASE WHEN tot = 0 THEN 0 ELSE n / tot END, 6) AS frac, cum_n, round(CASE WHEN tot = 0 THEN 0 ELSE cum_n / tot END, 6) AS cum_frac"
 _FULL = f"(SELECT *, sum(n) OVER (ORDER BY bin) AS cum_n, sum(n) OVER () AS tot FROM (SELECT bins.bin, bins.bound, coalesce(h.n, 0) AS n FROM bins LEFT JOIN (SELECT {_BIN} AS bin, count(*) AS n FROM r WHERE conf <> 0 GROUP BY ALL) h ON h.bin = bins.bin) q) w"
-_POINTS = "SELECT {0} AS itemset, {1} AS antecedent, q.sup AS sup_a, p.sup AS sup_ab, len(p.sub) AS len_a, len(p.a) AS len_ab FROM (SELECT a, k, sup, unnest({2}) AS sub FROM s WHERE {3}) p JOIN s q ON q.k = array_to_string(p.sub, ' ')"
+_POINTS = f"SELECT k AS itemset, {_text('sub')} AS antecedent, sup_a, sup_ab, len(sub) AS len_a, len(a) AS len_ab"
 _LINE = f"{_text('sub')} || ' -> ' || {_text('list_filter(a, lambda x : NOT list_contains(sub, x))')} || ' | c=' || printf('%7.6f', conf)"
 _WIDE = "SELECT u.*, (SELECT cum_n / nullif(tot, 0) FROM ph WHERE ph.run_id = u.run_id AND bin = 0) AS p90, (SELECT cum_n / nullif(tot, 0) FROM ph WHERE ph.run_id = u.run_id AND bin = 2) AS p70, (SELECT cum_n / nullif(tot, 0) FROM ph WHERE ph.run_id = u.run_id AND bin = 4) AS p50 FROM runs u WHERE seed = 1"
 _M = "(SELECT count(*) FROM t)"
@@ -160,7 +171,7 @@ SQL: dict[str, str] = {
     "itemsets_within": _with("s top", f"SELECT {_text('a')} AS itemset, sup AS support FROM s, (SELECT list(item) AS four FROM top WHERE rank <= 4) q WHERE len(list_filter(a, lambda x : NOT list_contains(four, x))) = 0"),
     "supersets_of": _with("s top", f"SELECT {_text('a')} AS itemset, sup AS support FROM s WHERE len(a) = 3 AND list_contains(a, (SELECT item FROM top WHERE rank = 1))"),
     "expanded_leaves": _with("s", f"SELECT DISTINCT {_text('sub')} AS itemset FROM (SELECT unnest({_SUBSETS.format(a='a', less=0)}) AS sub FROM s WHERE len(a) = 3) q WHERE len(sub) >= 2"),
-    "unseen_itemsets": _with("s r", "SELECT k AS itemset FROM s WHERE len(a) = 2 AND NOT EXISTS (SELECT 1 FROM r WHERE r.k = s.k AND conf > 0.2)"),
+    "unseen_itemsets": _with("r", "SELECT k AS itemset FROM r WHERE len(a) = 2 GROUP BY k HAVING max(conf) <= 0.2"),
     "rules": _with("r", _RULE),
     "confident_rules": _with("r", _RULE + " WHERE conf > 0.15"),
     "nonzero_conf": _with("r", "SELECT len(a) AS size, count(*) AS n FROM r WHERE conf <> 0 GROUP BY ALL"),
@@ -168,8 +179,8 @@ SQL: dict[str, str] = {
     "conf_range": _with("r", "SELECT round(coalesce(min(conf), 1), 6) AS min_conf, round(coalesce(max(conf), 0), 6) AS max_conf FROM r"),
     "conf_histogram": _with("r bins", f"{_HIST} FROM {_FULL}"),
     "parsed_histogram": _with("r bins", f"SELECT bound, n, cum_n FROM {_FULL}"),
-    "rule_points": _with("s", _POINTS.format(_text("p.a"), _text("p.sub"), _SUBSETS.format(a="a", less=1), "len(a) >= 2")),
-    "rule_points_improper": _with("s", _POINTS.format(_text("p.a"), _text("p.sub"), _SUBSETS.format(a="a", less=0), "len(a) <= 2")),
+    "rule_points": _with("r", f"{_POINTS} FROM r"),
+    "rule_points_improper": _with("r s", f"{_POINTS} FROM r WHERE len(a) <= 2 UNION ALL SELECT k, k, sup, sup, len(a), len(a) FROM s WHERE len(a) <= 2"),
     "rule_count_of_itemsets": _with("s", "SELECT sum((1 << len(a)) - 2)::BIGINT AS n_rules FROM s"),
     "lattice_check": _with("s", "SELECT *, n_itemsets = power(2, n_items) - 1 AND n_rules = power(3, n_items) - power(2, n_items + 1) + 1 AS complete FROM (SELECT count(*) FILTER (len(a) = 1) AS n_items, count(*) AS n_itemsets, sum((1 << len(a)) - 2)::BIGINT AS n_rules FROM s) q"),
     "rule_lines": _with("r", f"SELECT {_LINE} AS value FROM r"),
@@ -221,5 +232,36 @@ SQL |= {
     "run_table": SQL["run_logs"].replace("'logs/run_' || run_id AS file, ", ""),
     "experiment_report": SQL["average_runs"].replace("'orders.brand' AS db", "'orders' AS db"),
 }
+_RUN_LOGS = f"SELECT * FROM ph JOIN runs USING (run_id) WHERE run_id <> {BROKEN}"
+_AVERAGED = f"(SELECT db, eps, c0, rmax, nits AS ni, bf, avg(rules) AS R, avg(rules50) AS R50, avg(realrls) AS RR FROM sw WHERE run_id <> {BROKEN} GROUP BY ALL) q"
+SQL |= {
+    "replaced_stats": _with("stats", f"SELECT lmax, {_text('a')} AS itemset, support, n30, n50, n70 FROM stats, (VALUES (2), (4)) v(lmax) WHERE lmax = 4 OR len(a) = 2"),
+    "nested_thresholds": _with("nested", "SELECT * FROM nested WHERE ni >= 5"),
+    "nested_recall": _with(
+        "ps nested runs",
+        "SELECT run_id::INT AS run_id, threshold, coalesce(CASE threshold WHEN 0.3 THEN p30 WHEN 0.5 THEN p50 ELSE p70 END, 0) AS private, CASE threshold WHEN 0.3 THEN n30 WHEN 0.5 THEN n50 ELSE n70 END AS real, "
+        "round(CASE WHEN real = 0 THEN CASE WHEN private = 0 THEN 0 ELSE CAST('inf' AS DOUBLE) END ELSE private / real END, 6) AS recall FROM runs JOIN nested USING (lmax, ni) "
+        "LEFT JOIN (SELECT run_id, sum(n30) AS p30, sum(n50) AS p50, sum(n70) AS p70 FROM ps GROUP BY run_id) q USING (run_id) CROSS JOIN (VALUES (0.3), (0.5), (0.7)) v(threshold)",
+    ).replace(_TABLES["runs"], f"SELECT * FROM (VALUES {_grid(RANGES)}) v(run_id, {', '.join(RANGES)})"),
+    "vertical_itemsets": _with(
+        "cptop",
+        "SELECT x.item || ' ' || y.item AS itemset, count(*) AS support FROM v x JOIN v y ON x.tid = y.tid AND x.item < y.item GROUP BY ALL UNION ALL "
+        "SELECT x.item || ' ' || y.item || ' ' || z.item, count(*) FROM v x JOIN v y ON x.tid = y.tid AND x.item < y.item JOIN v z ON z.tid = y.tid AND y.item < z.item GROUP BY ALL",
+    ).replace(") SELECT x.item", "), v AS MATERIALIZED (SELECT tid, item FROM cp JOIN cptop USING (item) WHERE rank <= 200) SELECT x.item", 1),
+    "many_supports": _with(
+        "cptop",
+        "SELECT CASE WHEN p.item = q.item THEN p.item::VARCHAR ELSE p.item || ' ' || q.item END AS itemset, coalesce(n, 0) AS support FROM v p JOIN v q ON p.item <= q.item LEFT JOIN "
+        "(SELECT x.item AS i, y.item AS j, count(*) AS n FROM (SELECT * FROM cp JOIN v USING (item)) x JOIN (SELECT * FROM cp JOIN v USING (item)) y ON x.tid = y.tid AND x.item <= y.item GROUP BY ALL) w ON i = p.item AND j = q.item",
+    ).replace(") SELECT CASE", "), v AS (SELECT item FROM cptop WHERE rank <= 160) SELECT CASE", 1),
+    "unseen_by_run": _with("leaf s runs", "SELECT u.run_id::INT AS run_id, k AS itemset FROM runs u CROSS JOIN s LEFT JOIN leaf l ON l.run_id = u.run_id AND l.i = s.a[1] AND l.j = s.a[2] WHERE len(a) = 2 AND l.i IS NULL"),
+    "log_histograms": _with(
+        "ph runs",
+        f"SELECT eps, bf, bound, runs, mean_saved, mean_total, mean_cum, round(mean_cum / nullif(mean_total, 0), 6) AS of_total, round(mean_cum / bf, 6) AS of_expected FROM (SELECT *, max(mean_cum) OVER (PARTITION BY eps, bf) AS mean_total FROM (SELECT eps, bf, bound, count(*) AS runs, avg(cum_n) AS mean_cum, avg(tot) AS mean_saved FROM ({_RUN_LOGS}) q GROUP BY ALL) q) w",
+    ),
+    "log_matrix": _with("ph runs", "SELECT bound, lmax AS shelves, " + ", ".join(f"coalesce(sum(cum_n) FILTER (bf = {k}) / 4, 0.0) AS \"{k}\"" for k in range(1, 11)) + f" FROM ({_RUN_LOGS}) q GROUP BY ALL"),
+    "log_matrix_series": _with("ph runs", f"SELECT lmax AS shelves, g.k::INT AS bins, coalesce(sum(cum_n) FILTER (bf = g.k) / 4, 0.0) AS value FROM ({_RUN_LOGS}) q CROSS JOIN range(1, 11) g(k) WHERE bin = 4 GROUP BY ALL"),
+    "log_series_by_draws": _with("sw", f"SELECT 'orders' AS db, eps, c0, rmax, ni, bf AS x, round(R, 6) AS R, round(R50, 6) AS R50 FROM {_AVERAGED}"),
+    "log_series_by_budget": _with("sw", f"SELECT 'orders' AS db, c0, rmax, ni, bf, eps AS x, round(CASE WHEN R = 0 THEN 0 ELSE R50 / R END, 6) AS precision, round(CASE WHEN RR = 0 THEN CASE WHEN R50 = 0 THEN 0 ELSE CAST('inf' AS DOUBLE) END ELSE R50 / RR END, 6) AS recall FROM {_AVERAGED}"),
+}
 SQL |= {"restricted_to_table": SQL["restricted_baskets"], "itemset_enumeration_bitmap": SQL["itemset_enumeration"]}
 assert LMAX == 3  # the set enumeration above has as many levels

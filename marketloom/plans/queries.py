@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.parameters import rule_space
 from marketloom.functions.scalars import div_or_zero, hash_uniform, items_text, laplace_noise, quality_d, rule_quality, subsets
-from marketloom.operators import experiments, items, itemsets, rules, sampling
+from marketloom.operators import experiments, items, itemsets, nested, rules, sampling
 from marketloom.plans import jobs
 from marketloom.plans.stored import new_path, stored
 from marketloom.sources import tables, text
@@ -22,6 +22,10 @@ NI, LMAX = 8, 3
 GRID = {"eps": [0.5, 1.0], "ratio": [0.1], "c0": [0.5], "lmax": [2], "ni": [NI], "bf": [1, 2], "seed": [1, 2]}
 #: Runs of three levels.
 DEEP = {"eps": [0.5, 2.0], "ratio": [0.1], "c0": [0.5], "lmax": [3], "ni": [6], "bf": [2], "seed": [1, 2]}
+#: Runs over several numbers of items.
+RANGES = {"eps": [0.5], "ratio": [0.1], "c0": [0.5], "lmax": [2], "ni": [5, 10, 15, 20, 25], "bf": [2], "seed": [1]}
+#: The run whose log breaks off.
+BROKEN = 7
 THETA = 500.0
 
 
@@ -152,6 +156,30 @@ def dense_itemsets(spark: SparkSession, d: str) -> DataFrame:
     return itemsets.enumerate_itemsets(weighted, every, 3).select(_name("itemset"), "support")
 
 
+@_once
+def customer_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The parts that each customer has ever ordered: wide baskets of many items."""
+    orders = _read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return tables.baskets_from_table(_read(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey"), "o_custkey", "l_partkey")
+
+
+def vertical_itemsets(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of two and three of the 200 most frequent parts, counted by vertical bitmaps."""
+    baskets = customer_parts(spark, d)
+    top = items.item_list(items.top_items(items.item_counts(baskets), 200))
+    return itemsets.enumerate_itemsets(items.weighted_baskets(items.restrict_to_items(baskets, top)), top, 3, "vertical").select(_name("itemset"), "support")
+
+
+def many_supports(spark: SparkSession, d: str) -> DataFrame:
+    """Supports of all pairs and single ones of 160 parts, so many that they go to the baskets as a trie."""
+    baskets = customer_parts(spark, d)
+    counts = items.item_counts(baskets)
+    top = stored(items.top_items(counts, 160).select("item"), "top")
+    pairs = top.join(F.broadcast(top.select(F.col("item").alias("other"))), F.col("item") <= F.col("other"))  # of 160 rows
+    sets = pairs.select(F.array_distinct(F.array("item", "other")).alias("itemset"))
+    return itemsets.itemset_support(items.weighted_baskets(baskets), sets, counts).select(_name("itemset"), "support")
+
+
 def itemset_support(spark: SparkSession, d: str) -> DataFrame:
     """Supports of every top item with each of the next two, and with one that does not exist."""
     counts = _counts(spark, d)
@@ -189,6 +217,14 @@ def unseen_itemsets(spark: SparkSession, d: str) -> DataFrame:
     return itemsets.unseen(pairs, seen).select(_name("itemset"))
 
 
+def unseen_by_run(spark: SparkSession, d: str) -> DataFrame:
+    """Of each run the pairs of frequent items that it has not drawn."""
+    leaves = jobs.private_rules_job(order_baskets(spark, d), _runs(spark))["leaves"]
+    pairs = _exact(spark, d, 2)["supports"].where(F.size("itemset") == 2).select("itemset")
+    candidates = pairs.join(F.broadcast(experiments.param_grid(spark, **GRID).select(F.col("run_id").cast("int").alias("run_id"))))  # of 8 runs
+    return itemsets.unseen(candidates, leaves, "run_id").select("run_id", _name("itemset"))
+
+
 # rules
 
 
@@ -220,6 +256,29 @@ def stored_stats(spark: SparkSession, d: str) -> DataFrame:
     return tables.load_itemset_stats(spark, path, LMAX, NI).select(_name("itemset"), "support", "n30", "n50", "n70")
 
 
+def replaced_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Counts that were stored under parameters that had others, then some, then none before: what each load gives."""
+    path, stats = new_path(spark, "itemset-stats"), stored(_exact(spark, d)["stats"], "stats")
+    pairs = stats.where(F.size("itemset") == 2)
+    for kept, lmax in ((stats, 2), (pairs, 2), (pairs, 3), (stats.where("false"), 3), (stats.where("false"), 4), (stats, 4)):
+        tables.save_itemset_stats(kept, path, lmax, NI)
+    loaded = [tables.load_itemset_stats(spark, path, lmax, NI).select(F.lit(lmax).alias("lmax"), _name("itemset"), "support", "n30", "n50", "n70") for lmax in (2, 3, 4)]
+    return loaded[0].unionByName(loaded[1]).unionByName(loaded[2])
+
+
+def nested_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """The exact totals for 5 to 25 items and sets of up to 2 and 3, from one enumeration."""
+    return jobs.nested_job(order_baskets(spark, d), 3, 25).where("ni >= 5")
+
+
+def nested_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of runs with five numbers of items against the totals of one enumeration."""
+    runs = jobs.grid_runs(spark, **RANGES)
+    job = jobs.private_rules_job(order_baskets(spark, d), runs)
+    totals = jobs.nested_job(order_baskets(spark, d), 2, max(RANGES["ni"]))
+    return nested.nested_recall(job["stats"], experiments.param_grid(spark, **RANGES), totals).withColumn("recall", _r("recall"))
+
+
 def conf_range(spark: SparkSession, d: str) -> DataFrame:
     return rules.conf_range(_exact(spark, d)["rules"]).select(_r("min_conf").alias("min_conf"), _r("max_conf").alias("max_conf"))
 
@@ -427,6 +486,47 @@ def experiment_report(spark: SparkSession, d: str) -> DataFrame:
     return jobs.report_from_logs(spark, path)["averaged"].withColumns({c: _r(c) for c in ("R", "R50", "RR", "precision", "recall")})
 
 
+def _log_folder(spark: SparkSession, d: str) -> str:
+    """A folder of whole logs of the sweep, one for each run, of which one breaks off within its histogram."""
+    job = jobs.private_rules_job(order_baskets(spark, d), _runs(spark))
+    ran = jobs.sweep(order_baskets(spark, d), "orders.brand", _runs(spark), {(2, NI): _exact(spark, d, 2)["stats"]}, job)
+    name = F.format_string("orders_eps_%s_seed_%d_sh_%d_bins_%d", F.col("eps").cast("string"), "seed", "rmax", "bf")
+    runs = stored(ran.withColumn("run", name), "runs")
+    hist = job["histogram"].join(runs.select("run_id", "run"), "run_id")
+    logs = text.format_run_logs(runs, hist).join(runs.where(F.col("run_id") == BROKEN).select(F.col("run").alias("broken")), F.col("run") == F.col("broken"), "left")
+    begin = F.regexp_extract("value", r"(?s)^(.*\n\t0\.50\t *\d+\t)", 1)
+    path = new_path(spark, "logs")
+    text.write_run_logs(logs.withColumn("value", F.when(F.col("broken").isNull(), F.col("value")).otherwise(begin)), path)
+    return path
+
+
+def log_histograms(spark: SparkSession, d: str) -> DataFrame:
+    """Averaged final histograms of whole logs that were written and read again."""
+    found = jobs.report_from_logs(spark, _log_folder(spark, d))["histograms"]
+    number = lambda i, kind: F.get(F.split("experiment", "\t"), F.lit(i)).cast(kind)
+    return found.select(number(1, "double").alias("eps"), number(6, "int").alias("bf"), "bound", "runs", "mean_saved", "mean_total", "mean_cum", _r("of_total").alias("of_total"), _r("of_expected").alias("of_expected"))
+
+
+def _log_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return experiments.layer_bin_matrix(jobs.report_from_logs(spark, _log_folder(spark, d))["final"], 4)
+
+
+def log_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Mean counts by shelves and bins, which the names of the logs say, from their final histograms."""
+    return _log_matrix(spark, d)
+
+
+def log_matrix_series(spark: SparkSession, d: str) -> DataFrame:
+    """The series of one bound of that matrix, where all ten bins are there."""
+    return experiments.complete_series(experiments.matrix_to_series(_log_matrix(spark, d), 0.5), ["shelves"], 10)
+
+
+def log_series(key: str, spark: SparkSession, d: str) -> DataFrame:
+    """What is drawn of the averaged table of the logs: rules by draws, or precision and recall by budget."""
+    found = jobs.report_from_logs(spark, _log_folder(spark, d))[key]
+    return found.withColumns({c: _r(c) for c in ("R", "R50", "precision", "recall") if c in found.columns})
+
+
 def _averaged(spark: SparkSession, d: str) -> DataFrame:
     return jobs.experiment_report(_sweep(spark, d))
 
@@ -512,6 +612,8 @@ QUERIES: dict[str, Query] = {
     "best_extension_delta_d": partial(chain, "delta-d"),
     "private_three_delta": partial(private_three, quality="delta", reduce="max"),
     "private_three_d": partial(private_three, quality="d", reduce="min", asymmetric=True, first_item="em"),
+    "log_series_by_draws": partial(log_series, "by_draws"),
+    "log_series_by_budget": partial(log_series, "by_budget"),
     "private_three_last": partial(private_three, quality="sigma", forced_last=True),
     **{
         f.__name__: f
@@ -523,6 +625,7 @@ QUERIES: dict[str, Query] = {
             em_probabilities, private_leaves, private_rules, private_three, private_deep, private_histogram, merge_real_private, recall_report, estimated_recall, sweep,
             run_logs, run_table, experiment_report, average_runs, series, good_vs_all, precision_vs_k, precision_vs_eps, precision_by_k, with_baseline, average_histograms,
             layer_bin_matrix, matrix_series,
+            replaced_stats, nested_thresholds, nested_recall, vertical_itemsets, many_supports, unseen_by_run, log_histograms, log_matrix, log_matrix_series,
         )
     },
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalars import dataset_name, items_text
@@ -97,6 +97,64 @@ def read_run_logs(spark: SparkSession, folder: str) -> DataFrame:
     return parse_run_logs(spark.read.option("recursiveFileLookup", "false").text(folder).select(F.col("_metadata.file_path").alias("file"), "value"))
 
 
+def format_run_logs(runs: DataFrame, hist: DataFrame) -> DataFrame:
+    """(run, value): the whole log of each run. ``runs``: run and columns of the run table; ``hist``: its histogram, by run."""
+    ten = histogram_lines(hist, "run").groupBy("run").agg(F.array_sort(F.collect_list(F.struct("bin", "value"))).alias("ten"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    call = F.concat_ws(" ", F.lit("./dph"), F.concat(F.lit("data/"), F.col("db"), F.lit(".dat")), F.lit("real.dat"), *(F.col(c).cast("string") for c in ("eps", "epsh", "c0", "rmax", "nits", "bf", "seed")))
+    lines = F.concat(
+        F.array(
+            F.lit("Called with: argc=10"), call, F.concat(F.lit("Total leaves "), zero("leaves")), F.concat(F.lit("Rules saved: "), zero("rules"), F.lit(", minconf: 0.00, maxconf: 1.00")),
+            F.lit("Total time:  0.50"), F.lit("Final histogram:"),
+        ),
+        F.coalesce(F.transform("ten", lambda x: x["value"]), F.array().cast("array<string>")),
+        F.array(F.concat(F.lit("Real   :   1   "), zero("realrls"), F.lit("   1")), F.lit("Recall :   0.10   0.25   0.10")),
+    )
+    return runs.join(ten, "run", "left").select("run", F.array_join(lines, "\n").alias("value"))
+
+
+def write_run_logs(logs: DataFrame, folder: str) -> None:
+    """A folder with a log file for each (run, value), in a folder of the run's name."""
+    logs.select("run", "value").repartition("run").write.partitionBy("run").text(folder)
+
+
+def read_log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, pos, value) of the lines of all log files of a folder, in the order of each file. A log is short: it is read as one text.
+
+    Logs that are folders of their run's name go by that name, others by their path.
+    """
+    whole = spark.read.text(folder, wholetext=True)
+    file = F.concat(F.lit("logs/"), F.col("run").cast("string")) if "run" in whole.columns else F.col("_metadata.file_path")
+    return whole.select(file.alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
+
+
+def log_sections(lines: DataFrame) -> DataFrame:
+    """(file, pos, value, section, header, line): the running number of the section that a line is in, the header that it begins with, the
+    line's number in it. A header is a line that ends with a colon; what comes before the first one is section 0."""
+    own = Window.partitionBy("file").orderBy("pos")
+    numbered = lines.withColumn("section", F.sum(F.when(F.col("value").rlike(r"^\S.*:$"), 1).otherwise(0)).over(own))
+    within = Window.partitionBy("file", "section").orderBy("pos")
+    return numbered.withColumns({"header": F.when(F.col("section") > 0, F.first("value").over(within)), "line": F.row_number().over(within) - 1})
+
+
+def final_histograms(lines: DataFrame) -> DataFrame:
+    """(file, experiment, expected, rules_saved, bound, n, cum_n) of the ten lines after the last header of a final histogram in each log.
+
+    The experiment is the call without program, data set and seed; ``expected`` is its last number. Logs without a call, without ten whole lines, or
+    without the number of rules are left out.
+    """
+    words = F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "")
+    call = F.max(F.when(F.col("value").startswith("./dph"), F.slice(words, 3, F.greatest(F.size(words) - 3, F.lit(0)))))
+    saved = F.max(F.when(F.col("value").startswith("Rules saved:"), F.regexp_extract("value", r"^Rules saved:\s*(\d+)", 1).try_cast("bigint")))
+    runs = lines.groupBy("file").agg(call.alias("call"), saved.alias("rules_saved"))
+    runs = runs.select("file", F.array_join("call", "\t").alias("experiment"), F.element_at("call", -1).try_cast("bigint").alias("expected"), "rules_saved")
+    found = log_sections(lines).where((F.col("header") == "Final histogram:") & F.col("line").between(1, len(BOUNDS)))
+    last = found.withColumn("last", F.max("section").over(Window.partitionBy("file"))).where((F.col("section") == F.col("last")) & F.col("value").rlike(r"^\t[01]\.\d+\t *\d+\t *[^\t]+\t *\d+\t *\S+$"))
+    parsed = parse_histogram_lines(last, "file")
+    whole = parsed.withColumn("bounds", F.size(F.collect_set("bound").over(Window.partitionBy("file")))).where(F.col("bounds") == len(BOUNDS))
+    return whole.join(runs, "file").where("experiment IS NOT NULL AND rules_saved IS NOT NULL").select("file", "experiment", "expected", "rules_saved", "bound", "n", "cum_n")
+
+
 def write_runs(runs: DataFrame, path: str) -> None:
     runs.write.csv(path, sep="\t", header=True)
 
