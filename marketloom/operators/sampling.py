@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.scalars import hash_uniform, laplace_mechanism, quality_d, quality_delta, rule_quality, sampling_key, sampling_key_log
+from marketloom.functions.scalars import hash_uniform, items_text, laplace_mechanism, quality_d, quality_delta, rule_quality, sampling_key, sampling_key_log
 from marketloom.operators.items import item_cell, placed
 
 #: Spark cuts groups to a constant number of rows up to this one before it moves them; beyond, groups are cut in so many parts.
@@ -57,6 +57,29 @@ def weighted_sample(df: DataFrame, group: list[str], k: int | Column, weight: st
     return smallest(df.withColumn("v", key), group, k, ["v", *ties], most)
 
 
+def class_draws(prefixes: DataFrame, level: int, slots: int) -> DataFrame:
+    """(the columns of ``prefixes``, slot, item, v): the candidates of one score 0 in the order in which they would be drawn, up to ``slots`` of each.
+
+    ``prefixes`` (seed, prefix, zeros): the items of ``zeros`` have keys v = ln(-ln u) each, of which only the smallest can win. These are
+    order statistics: the gaps between sorted exponentials are exponentials over the number that is left, and which item a place falls to
+    is uniform among them. So a few numbers are drawn for each prefix instead of one for each item.
+    """
+    left = lambda i: F.size("zeros") - i + 1
+    own = lambda name, i: hash_uniform(F.col("seed"), F.lit(level), items_text("prefix"), F.lit(name), i)
+    places = F.sequence(F.lit(1), F.least(F.lit(slots), F.size("zeros")))
+    nothing = F.struct(F.lit(0.0).alias("e"), F.col("zeros").alias("rest"), F.array().cast("array<struct<slot: int, item: int, v: double>>").alias("found"))
+
+    def draw(at: Column, i: Column) -> Column:
+        e = at["e"] - F.log(own("zero", i)) / left(i)
+        place = F.floor(own("which", i) * left(i)).cast("int")
+        rest = F.concat(F.slice(at["rest"], 1, place), F.slice(at["rest"], place + 2, F.size("zeros")))
+        found = F.struct(i.cast("int").alias("slot"), F.get(at["rest"], place).alias("item"), F.log(e).alias("v"))
+        return F.struct(e.alias("e"), rest.alias("rest"), F.concat(at["found"], F.array(found)).alias("found"))
+
+    drawn = F.when(F.size("zeros") > 0, F.aggregate(places, nothing, draw)["found"])
+    return prefixes.select(*prefixes.columns, F.inline(drawn))
+
+
 def extension_quality(candidates: DataFrame, method: str = "sigma", c0: float = 0.5, asymmetric: bool = False) -> DataFrame:
     """Column ``q`` of candidates (prefix, item, support, sup_prefix, cnt of the item)."""
     if method == "sigma":

@@ -88,11 +88,16 @@ def candidate_quality(candidates: DataFrame, weighted: DataFrame, counts: DataFr
     return scored.withColumn("q", F.when(where, d).otherwise(F.col("q")))
 
 
-def private_leaves(weighted: DataFrame, counts: DataFrame, runs: list[Run], quality: str = "sigma", first_item: str = "noisy", forced_last: bool = False, reduce: str | None = None, asymmetric: bool = False) -> DataFrame:
+def private_leaves(weighted: DataFrame, counts: DataFrame, runs: list[Run], quality: str = "sigma", first_item: str = "noisy", forced_last: bool = False, reduce: str | None = None, asymmetric: bool = False, zeros: str = "grid") -> DataFrame:
     """The sets that each run draws: (run_id, path, itemset). ``path`` are the draws that led there, by which branches are ordered.
 
     ``counts`` must be zero-filled. All runs and branches of a level are one query; supports are shared by all runs.
+
+    ``zeros``: with ``grid`` every prefix meets every item. With ``class``, for scores sigma only, the candidates that no basket holds
+    are drawn as one class, so that only those with a support are rows; the numbers drawn differ, their distribution doesn't.
     """
+    if zeros not in ("grid", "class") or (zeros == "class" and (quality != "sigma" or forced_last or reduce)):
+        raise ValueError("zeros is grid, or class where all candidates are scored by sigma")
     spark = weighted.sparkSession
     spent = [budget(r.eps, r.ratio, r.lmax, r.bf, first_item) for r in runs]
     shares = [[x["levels"].get(i, 0.0) / r.bf for i in range(r.lmax)] for r, x in zip(runs, spent, strict=True)]
@@ -112,26 +117,53 @@ def private_leaves(weighted: DataFrame, counts: DataFrame, runs: list[Run], qual
     leaves = None
     for i in range(1, max(r.lmax for r in runs)):
         open_ = level.join(F.broadcast(table.where(F.col("lmax") > i).select("run_id")), "run_id", "left_semi")
-        grid = itemsets.exclude_prefix_items(open_.join(top, "run_id"))
         known = itemsets.extension_supports(weighted, open_, counts).withColumnRenamed("prefix", "set")
-        candidates = grid.withColumn("set", canonical("prefix")).join(known, ["set", "item"], "left").withColumn("support", F.coalesce("support", F.lit(0)).cast("bigint"))
+        if zeros == "grid":
+            grid = itemsets.exclude_prefix_items(open_.join(top, "run_id"))
+            candidates = grid.withColumn("set", canonical("prefix")).join(known, ["set", "item"], "left").withColumn("support", F.coalesce("support", F.lit(0)).cast("bigint"))
+        else:
+            candidates = open_.withColumn("set", canonical("prefix")).join(known, "set").join(top, ["run_id", "item"])
         last = F.col("lmax") == i + 1
         scored = candidate_quality(candidates, weighted, counts, i, quality, last if forced_last else False, reduce, asymmetric)
         scored = scored.withColumn("logw", share(i) * F.col("q") / 2).withColumn("last", last)
         u = hash_uniform(F.col("seed"), F.lit(i), items_text("prefix"), F.col("item"))
-        keyed = stored(scored.withColumn("v", F.log(F.log(1 / u)) - F.col("logw")).select("run_id", "path", "prefix", "item", "support", "cnt", "cnts", "bf", "last", "v"), "candidates")
-        inner = sampling.smallest(keyed.where("NOT last"), ["run_id", "path"], F.col("bf"), ["v", "item"], most)
+        columns = ["run_id", "path", "prefix", "item", "support", "cnt", "cnts", "bf", "last", "v"]
+        keyed = stored(scored.withColumn("v", F.log(F.log(1 / u)) - F.col("logw")).select(columns), "candidates")
+        slots = 2 * most
+        while True:
+            every = keyed
+            if zeros == "class":
+                drawn = _class_candidates(open_, keyed, top, i, slots)
+                every = keyed.unionByName(stored(drawn.select(columns), "class-draws"))
+            inner = sampling.smallest(every.where("NOT last"), ["run_id", "path"], F.col("bf"), ["v", "item"], most)
+            ends, struck = _last_draws(every.where("last").withColumn("itemset", canonical(F.concat("prefix", F.array("item")))), most)
+            if zeros == "grid" or struck is None:
+                break
+            # a branch that has lost so many sets might have had others of the class than those that were drawn
+            if not struck.groupBy("run_id", "path").count().where(F.col("count") + most > slots).take(1):
+                break
+            slots *= 2
         level = stored(inner.select("run_id", F.concat("path", F.array("draw")).alias("path"), F.concat("prefix", F.array("item")).alias("prefix"), F.col("support").alias("sup_prefix"), F.concat("cnts", F.array("cnt")).alias("cnts")), "level")
-        ends = _last_draws(keyed.where("last").withColumn("itemset", canonical(F.concat("prefix", F.array("item")))), most)
         leaves = ends if leaves is None else leaves.unionByName(ends)
     return leaves
 
 
-def _last_draws(candidates: DataFrame, most: int) -> DataFrame:
+def _class_candidates(open_: DataFrame, keyed: DataFrame, top: DataFrame, level: int, slots: int) -> DataFrame:
+    """Of the items that a prefix has in no basket those that may be drawn: as many as ``slots``, with their keys."""
+    held = keyed.groupBy("run_id", "path").agg(F.collect_list("item").alias("held"))
+    # ni items a run
+    lists = top.groupBy("run_id").agg(F.array_sort(F.collect_list("item")).alias("every"), *(F.first(c).alias(c) for c in ("seed", "bf", "lmax")))
+    own = open_.join(F.broadcast(lists), "run_id").join(held, ["run_id", "path"], "left")
+    rest = F.array_except(F.array_except("every", "prefix"), F.coalesce("held", F.array().cast("array<int>")))
+    drawn = sampling.class_draws(own.withColumn("zeros", rest), level, slots)
+    return drawn.join(top.select("run_id", "item", "cnt"), ["run_id", "item"]).withColumns({"support": F.lit(0).cast("bigint"), "last": F.col("lmax") == level + 1})
+
+
+def _last_draws(candidates: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     """Draws of the last level, where no branch takes a set that an earlier one of its run has taken.
 
     Every branch picks; where branches meet in a set the earliest keeps it and the others strike it off and pick again. An earlier
-    branch never gives a set back, so a few rounds end where one branch after the other would.
+    branch never gives a set back, so a few rounds end where one branch after the other would. The second table has what was struck off.
     """
     struck = None
     turn = F.row_number().over(Window.partitionBy("run_id", "itemset").orderBy("path"))
@@ -140,14 +172,14 @@ def _last_draws(candidates: DataFrame, most: int) -> DataFrame:
         picked = stored(sampling.smallest(left, ["run_id", "path"], F.col("bf"), ["v", "item"], most).withColumn("turn", turn), "picks")
         lost = picked.where("turn > 1").select("run_id", "path", "itemset")
         if not lost.take(1):
-            return picked.select("run_id", F.concat("path", F.array("draw")).alias("path"), "itemset")
+            return picked.select("run_id", F.concat("path", F.array("draw")).alias("path"), "itemset"), struck
         struck = stored(lost if struck is None else struck.unionByName(lost), "struck")
 
 
-def private_rules_job(baskets: DataFrame, runs: list[Run], quality: str = "sigma", first_item: str = "noisy", forced_last: bool = False, reduce: str | None = None, asymmetric: bool = False) -> dict[str, DataFrame]:
+def private_rules_job(baskets: DataFrame, runs: list[Run], quality: str = "sigma", first_item: str = "noisy", forced_last: bool = False, reduce: str | None = None, asymmetric: bool = False, zeros: str = "grid") -> dict[str, DataFrame]:
     """Sets drawn under each run's budget, and what they are worth: leaves, itemsets, rules, stats, histogram, each with run_id.
 
-    ``reduce`` and ``asymmetric`` are those of ``candidate_quality``.
+    ``reduce`` and ``asymmetric`` are those of ``candidate_quality``, ``zeros`` that of ``private_leaves``.
 
     Only the leaves and the sets in them are private; supports, confidences, histograms and recall are exact and serve evaluation. The
     uniform numbers come from a public hash: for a release take secret seeds.
@@ -155,7 +187,7 @@ def private_rules_job(baskets: DataFrame, runs: list[Run], quality: str = "sigma
     counts = stored(items.zero_filled_counts(items.item_counts(baskets)), "counts")
     weighted = stored(items.weighted_baskets(baskets), "weighted")
     with temporary(baskets.sparkSession):
-        leaves = kept(private_leaves(weighted, counts, runs, quality, first_item, forced_last, reduce, asymmetric), "leaves")
+        leaves = kept(private_leaves(weighted, counts, runs, quality, first_item, forced_last, reduce, asymmetric, zeros), "leaves")
     found = stored(itemsets.expand_leaves(leaves, "run_id"), "itemsets")
     every = leaves.select(F.explode(subsets("itemset", proper=False)).alias("itemset")).distinct()
     supports = stored(itemsets.itemset_support(weighted, every, counts), "supports")

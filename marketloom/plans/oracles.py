@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marketloom.functions.parameters import rule_space
-from marketloom.plans.queries import BROKEN, DEEP, GRID, LMAX, NI, RANGES, THETA
+from marketloom.plans.queries import BROKEN, DEEP, GRID, LMAX, NI, RANGES, SPARSE, THETA
 
 _U = "((('0x' || substr(md5({0}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
 _LAPLACE = "CASE WHEN 0.5 - {u} < 0 THEN {b} * ln(1 + 2 * (0.5 - {u})) ELSE -({b}) * ln(1 - 2 * (0.5 - {u})) END"
@@ -232,6 +232,32 @@ SQL |= {
     "run_table": SQL["run_logs"].replace("'logs/run_' || run_id AS file, ", ""),
     "experiment_report": SQL["average_runs"].replace("'orders.brand' AS db", "'orders' AS db"),
 }
+
+
+def _sparse() -> str:
+    """Leaves of two levels with two draws each, where pairs without support are drawn as one class: of four, as two may be struck off."""
+    u = lambda name, i: _U.format(f"seed || '|1|' || p || '|{name}|{i}'")
+    e, rows = "0", []
+    for i in range(1, 5):
+        e = f"({e} - ln({u('zero', i)}) / (len(z) - {i - 1}))"
+        rows.append(f"SELECT run_id, br, bf, p, r{i - 1}[a{i}] AS x, ln({e}) AS v FROM zr WHERE len(z) >= {i}")
+    steps = "SELECT *, z AS r0 FROM zl"
+    for i in range(1, 5):
+        steps = f"SELECT *, list_concat(r{i - 1}[: a{i} - 1], r{i - 1}[a{i} + 1 :]) AS r{i} FROM (SELECT *, CAST(floor({u('which', i)} * (len(z) - {i - 1})) AS INT) + 1 AS a{i} FROM ({steps}) s{i}) t{i}"
+    tables = {
+        "zl": "SELECT c.run_id, c.br, c.bf, c.p, r.seed, list(c.x ORDER BY c.x) AS z FROM cand c JOIN runs r USING (run_id) WHERE c.sup = 0 GROUP BY ALL",
+        "zr": steps,
+        "every": "SELECT run_id, br, bf, x, least(p, x) AS i, greatest(p, x) AS j, v FROM (SELECT run_id, br, bf, p, x, v FROM cand WHERE sup > 0 UNION ALL " + " UNION ALL ".join(rows) + ") q",
+        "f1": "SELECT run_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY v, x) AS n FROM every WHERE br = 1) q WHERE n <= bf",
+        "f2": "SELECT run_id, i, j FROM (SELECT c.*, row_number() OVER (PARTITION BY c.run_id ORDER BY v, c.x) AS n FROM every c LEFT JOIN f1 ON f1.run_id = c.run_id AND f1.i = c.i AND f1.j = c.j WHERE br = 2 AND f1.i IS NULL) q WHERE n <= bf",
+    }
+    text = _with("cand runs", "").rstrip() + ", " + ", ".join(f"{k} AS MATERIALIZED ({t})" for k, t in tables.items())
+    text += " SELECT run_id, i || ' ' || j AS itemset FROM f1 UNION ALL SELECT run_id, i || ' ' || j FROM f2"
+    parts = "SELECT l_orderkey AS tid, l_partkey::INT AS item FROM lineitem GROUP BY ALL"
+    return text.replace(_TABLES["b"], parts).replace(_TABLES["runs"], f"SELECT * FROM (VALUES {_grid(SPARSE)}) v(run_id, {', '.join(SPARSE)})")
+
+
+SQL["private_sparse"] = _sparse()
 _RUN_LOGS = f"SELECT * FROM ph JOIN runs USING (run_id) WHERE run_id <> {BROKEN}"
 _AVERAGED = f"(SELECT db, eps, c0, rmax, nits AS ni, bf, avg(rules) AS R, avg(rules50) AS R50, avg(realrls) AS RR FROM sw WHERE run_id <> {BROKEN} GROUP BY ALL) q"
 SQL |= {

@@ -24,6 +24,8 @@ GRID = {"eps": [0.5, 1.0], "ratio": [0.1], "c0": [0.5], "lmax": [2], "ni": [NI],
 DEEP = {"eps": [0.5, 2.0], "ratio": [0.1], "c0": [0.5], "lmax": [3], "ni": [6], "bf": [2], "seed": [1, 2]}
 #: Runs over several numbers of items.
 RANGES = {"eps": [0.5], "ratio": [0.1], "c0": [0.5], "lmax": [2], "ni": [5, 10, 15, 20, 25], "bf": [2], "seed": [1]}
+#: Runs over items most of whose pairs are in no basket.
+SPARSE = {"eps": [0.5, 4.0], "ratio": [0.1], "c0": [0.5], "lmax": [2], "ni": [60], "bf": [2], "seed": [1, 2, 3]}
 #: The run whose log breaks off.
 BROKEN = 7
 THETA = 500.0
@@ -413,6 +415,18 @@ def private_three(spark: SparkSession, d: str, **options) -> DataFrame:
     return jobs.private_rules_job(order_baskets(spark, d), jobs.grid_runs(spark, **DEEP), **options)["leaves"].select("run_id", _name("itemset"))
 
 
+@_once
+def order_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of each order: of most pairs no basket holds both."""
+    return tables.baskets_from_table(_read(spark, d, "lineitem"), "l_orderkey", "l_partkey")
+
+
+def private_sparse(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of two of 60 parts, those that no order has drawn as one class."""
+    job = jobs.private_rules_job(order_parts(spark, d), jobs.grid_runs(spark, **SPARSE), zeros="class")
+    return job["leaves"].select("run_id", _name("itemset"))
+
+
 def private_deep(spark: SparkSession, d: str) -> DataFrame:
     """Three levels with four draws each, on wide baskets; clashes at the last level included."""
     run = jobs.Run(run_id=0, eps=0.5, ratio=0.01, c0=0.5, lmax=3, ni=25, bf=4, seed=42)
@@ -625,7 +639,7 @@ QUERIES: dict[str, Query] = {
             em_probabilities, private_leaves, private_rules, private_three, private_deep, private_histogram, merge_real_private, recall_report, estimated_recall, sweep,
             run_logs, run_table, experiment_report, average_runs, series, good_vs_all, precision_vs_k, precision_vs_eps, precision_by_k, with_baseline, average_histograms,
             layer_bin_matrix, matrix_series,
-            replaced_stats, nested_thresholds, nested_recall, vertical_itemsets, many_supports, unseen_by_run, log_histograms, log_matrix, log_matrix_series,
+            replaced_stats, nested_thresholds, nested_recall, vertical_itemsets, many_supports, unseen_by_run, private_sparse, log_histograms, log_matrix, log_matrix_series,
         )
     },
 }

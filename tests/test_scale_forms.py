@@ -262,3 +262,45 @@ def test_temporary_tables_go(spark):
     assert left.count() == 2
     with pytest.raises(Exception, match=r"(?i)does not exist|not found|no such"):
         gone.count()
+
+
+def test_class_draws_are_distributed_as_the_grid(spark):
+    """The smallest keys of 12 items of one score, over many seeds: by class and by a key for each item."""
+    zeros, seeds, k = list(range(3, 15)), 6000, 3
+    prefixes = spark.range(seeds).select(F.col("id").cast("int").alias("seed"), F.array(F.lit(1), F.lit(2)).alias("prefix"), F.array(*map(F.lit, zeros)).alias("zeros"))
+    by_class = sampling.class_draws(prefixes, 2, k)
+    each = prefixes.select("seed", F.explode("zeros").alias("item")).withColumn("v", F.log(-F.log(hash_uniform(F.col("seed"), F.lit("grid"), F.col("item")))))
+    by_grid = sampling.smallest(each, ["seed"], k, ["v", "item"], name="slot")
+    for drawn in (by_class, by_grid):
+        rows = drawn.select("seed", "slot", "item", "v").orderBy("seed", "slot").collect()
+        assert len(rows) == seeds * k
+        items_ = np.array([r["item"] for r in rows]).reshape(seeds, k)
+        gaps = np.diff(np.exp([r["v"] for r in rows]).reshape(seeds, k), axis=1, prepend=0)
+        assert all(len(set(x)) == k for x in items_.tolist()) and (gaps > 0).all()
+        for j in range(k):
+            # gaps are exponentials over what is left; items are uniform
+            assert gaps[:, j].mean() * (12 - j) == pytest.approx(1, abs=0.06)
+            assert gaps[:, j].std() * (12 - j) == pytest.approx(1, abs=0.1)
+            often = np.bincount(items_[:, j] - 3, minlength=12)
+            assert ((often - seeds / 12) ** 2 / (seeds / 12)).sum() < 31.3  # of 11 degrees of freedom, one in a thousand
+        pairs = Counter(map(tuple, np.sort(items_[:, :2], axis=1).tolist()))
+        assert sum((pairs[c] - seeds / 66) ** 2 / (seeds / 66) for c in combinations(zeros, 2)) < 108
+    none = prefixes.withColumn("zeros", F.array().cast("array<int>"))
+    assert sampling.class_draws(none, 2, k).count() == 0
+    one = prefixes.limit(5).withColumn("zeros", F.array(F.lit(9)))
+    assert {(r["slot"], r["item"]) for r in sampling.class_draws(one, 2, k).collect()} == {(1, 9)}
+
+
+def test_class_draws_end_where_no_set_is_left(spark):
+    """Branches that take each other's sets: four draws each among five items of which no two are in a basket."""
+    baskets = baskets_of(spark, [{k} for k in (1, 2, 3, 4, 5)] * 3)
+    runs = [jobs.Run(k, 1.0, 0.5, 0.5, 3, 5, 4, seed=k) for k in range(3)]
+    for zeros in ("grid", "class"):
+        leaves = jobs.private_rules_job(baskets, runs, zeros=zeros)["leaves"].collect()
+        by_run = defaultdict(list)
+        for r in leaves:
+            by_run[r["run_id"]].append(tuple(r["itemset"]))
+        assert all(len(x) == len(set(x)) and all(len(set(c)) == 3 for c in x) for x in by_run.values())
+        assert all(len(x) == 10 for x in by_run.values()), zeros  # every set of three
+    with pytest.raises(ValueError, match="sigma"):
+        jobs.private_rules_job(baskets, runs, "delta", zeros="class")
