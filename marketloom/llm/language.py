@@ -32,6 +32,8 @@ SCALED = 16
 #: Words that a task remembers with their scores, and characters of the longest of them.
 REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
 BATCH_BYTES = 8 << 20
+#: Languages that are scored together.
+LANGUAGES = 16
 #: Words are scored together while they have so many characters, or one by one.
 TOGETHER = 1 << 18
 BEGIN = "▁"
@@ -93,11 +95,25 @@ def _of(path: str) -> Pieces:
 
 @dataclass
 class Model:
-    """``probability[p, k]`` of piece p in language k; the last row is for a character that the vocabulary lacks."""
+    """Per language the pieces that its sample has, how likely each is, and how likely any other piece; ``size`` pieces in all.
+
+    What is sent to the tasks is so 8 bytes for each distinct piece of each language's sample, which is bounded.
+    """
 
     languages: list[str]
     prior: np.ndarray
-    probability: np.ndarray
+    seen: list[tuple[np.ndarray, np.ndarray, float]]
+    size: int
+
+    def table(self, first: int = 0, many: int | None = None) -> np.ndarray:
+        """Row p, column k: piece p in the k-th language from ``first`` on. The last row is for a character that the vocabulary lacks."""
+        own = self.seen[first:] if many is None else self.seen[first : first + many]
+        out = np.empty((self.size + 1, len(own)))
+        for k, (piece, probability, other) in enumerate(own):
+            out[:, k] = other
+            out[piece, k] = probability
+        out[-1] = UNKNOWN
+        return out
 
 
 def _by_length(distinct: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -195,27 +211,28 @@ def log_probabilities(distinct: list[str], vocabulary: Pieces, p: np.ndarray) ->
     return out
 
 
-def fit(counts: dict[str, Counter], n_docs: Counter, vocabulary: Pieces) -> Model:
-    """Piece probabilities per language from the words of each and the numbers of documents, by EPOCHS rounds of expectation-maximisation."""
-    languages = sorted(n_docs)
+def fit(counts: Counter, vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray, float]:
+    """A language's pieces from its words, by EPOCHS rounds of expectation-maximisation: those that occur, their probabilities, that of any other."""
     size = len(vocabulary.names)
-    p = np.full((size + 1, len(languages)), 1.0 / size)
+    p = np.full((size + 1, 1), 1.0 / size)
     p[-1] = UNKNOWN
-    for k, lang in enumerate(languages):
-        own = counts.get(lang, Counter())
-        distinct = sorted(own)
-        often = np.fromiter((own[w] for w in distinct), float, len(distinct))
-        for _ in range(EPOCHS):
-            expected = np.zeros(size + 1)
-            for at, chars in _by_length(distinct):
-                expected += _Lattice(vocabulary.ids(chars)).expected(p[:, [k]], often[at], size)
-            p[:size, k] = (expected[:size] + SMOOTHING) / (expected[:size].sum() + SMOOTHING * size)
-    total = sum(n_docs.values())
-    return Model(languages, np.array([(n_docs[x] + 1) / (total + len(languages)) for x in languages]), p)
+    distinct = sorted(counts)
+    often = np.fromiter((counts[w] for w in distinct), float, len(distinct))
+    expected = np.zeros(size + 1)
+    for _ in range(EPOCHS):
+        expected = np.zeros(size + 1)
+        for at, chars in _by_length(distinct):
+            expected += _Lattice(vocabulary.ids(chars)).expected(p[:, [0]], often[at], size)
+        p[:size, 0] = (expected[:size] + SMOOTHING) / (expected[:size].sum() + SMOOTHING * size)
+    found = np.flatnonzero(expected[:size])
+    return found, p[found, 0], SMOOTHING / (expected[:size].sum() + SMOOTHING * size)
 
 
 def train(docs: DataFrame, vocabulary: str, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on up to ``rows`` documents that have a text and a language. Only their words, counted by language, meet in one task."""
+    """Fit on up to ``rows`` documents that have a text and a language, each language in a task of its own, from counts of words.
+
+    Languages may be as many as rows of the sample. Without such documents no language is learned.
+    """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     sample = bounded_sample(known, rows, "doc_id", "text").select("text", "lang")
 
@@ -231,32 +248,39 @@ def train(docs: DataFrame, vocabulary: str, rows: int = TRAIN_ROWS, id_col: str
     # the sample comes in one partition
     words = sample.repartition(8, F.xxhash64("text")).mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
-    def fitted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-        n_docs: Counter = Counter()
-        for batch in it:
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if word is None:
-                    n_docs[lang] = n
-                else:
-                    counts.setdefault(lang, Counter())[word] = n
-        if n_docs:
-            m = fit(counts, n_docs, _of(vocabulary))
-            yield pa.RecordBatch.from_arrays([pa.array([m.languages]), pa.array([m.prior.tolist()]), pa.array([m.probability.astype("<f4").tobytes()])], ["languages", "prior", "probability"])
-
-    got = words.coalesce(1).mapInArrow(fitted, "languages array<string>, prior array<double>, probability binary").collect()
+    def fitted(table: pa.Table) -> pa.Table:
+        words = dict(zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True))
+        n = words.pop(None)
+        piece, probability, other = fit(Counter(words), _of(vocabulary))
+        return pa.table({"lang": [table["lang"][0].as_py()], "n": [n], "piece": [piece.astype("<i4").tobytes()], "probability": [probability.astype("<f4").tobytes()], "other": [other]})
+
+    # a row for each language of the sample
+    got = words.groupBy("lang").applyInArrow(fitted, "lang string, n long, piece binary, probability binary, other double").collect()
     if not got:
-        return Model([], np.zeros(0), np.zeros((0, 0)))
-    return Model(got[0]["languages"], np.array(got[0]["prior"]), np.frombuffer(got[0]["probability"], "<f4").reshape(-1, len(got[0]["languages"])).astype(float))
+        return Model([], np.zeros(0), [], 0)
+    got.sort(key=lambda r: r["lang"])
+    total = sum(r["n"] for r in got)
+    seen = [(np.frombuffer(r["piece"], "<i4"), np.frombuffer(r["probability"], "<f4"), r["other"]) for r in got]
+    return Model([r["lang"] for r in got], np.array([(r["n"] + 1) / (total + len(got)) for r in got]), seen, len(_of(vocabulary).names))
 
 
 class _Scores:
-    """The words that a task has scored with a model."""
+    """The words that a task has scored with a model of a few languages; more are scored in blocks, which hold no more than a few need."""
 
     def __init__(self, model: Model, vocabulary: Pieces) -> None:
         self.model, self.vocabulary = model, vocabulary
         self.index: dict[str, int] = {}
-        self.table = np.zeros((1024, len(model.languages)))
+        few = len(model.languages) <= LANGUAGES
+        self.dense = model.table() if few and model.languages else None
+        self.table = np.zeros((1024, len(model.languages))) if few else None
+
+    def blocks(self, distinct: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """The first language of each block, and the scores of the words in it."""
+        if self.dense is not None:
+            yield 0, self.of(distinct)
+            return
+        for first in range(0, len(self.model.languages), LANGUAGES):
+            yield first, log_probabilities(distinct, self.vocabulary, self.model.table(first, LANGUAGES))
 
     def of(self, distinct: list[str]) -> np.ndarray:
         at = np.fromiter((self.index.get(w, -1) for w in distinct), np.int64, len(distinct))
@@ -264,7 +288,7 @@ class _Scores:
         new = np.flatnonzero(at < 0)
         if len(new):
             names = [distinct[i] for i in new]
-            out[new] = log_probabilities(names, self.vocabulary, self.model.probability)
+            out[new] = log_probabilities(names, self.vocabulary, self.dense)
             if len(self.index) + len(names) > REMEMBERED:
                 self.index.clear()
             for i, w in zip(new.tolist(), names, strict=True):
@@ -288,15 +312,19 @@ def identify(docs: DataFrame, model: Model, vocabulary: str, id_col: str = "doc_
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         scores = _Scores(m, _of(vocabulary))
-        for batch in pieces(it, 1, BATCH_BYTES, "pieces"):
+        # scores of a batch are a number for each document and language
+        for batch in pieces(it, 1, BATCH_BYTES // (1 + len(m.languages) // 64), "pieces"):
             split = [words_of(t or "") for t in batch.column(1).to_pylist()]
             n = np.fromiter(map(len, split), np.int64, len(split))
             code, distinct = pd.factorize(np.array(list(chain.from_iterable(split)), object))
             names, best = ["und"] * len(split), np.zeros(len(split))
             if m.languages and len(distinct):
-                each = scores.of(list(distinct))
                 doc = np.repeat(np.arange(len(split)), n)
-                total = np.stack([np.bincount(doc, each[code, k], minlength=len(split)) for k in range(len(m.languages))], 1) + np.log(m.prior)
+                total = np.empty((len(split), len(m.languages)))
+                for first, each in scores.blocks(list(distinct)):
+                    for k in range(each.shape[1]):
+                        total[:, first + k] = np.bincount(doc, each[code, k], minlength=len(split))
+                total += np.log(m.prior)
                 top = total.argmax(1)
                 share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                 for i in np.flatnonzero(n):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 from .text_arrays import pieces
-from .token_ids import WordCoder
+from .token_ids import REMEMBERED, WordCoder
 
 CAPACITY, END_ID = 1024, 2
 PER_PARTITION = 100_000
@@ -33,8 +33,8 @@ ROUNDS = 4
 NEARLY = 64
 
 
-def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32.
+def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32. A worker remembers the ids of so many words.
 
     A null text is an empty one, whose only id is ``end_id``. Null ids and repeated rows are kept and cut like any others. Texts of any
     length are encoded whole. An empty table gives no rows. Other columns are ignored.
@@ -42,7 +42,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, en
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder.of(vocabulary)
+        coder = WordCoder.of(vocabulary, remembered)
         for batch in pieces(it, 1, 1 << 20, "coders"):
             source, rows = [], []
             for k, ids in enumerate(coder.encode([t or "" for t in batch.column(1).to_pylist()])):

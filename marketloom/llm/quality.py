@@ -61,8 +61,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id and the measurements of each text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
 
     ``n_lines`` counts the lines that have a word. Equal 3-word windows are found by sorting their hashes together with
-    their positions: in one long each for texts of up to PACKED_WORDS words, in a struct with the full hash beyond. Neighbours in that
-    order are then compared by their words.
+    their positions: in one long each for texts of up to PACKED_WORDS words, in a struct with the full hash beyond. Neighbours of equal hash in
+    that order are then compared by their words; in a text where any two of them differ, the windows are sorted by the words themselves. So
+    hashes only make it faster.
     """
     # an exploded row would be shuffled by (document, window); sorting inside the row needs no shuffle
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -83,14 +84,24 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def at_low(k: Column) -> Column:
         return F.get(p, k).bitwiseAND(F.lit(PACKED_WORDS - 1)).cast("int")
 
+    def pairs(a: Column) -> Column:
+        return F.when(F.size(a) >= 2, F.sequence(F.lit(1), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def both(found: Column, position) -> Column:
+        return F.flatten(F.transform(found, lambda k: F.array(position(k), position(k - 1))))
+
     # equal windows stand side by side; of each such pair both positions count
-    same = F.filter(F.when(F.size(p) >= 2, F.sequence(F.lit(1), F.size(p) - 1)).otherwise(F.array().cast("array<int>")), lambda k: (F.shiftrightunsigned(F.get(p, k).bitwiseXOR(F.get(p, k - 1)), 16) == 0) & equal(at_low(k), at_low(k - 1)))
-    twin = F.filter(F.when(F.size(q) >= 2, F.sequence(F.lit(1), F.size(q) - 1)).otherwise(F.array().cast("array<int>")), lambda k: (F.get(q, k)["h"] == F.get(q, k - 1)["h"]) & equal(F.get(q, k)["i"], F.get(q, k - 1)["i"]))
-    repeated = F.when(
-        p.isNotNull(),
-        F.flatten(F.transform(same, lambda k: F.array(F.get(p, k).bitwiseAND(F.lit(PACKED_WORDS - 1)), F.get(p, k - 1).bitwiseAND(F.lit(PACKED_WORDS - 1))))),
-    ).otherwise(F.flatten(F.transform(twin, lambda k: F.array(F.get(q, k)["i"].cast("long"), F.get(q, k - 1)["i"].cast("long")))))
-    found = sorted_.select("doc_id", "t", "words", "n", "lines", F.array_distinct(repeated).alias("at"))
+    touching = F.when(small, F.filter(pairs(p), lambda k: F.shiftrightunsigned(F.get(p, k).bitwiseXOR(F.get(p, k - 1)), 16) == 0)).otherwise(F.filter(pairs(q), lambda k: F.get(q, k)["h"] == F.get(q, k - 1)["h"]))
+    touched = sorted_.withColumn("touching", touching)
+    where = lambda k: F.when(small, at_low(k)).otherwise(F.get(q, k)["i"])
+    same = touched.withColumn("same", F.filter("touching", lambda k: equal(where(k), where(k - 1))))
+    # only where windows of equal hash differ
+    plain = F.sort_array(F.transform(_windows(n), lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))))
+    exact = same.withColumn("exact", F.when(F.size("same") < F.size("touching"), plain))
+    x = F.col("exact")
+    twins = F.filter(pairs(x), lambda k: equal(F.get(x, k)["i"], F.get(x, k - 1)["i"]))
+    repeated = F.when(x.isNull(), both(F.col("same"), where)).otherwise(both(twins, lambda k: F.get(x, k)["i"]))
+    found = exact.select("doc_id", "t", "words", "n", "lines", F.array_distinct(repeated).alias("at"))
     at = F.col("at")
     values = F.struct(
         F.col("n").cast("long").alias("n_words"),

@@ -237,6 +237,10 @@ def test_quality(odd, odd_rows, empty, monkeypatch):
     assert Counter(map(tuple, book.select(*columns).collect())) == expected
     monkeypatch.setattr(quality, "PACKED_WORDS", 2)  # the path of very long texts
     assert Counter(map(tuple, quality.ledger(odd).select(*columns).collect())) == expected
+    for words_ in (2, 65_536):  # windows whose hashes agree by chance
+        monkeypatch.setattr(quality, "PACKED_WORDS", words_)
+        monkeypatch.setattr(quality, "_hash", lambda words, i: F.pmod(F.xxhash64(F.get(words, i)), F.lit(2)) * F.lit(1 << 20))
+        assert Counter(map(tuple, quality.ledger(odd).select(*columns).collect())) == expected
     kept = quality.apply_policy(book, "v1")
     assert kept.where("kept AND (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)").count() == 0
     assert kept.where("doc_id = 80 AND kept").count() == 1
@@ -415,7 +419,7 @@ def test_language(spark, odd, odd_rows, empty):
     assert Counter(r["doc_id"] for r in other) == Counter(i for i, _ in odd_rows)
     assert {r["lang_pred"] for r in other if r["doc_id"] in (0, 1, 2, 82)} == {"und"}
     assert all(0 <= r["score"] <= 1 for r in other)
-    assert {r["lang_pred"] for r in language.identify(odd, language.Model([], np.zeros(0), np.zeros((0, 0))), PIECES).collect()} == {"und"}
+    assert {r["lang_pred"] for r in language.identify(odd, language.Model([], np.zeros(0), [], 0), PIECES).collect()} == {"und"}
     assert language.identify(empty, model, PIECES).count() == 0
 
 
@@ -452,8 +456,10 @@ def test_long_words_are_scored_whole(monkeypatch):
 
 
 @pytest.mark.parametrize("scaled", [2, 16])
-def test_fit_and_identify_are_brute_force(spark, monkeypatch, scaled):
+@pytest.mark.parametrize("together", [1, 16])
+def test_fit_and_identify_are_brute_force(spark, monkeypatch, scaled, together):
     monkeypatch.setattr(language, "SCALED", scaled)
+    monkeypatch.setattr(language, "LANGUAGES", together)  # one by one is as many languages are
     vocabulary = language.Pieces(PIECES)
     index, size = {x: i for i, x in enumerate(vocabulary.names)}, len(vocabulary.names)
     texts = {"a": ["The house, the HOUSE", "water 12 light"], "b": ["das haus", "schöne nacht das", "haus"]}
@@ -475,7 +481,7 @@ def test_fit_and_identify_are_brute_force(spark, monkeypatch, scaled):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language.train(docs, PIECES)
     assert model.languages == ["a", "b"] and model.prior == pytest.approx([prior["a"], prior["b"]])
-    assert model.probability == pytest.approx(np.stack([probability["a"], probability["b"]], 1), rel=1e-5)
+    assert model.table() == pytest.approx(np.stack([probability["a"], probability["b"]], 1), rel=1e-5)
     asked = [(i, t) for i, t in enumerate(["the haus", "Nacht light", "zz", "1 2", "house" * 2])]
     for r in language.identify(make(spark, asked), model, PIECES).collect():
         found = language.words_of(dict(asked)[r["doc_id"]])
@@ -663,3 +669,58 @@ def test_pages_with_an_empty_main_are_pages_of_their_own(spark):
     rows = [(i, f"http://empty.example/{i}", f"<body><div><span>Menu of the site</span></div><div>page {i} says {i} things of its own</div><main></main></body>") for i in range(12)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r["text"] for r in html_text.extract(pages).collect()} == {f"page {i} says {i} things of its own" for i in range(12)}
+
+
+def test_many_languages_are_a_small_model(spark):
+    """A dirty column of languages: what is sent grows with the sample, not with pieces times languages."""
+    rows = [(i, f"{'abcdefghijklmnop'[i % 16] * 3} {'qrstuvwxyz'[i % 10] * 2} haus", f"l{i % 400}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, PIECES)
+    assert len(model.languages) == 400
+    assert sum(len(p) for p, _, _ in model.seen) < 400 * 60
+    found = language.identify(docs, model, PIECES).collect()
+    assert len(found) == 1200 and {r["lang_pred"] for r in found} <= set(model.languages)
+    assert all(0 < r["score"] <= 1 for r in found)
+
+
+def test_toxicity_features_and_scores_are_brute_force(spark, odd, odd_rows):
+    """Words, neighbouring pairs and pairs around one word, each a place once per text, against a dictionary of strings."""
+    from marketloom.llm.text_arrays import ALNUM, mix, words
+    import pyarrow as pa
+
+    texts = [t or "" for _, t in odd_rows]
+    w = words(pa.array(texts), ALNUM)
+    split = [ALNUM_WORD.findall(lower(t)) for t in texts]
+    hash_of = {}
+    for i, own in enumerate(split):
+        hashes = w.hash[w.doc == i].tolist()
+        assert len(hashes) == len(own)
+        for name, h in zip(own, hashes, strict=True):
+            assert hash_of.setdefault(name, h) == h  # a word has one hash wherever it stands
+    assert len(set(hash_of.values())) == len(hash_of)
+
+    def place(*parts):
+        odd_ = {2: 0xA24BAED4963EE407, 3: 0x9FB21C651E98DF25}
+        if len(parts) == 1:
+            h = hash_of[parts[0]]
+        else:
+            mixed = (hash_of[parts[0]] * odd_[len(parts)] + hash_of[parts[-1]]) & (1 << 64) - 1
+            h = int(mix(np.array([mixed], np.uint64))[0])
+        return h & (1 << toxicity.BITS) - 1
+
+    expected = []
+    for own in split:
+        found = [(x,) for x in own] + list(zip(own, own[1:], strict=False)) + [(a, None, c) for a, c in zip(own, own[2:], strict=False)]
+        expected.append(Counter(place(*f) for f in found))
+    doc, places = toxicity.features(w)
+    got = [Counter() for _ in texts]
+    for d, p in zip(doc.tolist(), places.tolist(), strict=True):
+        got[d][p] += 1
+    assert got == expected
+    rng = np.random.default_rng(6)
+    every = sorted({p for c in expected for p in c})
+    chosen = np.array(sorted(rng.choice(every, len(every) // 3, replace=False)))
+    model = toxicity.Model(chosen, rng.normal(0, 1, len(chosen)), -0.25, True)
+    weight = dict(zip(chosen.tolist(), model.weights.tolist(), strict=True))
+    plain = Counter((i, round(1 / (1 + np.exp(-(sum(weight.get(p, 0) for p in c) - 0.25))), 9)) for (i, _), c in zip(odd_rows, expected, strict=True))
+    assert Counter((r["doc_id"], round(r["score"], 9)) for r in toxicity.score(odd, model).collect()) == plain
