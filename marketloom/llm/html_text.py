@@ -319,7 +319,7 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame, recurs: int = RECURS, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Keys of the subtrees that recur on their host, as column ``subtree``."""
-    from .scratch import written
+    from .scratch import discard, written
 
     seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_count, "host long, page long, subtree long, prose boolean")
     counted = seen.distinct().groupBy("host", "subtree", "prose").agg(F.count("*").alias("n")).where(F.col("n") >= recurs)
@@ -329,7 +329,9 @@ def templates(pages: DataFrame, recurs: int = RECURS, url_col: str = "url", html
     found = counted.where("subtree IS NOT NULL").withColumn("salt", F.pmod("subtree", F.lit(SALTS)).cast("int")).join(hosts, ["host", "salt"])
     plain = ~F.col("prose") & (ONE_OF * F.col("n") >= F.col("pages"))
     prose = F.col("prose") & (F.col("n") >= PROSE_RECURS) & (PROSE_ONE_OF * F.col("n") >= F.col("pages"))
-    return found.where(plain | prose).select("subtree")
+    out = written(found.where(plain | prose).select("subtree"), "templates")
+    discard(counted)
+    return out
 
 
 def _texts(batch: pa.RecordBatch, template) -> pa.RecordBatch:
@@ -344,14 +346,15 @@ def extract(pages: DataFrame, recurs: int = RECURS, entries: int = BROADCAST_ENT
     but count as one page of their host; null ids are kept. A page that is cut off ends where it is cut. A marked article that is empty, or
     holds less than half of the text, decides nothing. An empty table gives no rows. Other columns are ignored.
     """
-    from .scratch import written
+    from .scratch import discard, written
 
     spark = pages.sparkSession
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    template = written(templates(pages, recurs, url_col, html_col), "templates")
+    template = templates(pages, recurs, url_col, html_col)
     schema = f"page_id {pages.schema[id_col].dataType.simpleString()}, url string, text string, n_chars long"
     if template.count() <= entries:
         sent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in template.collect()], np.int64)))
+        discard(template)
 
         def by_broadcast(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = set(sent.value.tolist())

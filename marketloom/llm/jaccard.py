@@ -42,6 +42,8 @@ PER_BUCKET, TOKEN_BITS = 1 << 21, 32
 PIVOTS = 16
 #: Members that are compared with a set in one run, so that a set with many is in several tasks.
 PER_RUN = 256
+#: Pairs of a pivot and a group that are formed in one part of a list, about.
+PER_PART = 1 << 20
 #: Documents whose ids may be sent to all tasks: 16 MB at most.
 SENT_IDS = 500_000
 _A, _B = np.uint64(0x8E9D5AAB2C1F3377), np.uint64(0x1B873593CC9E2D51)
@@ -384,15 +386,18 @@ def linked_sets(docs: DataFrame, measured: DataFrame, k: int = SHINGLE, percent:
         n_pivots = PIVOTS**r
         if r == 0:
             # the most central group first: the one with the smallest share of shingles of its own
-            central = todo.groupBy("list").agg(F.min_by(F.struct("group", "n", "alone", "place"), F.struct(F.col("alone") / F.col("n"), "group")).alias("p"))
-            pivot = central.select("list", "p.*").join(groups.select("group", F.col("one").alias("set")), "group").withColumn("root", F.col("set"))
+            central = todo.groupBy("list").agg(F.first("many").alias("many"), F.min_by(F.struct("group", "n", "alone", "place"), F.struct(F.col("alone") / F.col("n"), "group")).alias("p"))
+            pivot = central.select("list", "many", "p.*").join(groups.select("group", F.col("one").alias("set")), "group").withColumn("root", F.col("set"))
         else:
             drawn = F.pmod(F.xxhash64("set", F.lit(r)), F.lit(1 << 32)) / F.lit(float(1 << 32)) * F.col("many") < float(n_pivots)
             pivot = todo.join(state.select("set", "group", "root"), "group").where((F.col("many") <= n_pivots) | drawn)
-        p, t = pivot.alias("p"), todo.alias("t")
+        # a list with much to compare is in as many parts, each of which meets all of the list's pivots
+        parts = F.ceil(F.col("many").cast("double") * F.least("many", F.lit(n_pivots)) / PER_PART).cast("int")
+        p = pivot.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).alias("p")
+        t = todo.withColumn("part", F.pmod(F.xxhash64("group"), F.greatest(parts, F.lit(1))).cast("int")).alias("t")
         apart = (F.col("t.low") != F.col("t.high")) | (F.col("t.low") != F.col("p.root"))
         each_once = (F.col("t.many") > n_pivots) | ((F.col("p.group") <= F.col("t.group")) & _in_own_prefix("p", "t", percent))
-        reach = p.join(t, (F.col("p.list") == F.col("t.list")) & apart & each_once & _may_reach("p", "t", percent))
+        reach = p.join(t, (F.col("p.list") == F.col("t.list")) & (F.col("p.part") == F.col("t.part")) & apart & each_once & _may_reach("p", "t", percent))
         reach = reach.select("p.set", "p.root", F.col("p.group").alias("g"), F.col("t.group").alias("h")).distinct()
         sides = [prefix.select(F.col("group").alias(g), F.col("n").alias(n), F.col("tokens").alias(x)) for g, n, x in (("g", "n", "x"), ("h", "m", "y"))]
         reach = reach.join(sides[0], "g").join(sides[1], "h").where(_enough_shared(percent)).select("set", "root", "h")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, written
 from .text_arrays import pieces
 from .token_ids import REMEMBERED, WordCoder
 
@@ -131,6 +131,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PART
         # by numbers of rows only, so that no key makes a partition large
         dealt = todo.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(max(1, -(-todo.count() // per_partition)))
         placed = written(_packed(dealt, r, capacity), "packed")
+        if not r:
+            discard(todo)
         if before is not None and placed.select("sequence_id").distinct().count() >= before:
             break  # the packing of the round before is no worse
         if before is not None:

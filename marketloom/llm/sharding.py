@@ -19,7 +19,7 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, written
 
 #: Bits of a cell at least and at most, and rows of a cell above the least; parts that each is divided into when slots are numbered (a hot
 #: text is spread over them).
@@ -132,12 +132,16 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     kept. Repeated rows are all kept. A text longer than a fair share makes its shard larger and may leave later shards
     empty. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    rows = written(_measured(docs, id_col, text_col), "shard-rows")
+    # parts by the number of a row, so that rows that agree in everything are in several too
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    rows = written(_measured(docs, id_col, text_col).withColumn("part", part), "shard-rows")
     low, high = CELL_BITS
     bits = max(low, min(high, (rows.count() // CELL_ROWS).bit_length()))
-    cuts = minimax_cuts(_OrderedSizes(rows, bits), n_shards)
+    sizes = _OrderedSizes(rows, bits)
+    cuts = minimax_cuts(sizes, n_shards)
+    discard(sizes.groups)
     number = sum(((F.col("h") > F.lit(c)).cast("int") for c in cuts), F.lit(0))
-    placed = rows.withColumns({"shard": number, "cell": _cell(F.col("h"), bits), "part": F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")})
+    placed = rows.withColumns({"shard": number, "cell": _cell(F.col("h"), bits)})
     counted = placed.groupBy("shard", "cell", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("shard", "cell", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

@@ -114,6 +114,7 @@ def test_jaccard_families(spark, monkeypatch):
     assert Counter(map(tuple, jaccard.near_duplicates(docs).collect())) == expected
     monkeypatch.setattr(jaccard, "PIVOTS", 3)
     monkeypatch.setattr(jaccard, "PER_RUN", 7)
+    monkeypatch.setattr(jaccard, "PER_PART", 5)
     monkeypatch.setattr(jaccard, "OFTEN", 9)
     assert Counter(map(tuple, jaccard.near_duplicates(docs).collect())) == expected
 
@@ -560,6 +561,20 @@ def test_pipeline_near_duplicates_by_row(spark):
     assert got == Counter([(7, a), (7, b), (3, c), (None, one), (9, e), (5, None), (5, None), (None, ""), (None, "")])
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    """Columns that are named as those of the stage itself keep their values and types."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    a, b = prose(rng, 80), prose(rng, 80)
+    names = ("key", "no_id", "x", "y", "root", "set", "list", "group", "row", "component_id", "n_shingles")
+    rows = [(i, t, *(f"{n}{i}" for n in names)) for i, t in ((1, a), (2, a), (1, a), (3, b), (None, ""))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.dtypes == docs.dtypes
+    assert Counter(map(tuple, kept.collect())) == Counter(map(tuple, (rows[0], rows[3], rows[4])))
+
+
 @pytest.fixture
 def tables(spark, odd_rows, tmp_path):
     """A folder with what the stages read besides documents."""
