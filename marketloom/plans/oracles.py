@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marketloom.functions.parameters import rule_space
-from marketloom.plans.queries import BROKEN, DEEP, GRID, LMAX, NI, RANGES, SPARSE, THETA
+from marketloom.plans.queries import BRANCHES, BROKEN, DEEP, GRID, LMAX, NI, RANGES, SPARSE, THETA
 
 _U = "((('0x' || substr(md5({0}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
 _LAPLACE = "CASE WHEN 0.5 - {u} < 0 THEN {b} * ln(1 + 2 * (0.5 - {u})) ELSE -({b}) * ln(1 - 2 * (0.5 - {u})) END"
@@ -114,15 +114,15 @@ def _chain(score: str) -> str:
     )
 
 
-def _deep(inner: str, last: str, first_item: str = "noisy") -> str:
-    """Leaves of three levels with two draws each, branch after branch. ``inner``, ``last``: scores of the levels after the first, from the
+def _deep(inner: str, last: str, first_item: str = "noisy", grid: dict = DEEP, baskets: str = "b") -> str:
+    """Leaves of three levels with some draws each, branch after branch. ``inner``, ``last``: scores of the levels after the first, from the
     support sup, that of the prefix sp, the count cx of the new item, and the counts c1, c2 of those before."""
     free, first = (1, "nc") if first_item == "noisy" else (0, "eps * (1 - ratio) / lmax / bf * cnt / 2")
     u = lambda level, prefix: _U.format(f"seed || '|{level}|' || {prefix} || '|' || item")
     share = lambda level: f"eps * (1 - ratio) / (lmax - {free}) / power(bf, {level}) / bf"
     draws = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, path ORDER BY v, item) AS n FROM ({0}) q) w WHERE n <= bf"
     tables = {
-        "runs": f"SELECT * FROM (VALUES {_grid(DEEP)}) v(run_id, {', '.join(DEEP)})",
+        "runs": f"SELECT * FROM (VALUES {_grid(grid)}) v(run_id, {', '.join(grid)})",
         "d0": draws.format(f"SELECT *, '' AS path, ln(ln(1 / {u(0, repr(''))})) - ({first}) AS v FROM ptop"),
         "d1": draws.format(
             f"SELECT *, ln(ln(1 / {u(1, 'p1')})) - {share(1)} * ({inner}) / 2 AS v FROM (SELECT l.run_id, l.n::VARCHAR AS path, l.item AS p1, l.cnt AS c1, l.cnt AS sp, x.item, x.cnt AS cx, coalesce(s2.sup, 0) AS sup, "
@@ -133,14 +133,15 @@ def _deep(inner: str, last: str, first_item: str = "noisy") -> str:
         "list_sort([l.p1, l.item, x.item]) AS a, x.eps, x.ratio, x.c0, x.lmax, x.bf, x.seed FROM d1 l JOIN ptop x ON x.run_id = l.run_id AND x.item <> l.item AND x.item <> l.p1) q LEFT JOIN s3 ON s3.i = a[1] AND s3.j = a[2] AND s3.k = a[3]) w",
     }
     before: list[str] = []
-    for path in ("11", "12", "21", "22"):
+    draws_each = range(1, max(grid["bf"]) + 1)
+    for path in (f"{i}{j}" for i in draws_each for j in draws_each):
         gone = "".join(f" AND NOT EXISTS (SELECT 1 FROM e{k} WHERE e{k}.run_id = d2.run_id AND e{k}.a = d2.a)" for k in before)
         tables[f"e{path}"] = draws.format(f"SELECT run_id, path, item, a, bf, v FROM d2 WHERE path = '{path}'{gone}")
         before.append(path)
     common = _with("ptop s2", "").removeprefix("WITH ").split(", ptop AS", 1)
     named = ", ".join(f"{k} AS MATERIALIZED ({v})" for k, v in tables.items() if k != "runs")
     text = f"WITH {common[0]}, ptop AS{common[1]}, {named} " + " UNION ALL ".join(f"SELECT run_id, {_text('a')} AS itemset FROM e{k}" for k in before)
-    return text.replace(_TABLES["runs"], tables["runs"])
+    return text.replace(_TABLES["runs"], tables["runs"]).replace(_TABLES["b"], _TABLES[baskets])
 
 
 def _mt(theta: str) -> str:
@@ -225,6 +226,7 @@ SQL |= {
     "private_three_delta": _deep("sup - sp", "sup - least(sp, c1, cx)"),
     "private_three_d": _deep(f"least({_LACK('c1')}, {_LACK('cx')})", f"least({_LACK('c1')}, {_LACK('c2')}, {_LACK('cx')})", "em"),
     "private_three_last": _deep("sup", _D("cx")),
+    "private_branches": _deep("sup", "sup", grid=BRANCHES, baskets="cb"),
     # the second chain finds the set complete
     "best_extension_sigma_d": SQL["best_extension_sigma"],
     "best_extension_delta_d": SQL["best_extension_delta"],

@@ -22,6 +22,8 @@ NI, LMAX = 8, 3
 GRID = {"eps": [0.5, 1.0], "ratio": [0.1], "c0": [0.5], "lmax": [2], "ni": [NI], "bf": [1, 2], "seed": [1, 2]}
 #: Runs of three levels.
 DEEP = {"eps": [0.5, 2.0], "ratio": [0.1], "c0": [0.5], "lmax": [3], "ni": [6], "bf": [2], "seed": [1, 2]}
+#: Runs of nine branches, on wide baskets.
+BRANCHES = {"eps": [0.5, 4.0], "ratio": [0.1], "c0": [0.5], "lmax": [3], "ni": [25], "bf": [3], "seed": [1]}
 #: Runs over several numbers of items.
 RANGES = {"eps": [0.5], "ratio": [0.1], "c0": [0.5], "lmax": [2], "ni": [5, 10, 15, 20, 25], "bf": [2], "seed": [1]}
 #: Runs over items most of whose pairs are in no basket.
@@ -427,6 +429,11 @@ def private_sparse(spark: SparkSession, d: str) -> DataFrame:
     return job["leaves"].select("run_id", _name("itemset"))
 
 
+def private_branches(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of three levels with three draws each, on wide baskets: nine branches, which meet at the last level."""
+    return jobs.private_rules_job(customer_baskets(spark, d), jobs.grid_runs(spark, **BRANCHES))["leaves"].select("run_id", _name("itemset"))
+
+
 def private_deep(spark: SparkSession, d: str) -> DataFrame:
     """Three levels with four draws each, on wide baskets; clashes at the last level included."""
     run = jobs.Run(run_id=0, eps=0.5, ratio=0.01, c0=0.5, lmax=3, ni=25, bf=4, seed=42)
@@ -639,7 +646,7 @@ QUERIES: dict[str, Query] = {
             em_probabilities, private_leaves, private_rules, private_three, private_deep, private_histogram, merge_real_private, recall_report, estimated_recall, sweep,
             run_logs, run_table, experiment_report, average_runs, series, good_vs_all, precision_vs_k, precision_vs_eps, precision_by_k, with_baseline, average_histograms,
             layer_bin_matrix, matrix_series,
-            replaced_stats, nested_thresholds, nested_recall, vertical_itemsets, many_supports, unseen_by_run, private_sparse, log_histograms, log_matrix, log_matrix_series,
+            replaced_stats, nested_thresholds, nested_recall, vertical_itemsets, many_supports, unseen_by_run, private_sparse, private_branches, log_histograms, log_matrix, log_matrix_series,
         )
     },
 }
