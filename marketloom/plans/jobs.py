@@ -129,13 +129,14 @@ def private_leaves(weighted: DataFrame, counts: DataFrame, runs: list[Run], qual
         u = hash_uniform(F.col("seed"), F.lit(i), items_text("prefix"), F.col("item"))
         columns = ["run_id", "path", "prefix", "item", "support", "cnt", "cnts", "bf", "last", "v"]
         keyed = stored(scored.withColumn("v", F.log(F.log(1 / u)) - F.col("logw")).select(columns), "candidates")
-        slots = 2 * most
+        ending, slots = any(r.lmax == i + 1 for r in runs), 2 * most
         while True:
             every = keyed
             if zeros == "class":
                 drawn = _class_candidates(open_, keyed, top, i, slots)
                 every = keyed.unionByName(stored(drawn.select(columns), "class-draws"))
-            inner = sampling.smallest(every.where("NOT last"), ["run_id", "path"], F.col("bf"), ["v", "item"], most)
+            if not ending:
+                break
             ends, struck = _last_draws(every.where("last").withColumn("itemset", canonical(F.concat("prefix", F.array("item")))), most)
             if zeros == "grid" or struck is None:
                 break
@@ -143,8 +144,12 @@ def private_leaves(weighted: DataFrame, counts: DataFrame, runs: list[Run], qual
             if not struck.groupBy("run_id", "path").count().where(F.col("count") + most > slots).take(1):
                 break
             slots *= 2
-        level = stored(inner.select("run_id", F.concat("path", F.array("draw")).alias("path"), F.concat("prefix", F.array("item")).alias("prefix"), F.col("support").alias("sup_prefix"), F.concat("cnts", F.array("cnt")).alias("cnts")), "level")
-        leaves = ends if leaves is None else leaves.unionByName(ends)
+        if ending:
+            leaves = ends if leaves is None else leaves.unionByName(ends)
+        if any(r.lmax > i + 1 for r in runs):
+            inner = sampling.smallest(every.where("NOT last"), ["run_id", "path"], F.col("bf"), ["v", "item"], most)
+            grown = [F.concat("path", F.array("draw")).alias("path"), F.concat("prefix", F.array("item")).alias("prefix"), F.col("support").alias("sup_prefix"), F.concat("cnts", F.array("cnt")).alias("cnts")]
+            level = stored(inner.select("run_id", *grown), "level")
     return leaves
 
 
