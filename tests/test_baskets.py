@@ -166,7 +166,7 @@ def test_last_draws_are_those_of_branch_after_branch(spark):
             own = sorted((v, i) for r, p, _, (i,), v, _ in rows if r == run and p == [b] and i not in taken)[:2]
             taken |= {i for _, i in own}
             expected |= {(run, b, i) for _, i in own}
-    assert {(r["run_id"], r["path"][0], r["itemset"][0]) for r in jobs._last_draws(df).collect()} == expected
+    assert {(r["run_id"], r["path"][0], r["itemset"][0]) for r in jobs._last_draws(df, 2)[0].collect()} == expected
 
 
 def test_private_job_does_not_depend_on_partitions(spark, t10):
