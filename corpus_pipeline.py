@@ -18,6 +18,9 @@ from marketloom.llm.shipping import ship
 #: Up to so many ids of documents that go are sent to all tasks (40 MB at most); beyond, they are joined by a shuffle.
 SENT_IDS = 500_000
 
+#: Words whose ids a worker remembers while it packs: workers have the memory of the stages before.
+REMEMBERED = 250_000
+
 #: The rows of run() can't be had from SQL: learned weights and a tokenizer decide them.
 ORACLE_SQL = None
 
@@ -92,7 +95,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows. Of other columns none is read.
     """
     ship(spark)
-    return packing.pack(packing.cut_documents(docs, vocabulary_path("byte_bpe_50k.json")))
+    return packing.pack(packing.cut_documents(docs, vocabulary_path("byte_bpe_50k.json"), remembered=REMEMBERED))
 
 
 STAGES = [
