@@ -183,10 +183,8 @@ def _parsed(page: str) -> _Element:
             continue
         own = _TAG.match(page, m.start()) if unquoted < UNQUOTED else None
         if own is None:
-            if page.find(">", m.start()) < 0:  # the page is cut off within a tag
-                text(page[begin : m.start()])
-                begin = len(page)
-                break
+            if page.find(">", m.start()) < 0:
+                break  # no tag ends any more: the rest is text
             unquoted += 1
             own = _PLAIN_TAG.match(page, m.start())
         if own is None:

@@ -656,7 +656,7 @@ def text_without_templates(page):
         ('<div class="has-sidebar widgetry">all of it</div>', "all of it"),
         ("<article>one</article><p>x</p><article>two</article><main></main>", "one\ntwo"),
         ("<article><p>x <math><mi>a</mi></math> y</p><select><option>no</select></article>", "x a y"),
-        ('<p>a <a title="x>y">b</a> c</i> d<div>e</b></div>f</p><a href="cut', "a b c d\ne\nf"),
+        ('<p>a <a title="x>y">b</a> c</i> d<div>e</b></div>f</p><a href="cut', 'a b c d\ne\nf<a href="cut'),
         ("<ul><li>1<li>2<ul><li>3</ul><li>4</ul><dl><dt>t<dd>d<dt>u</dl><table><tr><td>a<td>b<tr><td>c</table>", "1\n2\n3\n4\nt\nd\nu\na\nb\nc"),
     ],
 )
