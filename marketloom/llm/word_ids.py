@@ -7,6 +7,7 @@ memory allows. New words go to the library many in one text; the pieces that end
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -14,10 +15,12 @@ import numpy as np
 from .text_arrays import remembered
 from .token_count import pre_tokens, split_words
 
-#: Words that a worker remembers unless told otherwise, about 110 MB; longer ones aren't remembered.
-REMEMBERED, LONGEST = 500_000, 64
+#: Words that a worker remembers unless told otherwise, about 150 MB; longer ones aren't remembered.
+REMEMBERED, LONGEST = 700_000, 64
 #: Words that are encoded in one text, and in one call.
 TOGETHER, CALL = 64, 1 << 15
+#: Letters, and signs after them that no pattern joins with letters: two pre-tokens.
+_LETTERS_SIGNS = re.compile(r"([a-z]+)([.,;:!?%$*&#)]+)\Z")
 #: What the vocabulary's last piece of a pre-token ends with.
 WORD_END = "</w>"
 #: The encoders of this worker by vocabulary file.
@@ -52,7 +55,8 @@ class WordEnds:
             out += [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False)]
         return out
 
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+    def _told_apart(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words, many encoded in one text."""
         new: dict[str, bytes] = {}
         alone = []
         for at in range(0, len(words), TOGETHER * 256):
@@ -63,20 +67,45 @@ class WordEnds:
                 if len(last) != stops[-1]:
                     alone += lot  # a word that the library splits in its own way
                     continue
-                for w, part in zip(lot, np.split(ids, last[stops - 1][:-1]), strict=True):
-                    new[w] = part.tobytes()
+                text, width = ids.tobytes(), self.kind.itemsize
+                at_, ends = 0, (last[stops - 1] * width).tolist()
+                for w, end in zip(lot, ends, strict=True):
+                    new[w] = text[at_:end]
+                    at_ = end
         new.update(zip(alone, (x.tobytes() for x in self._library(alone)), strict=True))
         return new
 
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that aren't known. Capitals and signs behind letters don't make a word a new one."""
+        known, parts, ask = self.known, {}, {}
+        for w in words:
+            low = w.lower() if w.isascii() else w
+            m = None if low.isalpha() else _LETTERS_SIGNS.match(low)
+            own = parts[w] = m.groups() if m else (low,)
+            for x in own:
+                if x not in known:
+                    ask[x] = None
+        told = self._told_apart(list(ask))
+        new = {w: b"".join([known.get(x) or told[x] for x in own]) for w, own in parts.items()}
+        if len(known) < self.remembered:
+            known.update((x, ids) for x, ids in told.items() if len(x) <= LONGEST)
+        return new
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        known = self.known
-        split = [split_words(t) for t in texts]
-        missing = list(set(chain.from_iterable(split)).difference(known))
-        new = self._encoded(missing) if missing else {}
-        if len(known) < self.remembered:
-            known.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
-            new = {k: v for k, v in new.items() if len(k) > LONGEST}
-        if not new:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join([known.get(w) or new.get(w, b"") for w in words]) for words in split]
+        get, found = self.known.get, []
+        missing: set[str] = set()
+        for t in texts:
+            words = split_words(t)
+            ids = list(map(get, words))
+            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            own = [words[i] for i in gaps]
+            missing.update(own)
+            found.append((ids, gaps, own))
+        new = self._encoded(list(missing)) if missing else {}
+        for ids, gaps, own in found:
+            for i, w in zip(gaps, own, strict=True):
+                ids[i] = new[w]
+        if len(self.known) < self.remembered:
+            self.known.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST)
+        return [b"".join(ids) for ids, _, _ in found]
